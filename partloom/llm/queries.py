@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from partloom.llm.base import table
+from pyspark.sql import functions as F
+
+from partloom.llm import language_id, quality_ranker
+from partloom.llm.base import fold, table
 from partloom.llm.quality_rules import quality_rules
 
 
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.where(~held))
+    return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
+
+
 def op6_quality_rules(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_bytes", "longest_repeat")
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules,)}
+def op7_quality_ranker(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = quality_ranker.fit(docs, labels, train=~held)
+    return quality_ranker.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op7_quality_ranker)}
 ORACLES: dict[str, str] = {}
