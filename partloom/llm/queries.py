@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.llm import language_id, quality_ranker
+from partloom.llm import class_lm, language_id, quality_ranker
 from partloom.llm.base import fold, table
 from partloom.llm.quality_rules import quality_rules
 
@@ -28,5 +28,12 @@ def op7_quality_ranker(spark, sf_dir):
     return quality_ranker.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op7_quality_ranker)}
+def op10_class_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 7) == 2
+    model, counts = class_lm.fit(docs.where(~held))
+    return class_lm.score(docs, model, counts, keep={"doc_id": F.col("doc_id"), "held_out": held})
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op7_quality_ranker, op10_class_lm)}
 ORACLES: dict[str, str] = {}
