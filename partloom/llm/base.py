@@ -47,7 +47,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     lost executor costs no recomputation of what came before, and its shuffle files are freed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/partloom/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

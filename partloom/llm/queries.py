@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from partloom.llm import class_lm, language_id, quality_ranker
+from partloom.llm import class_lm, language_id, packing, quality_ranker
 from partloom.llm.base import fold, table
 from partloom.llm.quality_rules import quality_rules
 
@@ -28,6 +29,10 @@ def op7_quality_ranker(spark, sf_dir):
     return quality_ranker.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_class_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 7) == 2
@@ -35,5 +40,5 @@ def op10_class_lm(spark, sf_dir):
     return class_lm.score(docs, model, counts, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op7_quality_ranker, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op7_quality_ranker, op8_packing, op10_class_lm)}
 ORACLES: dict[str, str] = {}
