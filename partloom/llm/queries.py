@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from partloom.llm import class_lm, language_id, packing, quality_ranker
+from partloom.llm import class_lm, html_text, language_id, packing, quality_ranker
 from partloom.llm.base import fold, table
 from partloom.llm.quality_rules import quality_rules
 
@@ -33,6 +33,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_class_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 7) == 2
@@ -40,5 +44,5 @@ def op10_class_lm(spark, sf_dir):
     return class_lm.score(docs, model, counts, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op7_quality_ranker, op8_packing, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm)}
 ORACLES: dict[str, str] = {}
