@@ -1,0 +1,38 @@
+"""Connected components of a link table, all in Spark: alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from partloom.llm.base import staged
+
+
+def _distinct(links: DataFrame) -> DataFrame:
+    return links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links u, v (any orderable type; self-links are allowed) to one row (node, root) per linked node; the root is the
+    least node of its component, and has a row too. Minima are added up within tasks before a shuffle, so a node with
+    very many links is no hot spot but for its join, which adaptive execution splits."""
+    links = staged(_distinct(links), "links")
+    state = _state(links)
+    while True:
+        # Large star: every larger neighbour of u moves to the least neighbour of u (u included).
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = staged(_distinct(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large_star")
+        # Small star: u and its smaller neighbours move to the least of these. Rows have v < u already.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = staged(_distinct(moved.unionByName(least.select("u", F.col("m").alias("v")))), "small_star")
+        if (now := _state(links)) == state:
+            break
+        state = now
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

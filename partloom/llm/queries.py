@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from partloom.llm import class_lm, exact_spans, html_text, language_id, packing, quality_ranker
+from partloom.llm import class_lm, exact_spans, html_text, language_id, packing, quality_ranker, simhash
 from partloom.llm.base import fold, table
 from partloom.llm.quality_rules import quality_rules
 
@@ -17,6 +17,10 @@ def op1_language_id(spark, sf_dir):
     return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in=4, radius=4)
+
+
 def op5_exact_spans(spark, sf_dir):
     return exact_spans.remove(table(spark, sf_dir, "documents"), 400).drop("kept_text")
 
@@ -48,5 +52,5 @@ def op10_class_lm(spark, sf_dir):
     return class_lm.score(docs, model, counts, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_exact_spans, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_simhash, op5_exact_spans, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm)}
 ORACLES: dict[str, str] = {}
