@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from partloom.llm import class_lm, exact_spans, html_text, language_id, packing, quality_ranker, simhash
+from partloom.llm import class_lm, decontamination, exact_spans, html_text, language_id, packing, quality_ranker, simhash, url_filter
 from partloom.llm.base import fold, table
 from partloom.llm.quality_rules import quality_rules
 
@@ -17,10 +17,68 @@ def op1_language_id(spark, sf_dir):
     return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
+def url_list(pages):
+    """The tables hold no URL list, so one is made by rule: hosts, their parent domains and first path segments get
+    dated entries that hashes of their names choose, over the year in which pages count as fetched."""
+    hosts = pages.select(url_filter.host(F.col("url")).alias("h")).where("h <> ''").distinct()
+    names = hosts.select("h").union(hosts.select(F.substring_index("h", ".", -3).alias("h"))).distinct()
+    part = lambda at: F.conv(F.substring(F.md5("h"), at, 4), 16, 10).cast("int")
+    named = names.select("h", part(1).alias("a"), part(5).alias("b"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n).cast("timestamp").alias("since")
+    rows = [
+        named.where("a % 3 = 0").select(F.col("h").alias("scope"), day(F.col("a") % 200), F.lit("block").alias("action")),
+        named.where("a % 6 = 0").select(F.col("h").alias("scope"), day(F.col("a") % 200 + 60), F.lit("clear").alias("action")),
+        named.where("a % 12 = 0").select(F.col("h").alias("scope"), day(F.col("a") % 200 + 120), F.lit("block").alias("action")),
+        named.where("b % 4 = 0").select(F.concat("h", F.lit("/en")).alias("scope"), day(F.col("b") % 300), F.lit("allow").alias("action")),
+    ]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def op2_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.timestamp_add("MINUTE", (F.col("page_id") * 7919 % 525600).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    out = url_filter.judge(pages.withColumn("fetched", fetched), url_list(pages))
+    return out.select("page_id", "url", "rule_scope", F.date_format("rule_since", "yyyy-MM-dd").alias("rule_since"), "blocked")
+
+
+OP2_SQL = r"""
+WITH caps AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 7919 % 525600 AS BIGINT)) AS t,
+         rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages),
+hosts AS (SELECT DISTINCT host AS h FROM caps WHERE host <> ''),
+names AS (SELECT h FROM hosts UNION SELECT array_to_string(list_slice(string_split(h, '.'), greatest(1, len(string_split(h, '.')) - 2), len(string_split(h, '.'))), '.') FROM hosts),
+named AS (SELECT h, CAST('0x' || substr(md5(h), 1, 4) AS INT) AS a, CAST('0x' || substr(md5(h), 5, 4) AS INT) AS b FROM names),
+list AS (
+  SELECT h AS scope, DATE '2024-01-01' + CAST(a % 200 AS INT) AS since, 'block' AS action FROM named WHERE a % 3 = 0
+  UNION ALL SELECT h, DATE '2024-01-01' + CAST(a % 200 + 60 AS INT), 'clear' FROM named WHERE a % 6 = 0
+  UNION ALL SELECT h, DATE '2024-01-01' + CAST(a % 200 + 120 AS INT), 'block' FROM named WHERE a % 12 = 0
+  UNION ALL SELECT h || '/en', DATE '2024-01-01' + CAST(b % 300 AS INT), 'allow' FROM named WHERE b % 4 = 0),
+keys AS (
+  SELECT DISTINCT url, t, unnest(list_concat(
+    list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda k: array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.')),
+    list_transform(range(1, least(len(parts), 2) + 1), lambda k: host || '/' || array_to_string(list_slice(parts, 1, k), '/')))) AS scope
+  FROM caps WHERE host <> ''),
+active AS (
+  SELECT k.url, k.t, k.scope, max(l.since) AS since, arg_max(l.action, l.since) AS action
+  FROM keys k JOIN list l ON l.scope = k.scope AND CAST(l.since AS TIMESTAMP) <= k.t GROUP BY ALL),
+best AS (
+  SELECT * FROM active WHERE action <> 'clear'
+  QUALIFY row_number() OVER (PARTITION BY url, t ORDER BY length(scope) DESC, scope DESC) = 1)
+SELECT c.page_id, c.url, b.scope AS rule_scope, strftime(b.since, '%Y-%m-%d') AS rule_since, coalesce(b.action = 'block', FALSE) AS blocked
+FROM caps c LEFT JOIN best b ON b.url = c.url AND b.t = c.t
+"""
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in=4, radius=4)
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_spans(spark, sf_dir):
     return exact_spans.remove(table(spark, sf_dir, "documents"), 400).drop("kept_text")
 
@@ -52,5 +110,5 @@ def op10_class_lm(spark, sf_dir):
     return class_lm.score(docs, model, counts, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_simhash, op5_exact_spans, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_simhash, op4_decontamination, op5_exact_spans, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm)}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
