@@ -38,7 +38,7 @@ LARGE = 20_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words_in: int = 4) -> int:
+def fingerprint(text: str | None, words_in: int = 4, digest=xxhash.xxh64_intdigest) -> int:
     """A bit is one if it is set in over half of the XXH64 hashes of the shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -48,24 +48,25 @@ def fingerprint(text: str | None, words_in: int = 4) -> int:
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - words_in + 1)
     starts, ends = starts[:n].tolist(), (ends[words_in - 1 :] if len(words) >= words_in else ends[-1:]).tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    total = np.zeros(64, np.int64)
     for i in range(0, n, CHUNK):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], "<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(sum(1 << k for k in np.flatnonzero(2 * total > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, text: str, words_in: int, keep: tuple[str, ...]) -> DataFrame:
-    """c0, c1, ..., the columns of keep, and f, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str, words_in: int, keep: tuple[str, ...], second: bool = False) -> DataFrame:
+    """c0, c1, ..., the columns of keep, f, the fingerprint as a signed long, and e, one by another hash (zero if not second)."""
     given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
 
     def run(batches):
         for b in batches:
             f = np.array([fingerprint(t, words_in) for t in b.column("t").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f)], names=[*b.schema.names[:-1], "f"])
+            e = np.array([fingerprint(t, words_in, xxhash.xxh3_64_intdigest) if second else 0 for t in b.column("t").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f), pa.array(e)], names=[*b.schema.names[:-1], "f", "e"])
 
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
-    return given.mapInArrow(run, f"{head}f long")
+    return given.mapInArrow(run, f"{head}f long, e long")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -156,24 +157,25 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def joined_links(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def joined_links(f: np.ndarray, e: np.ndarray, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is within the radius, one for each fingerprint reached: a search from one that is left
     looks only at those not reached yet."""
-    u, v, left = [], [], f
+    u, v, left = [], [], np.arange(len(f))
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = np.bitwise_count(f[left] ^ f[x]) <= radius
+            near[near] = np.bitwise_count(e[left[near]] ^ e[x]) <= check
             if near.any():
                 reached, left = left[near], left[~near]
-                u.append(np.full(len(reached), x))
-                v.append(reached)
+                u.append(np.full(len(reached), f[x]))
+                v.append(f[reached])
                 todo.extend(reached)
     return (np.concatenate(u), np.concatenate(v)) if u else (f[:0], f[:0])
 
 
-def links_of_runs(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def links_of_runs(key: np.ndarray, f: np.ndarray, e: np.ndarray, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal key."""
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[heads, len(key)])
@@ -184,84 +186,85 @@ def links_of_runs(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarr
         at = at[at + step < len(key)]
         at = at[number[at] == number[at + step]]
         hit = at[np.bitwise_count(f[at] ^ f[at + step]) <= radius]
+        hit = hit[np.bitwise_count(e[hit] ^ e[hit + step]) <= check]
         us.append(hit)
         vs.append(hit + step)
     i, j = (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64),) * 2
     dense = np.bincount(number[i], minlength=len(sizes)) > 2 * sizes
     plain = ~dense[number[i]] if len(i) else np.empty(0, bool)
     out = [(f[i[plain]], f[j[plain]])]
-    out += [joined_links(f[heads[k] : heads[k] + sizes[k]], radius) for k in np.flatnonzero(dense | (sizes > 128))]
+    out += [joined_links(f[a : a + n], e[a : a + n], radius, check) for a, n in ((heads[k], sizes[k]) for k in np.flatnonzero(dense | (sizes > 128)))]
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _links(probes: DataFrame, radius: int) -> DataFrame:
-    """u, v from probes (g, f): those that share g are verified."""
-    dealt = probes.repartition("g").sortWithinPartitions("g")
+def _links(probes: DataFrame, radius: int, check: int) -> DataFrame:
+    """u, v from probes (g, f, e): those that share g are verified."""
+    dealt = probes.select("g", "f", "e").repartition("g").sortWithinPartitions("g")
 
     def run(batches):
-        keys, fs = [], []
+        held = []
 
-        def flush(key, f):
-            u, v = links_of_runs(key, f, radius)
+        def flush(rows):
+            key, f, e = (np.concatenate([r[k] for r in rows]) for k in range(3))
+            u, v = links_of_runs(key, f, e, radius, check)
             return pa.RecordBatch.from_pydict({"u": u.view(np.int64), "v": v.view(np.int64)})
 
         for b in batches:
-            key, f = b.column("g").to_numpy(), b.column("f").to_numpy().view(np.uint64)
+            key = b.column("g").to_numpy()
             if not len(key):
                 continue
+            f, e = (b.column(c).to_numpy().view(np.uint64) for c in ("f", "e"))
             # The last run may go on in the next batch.
             cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield flush(np.concatenate([*keys, key[:cut]]), np.concatenate([*fs, f[:cut]]))
-                keys, fs = [], []
-            elif keys and keys[-1][-1] != key[0]:
-                yield flush(np.concatenate(keys), np.concatenate(fs))
-                keys, fs = [], []
-            keys.append(key[cut:])
-            fs.append(f[cut:])
-        if keys:
-            yield flush(np.concatenate(keys), np.concatenate(fs))
+            if cut or held and held[-1][0][-1] != key[0]:
+                yield flush([*held, (key[:cut], f[:cut], e[:cut])])
+                held = []
+            held.append((key[cut:], f[cut:], e[cut:]))
+        if held:
+            yield flush(held)
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """u, v: links that join all fingerprints within the radius of one another. distinct: column f, no value twice."""
+def links(distinct: DataFrame, radius: int, check: int = 64) -> DataFrame:
+    """u, v: links that join all fingerprints within the radius of one another. distinct: f, no value twice, and e,
+    whose bits may differ in `check` places."""
     n, both = bit_statistics(distinct)
     groups, thresholds = allocate(n, both, radius)
     masks = probe_masks(groups, thresholds)
 
     def probes(rows: DataFrame, masks: list[int], *before: str) -> DataFrame:
         values = F.array(*[F.lit(signed(m)) for m in masks])
-        spread = rows.select("f", *before, F.posexplode(values).alias("r", "mask"))
-        return spread.select("f", F.xxhash64(*before, "r", F.col("f").bitwiseAND(F.col("mask"))).alias("g"))
+        spread = rows.select("f", "e", *before, F.posexplode(values).alias("r", "mask"))
+        return spread.select("f", "e", F.xxhash64(*before, "r", F.col("f").bitwiseAND(F.col("mask"))).alias("g"))
 
-    found = probes(distinct.select("f"), masks)
-    sizes = found.groupBy("g").count().where(F.col("count") > LARGE)
-    sizes = staged(sizes, "large_probes")
+    found = probes(distinct, masks)
+    sizes = staged(found.groupBy("g").count().where(F.col("count") > LARGE), "large_probes")
     if sizes.isEmpty():
-        return _links(found, radius)
+        return _links(found, radius, check)
     # Those that share a large probe differ in few of all bits, so they share one of radius + 1 further parts too.
     parts = [sum(1 << b for b in range(64 * k // (radius + 1), 64 * (k + 1) // (radius + 1))) for k in range(radius + 1)]
     large = found.join(sizes, "g", "left_semi")
-    return _links(found.join(sizes, "g", "left_anti"), radius).unionByName(_links(probes(large, parts, "g"), radius))
+    return _links(found.join(sizes, "g", "left_anti"), radius, check).unionByName(_links(probes(large, parts, "g"), radius, check))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4) -> DataFrame:
-    """One row per input row: the id, fingerprint (hex) and component_id, the least id that links reach."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4, check: int | None = None) -> DataFrame:
+    """One row per input row: the id, fingerprint (hex) and component_id, the least id that links reach.
+    check: if given, linked fingerprints by a second hash must be within so many bits too, which lets the radius be
+    wider without chance links."""
     prepare(docs.sparkSession)
-    rows = staged(fingerprints(docs, text, words_in, (doc_id,)), "fingerprints")
-    distinct = staged(rows.groupBy("f").agg(F.min("c0").alias("least")), "distinct")
-    roots = components(links(distinct, radius))
+    rows = staged(fingerprints(docs, text, words_in, (doc_id,), check is not None), "fingerprints")
+    distinct = staged(rows.groupBy("f").agg(F.min("c0").alias("least"), F.min("e").alias("e")), "distinct")
+    roots = components(links(distinct, radius, 64 if check is None else check))
     linked = roots.join(distinct, roots.node == distinct.f).groupBy("root").agg(F.min("least").alias("component"))
     named = roots.join(linked, "root").select(F.col("node").alias("f"), "component")
     of = distinct.join(named, "f", "left").select("f", F.coalesce("component", "least").alias("component_id"))
     return rows.join(of, "f").select(F.col("c0").alias(doc_id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4, check: int | None = None) -> DataFrame:
     """docs with one row of each component: that of its least id, all columns kept. Where ids are all null, any one row stays."""
-    kept = near_duplicates(docs, text, doc_id, words_in, radius).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    kept = near_duplicates(docs, text, doc_id, words_in, radius, check).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
     kept = kept.select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("i")).distinct()
     own = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     held = own.join(kept, (own.h == kept.h) & own.row[doc_id].eqNullSafe(kept.i), "left_semi")

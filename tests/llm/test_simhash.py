@@ -1,6 +1,5 @@
 import random
 
-import duckdb  # noqa: F401
 import numpy as np
 import pytest
 import xxhash
@@ -56,7 +55,7 @@ def test_links_against_brute_force(spark, monkeypatch, large):
     rng = random.Random(large)
     f = noisy(rng, 900)
     want = classes(f, 4)
-    df = spark.createDataFrame([(simhash.signed(x),) for x in f], "f long")
+    df = spark.createDataFrame([(simhash.signed(x), 0) for x in f], "f long, e long")
     found = simhash.links(df, 4)
     for r in found.collect():
         assert ((r.u ^ r.v) & (1 << 64) - 1).bit_count() <= 4
