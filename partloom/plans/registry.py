@@ -2,6 +2,525 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from partloom.functions import text
+from partloom.operators import evidence, graph, pricing, quality, retail, search
+from partloom.sources.views import SQL as V
+from partloom.sources.views import TODAY, Views
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = None
+MAX_HOPS, MIN_CONF = 5, 40
+WITH = "WITH " + V.strip()
+RECURSIVE = "WITH RECURSIVE " + V.strip()
+#: Links both ways, and networks as the least product that chains of links reach.
+STEP = "step AS (SELECT a, b, conf FROM link UNION ALL SELECT b, a, conf FROM link)"
+
+
+def query(sql: str | None = None):
+    """Register f(views) under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def seeds(v: Views) -> DataFrame:
+    """A search for every reference number: it starts from the number's first supplier."""
+    return v.products.groupBy("part").agg(F.min("id").alias("seed")).select("seed")
+
+
+CLOSURE = f"""{RECURSIVE}, {STEP},
+seed AS (SELECT min(id) AS seed FROM product GROUP BY part),
+walk(seed, id, hops, conf) AS (
+  SELECT seed, seed, 0, CAST(100 AS BIGINT) FROM seed
+  UNION SELECT w.seed, s.b, w.hops + 1, least(w.conf, s.conf) FROM walk w JOIN step s ON s.a = w.id AND s.conf >= {MIN_CONF} WHERE w.hops < {MAX_HOPS}),
+best AS (SELECT seed, id, max(conf) AS conf FROM walk GROUP BY ALL),
+found AS (SELECT seed, id, b.conf, min(hops) AS hops FROM walk w JOIN best b USING (seed, id) WHERE w.conf = b.conf GROUP BY ALL)"""
+
+
+@query(f"{CLOSURE} SELECT seed, id, conf, hops FROM found")
+def code_search_closure(v):
+    """Equivalents of every reference number within five links of confidence 40 or more."""
+    return graph.closure(v.links, seeds(v), MAX_HOPS, MIN_CONF)
+
+
+FLAGSHIP = QUERIES["code_search_closure"]
+
+
+# The links of a part form chains, so the oracle needs no recursion: a network is a run of one part's products.
+NETS = f"{WITH}, net AS (SELECT id, part, brand, min(id) OVER (PARTITION BY part) AS net FROM product)"
+TRUSTED_NETS = f"""{WITH}, cut AS (SELECT p.id, p.part, p.brand, sum(CASE WHEN l.conf >= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY p.part ORDER BY p.id) AS run FROM product p LEFT JOIN link l ON l.b = p.id),
+net AS (SELECT id, part, brand, min(id) OVER (PARTITION BY part, run) AS net FROM cut)"""
+
+
+@query(f"{NETS} SELECT net, CAST(count(*) AS BIGINT) AS products, count(DISTINCT brand) AS brands FROM net GROUP BY net")
+def component_sizes(v):
+    """Networks of linked products."""
+    return graph.networks(v.products, v.links).join(v.products, "id").groupBy("net").agg(F.count("*").alias("products"), F.count_distinct("brand").alias("brands"))
+
+
+@query(f"""{TRUSTED_NETS}, size AS (SELECT net, count(*) AS size FROM net GROUP BY net)
+SELECT a, b, x.size AS size_a, y.size AS size_b, x.size * y.size AS new_pairs FROM link l JOIN net p ON p.id = l.a JOIN size x ON x.net = p.net
+JOIN net q ON q.id = l.b JOIN size y ON y.net = q.net WHERE l.conf < 50 AND p.net <> q.net""")
+def edge_impact(v):
+    """What accepting each pending link (confidence under 50) would join."""
+    nets = graph.networks(v.products, v.links.where("conf >= 50"))
+    return graph.joined_by(v.links.where("conf < 50").select("a", "b"), nets)
+
+
+@query(f"""{CLOSURE}, whole AS (SELECT s.seed, p.id FROM seed s JOIN product q ON q.id = s.seed JOIN product p ON p.part = q.part)
+SELECT seed, id FROM whole ANTI JOIN (SELECT seed, id FROM found) USING (seed, id)""")
+def beyond_hop_cap(v):
+    """Products of a search's network that its five links do not reach."""
+    nets = graph.networks(v.products, v.links)
+    of_seed = seeds(v).join(nets, F.col("seed") == F.col("id")).select("seed", "net")
+    return of_seed.join(nets, "net").select("seed", "id").join(code_search_closure(v).select("seed", "id"), ["seed", "id"], "left_anti")
+
+
+@query(f"{WITH} SELECT part, count(DISTINCT id) AS degree, count(DISTINCT brand) AS brands FROM product GROUP BY part HAVING count(DISTINCT id) >= 15")
+def hub_codes(v):
+    """Reference numbers that 15 products or more hang from."""
+    return graph.hubs(v.products, 15)
+
+
+@query(f"{WITH}, {STEP}, d AS (SELECT s.a AS id, s.b AS other FROM step s UNION SELECT s.a, t.b FROM step s JOIN step t ON t.a = s.b WHERE s.a <> t.b) SELECT p.brand, count(DISTINCT q.brand) AS reached, count(*) AS pairs FROM d JOIN product p ON p.id = d.id JOIN product q ON q.id = d.other GROUP BY p.brand")
+def two_hop_reach(v):
+    """Per brand: how many brands its products reach within two links."""
+    p = v.products.select("id", "brand")
+    rows = graph.two_hops(v.links).join(p, "id").join(p.toDF("other", "other_brand"), "other")
+    return rows.groupBy("brand").agg(F.count_distinct("other_brand").alias("reached"), F.count("*").alias("pairs"))
+
+
+@query(f"""{WITH}, {STEP}, c AS (SELECT DISTINCT p.id FROM step s JOIN product p ON p.id = s.a JOIN product q ON q.id = s.b WHERE s.conf >= 50 AND p.brand <> q.brand)
+SELECT brand, count(*) AS products, count(c.id) AS crossing FROM product p LEFT JOIN c ON c.id = p.id GROUP BY brand""")
+def crossing_health(v):
+    return quality.crossing(v.products, v.links)
+
+
+@query(f"""{WITH}, {STEP}, l AS (SELECT DISTINCT a AS id FROM step), p2 AS (SELECT DISTINCT id FROM price WHERE seen >= DATE '2000-12-01')
+SELECT brand, count(*) AS products, count(l.id) AS linked, count(p2.id) AS priced FROM product p LEFT JOIN l ON l.id = p.id LEFT JOIN p2 ON p2.id = p.id GROUP BY ROLLUP (brand)""")
+def catalog_completeness(v):
+    """Per brand and in all: products, linked ones, priced in the last year."""
+    return quality.completeness(v.products, graph.both_ways(v.links).select(F.col("a").alias("id")), v.prices.where(F.col("seen") >= F.lit("2000-12-01").cast("date")))
+
+
+@query(f"""{WITH}, {STEP}, deg AS (SELECT a, count(*) AS n FROM step GROUP BY a),
+alive AS (SELECT s.a, bool_or(q.brand % 2 <> 0 OR d.n > 1) AS ok FROM step s JOIN product q ON q.id = s.b JOIN deg d ON d.a = s.b GROUP BY s.a)
+SELECT a AS id FROM alive JOIN product p ON p.id = a WHERE NOT ok AND p.brand % 2 <> 0""")
+def dead_links(v):
+    """Supplier products (odd brands) whose links lead nowhere of use."""
+    return quality.dead_links(v.products.select("id", (F.col("brand") % 2 == 0).alias("oem")), v.links)
+
+
+@query(f"{WITH}, m AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link WHERE conf % 7 = 0) SELECT DISTINCT a, b FROM m x WHERE a < b AND EXISTS (SELECT 1 FROM m y WHERE y.a = x.b AND y.b = x.a)")
+def mirrored_links(v):
+    """Pairs stored both ways, in a table where some are."""
+    stored = v.links.select("a", "b").unionByName(v.links.where("conf % 7 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return graph.mirrored(stored)
+
+
+@query(f"""{WITH}, r AS (SELECT a, b FROM link WHERE conf % 5 = 0), p AS (SELECT a, b FROM link WHERE conf < 50), l AS (SELECT a, b FROM link WHERE conf >= 50 UNION ALL SELECT b, a FROM link WHERE conf % 7 = 0 AND conf >= 50)
+SELECT * FROM (SELECT 'self link' AS name, count(*) AS rows FROM l WHERE a = b
+UNION ALL SELECT 'linked and rejected', count(*) FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM l INTERSECT SELECT least(a, b), greatest(a, b) FROM r)
+UNION ALL SELECT 'pending and rejected', count(*) FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM p INTERSECT SELECT least(a, b), greatest(a, b) FROM r)
+UNION ALL SELECT 'stored both ways', count(*) FROM l x WHERE a < b AND EXISTS (SELECT 1 FROM l y WHERE y.a = x.b AND y.b = x.a)) WHERE rows > 0""")
+def impossible_relations(v):
+    links = v.links.where("conf >= 50").select("a", "b").unionByName(v.links.where("conf % 7 = 0 and conf >= 50").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return quality.impossible_relations(links, v.links.where("conf < 50"), v.links.where("conf % 5 = 0"))
+
+
+@query(f"""{WITH}, h AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY md5(concat_ws('/', brand, a, b)), a, b) AS place, count(*) OVER (PARTITION BY brand) AS n FROM (SELECT a, b, a % 1000000 AS brand FROM link))
+SELECT brand, a, b FROM h WHERE place <= 20 OR n <= 26""")
+def control_sample(v):
+    """Twenty links of every brand to look at again."""
+    return quality.control_sample(v.links.select("a", "b", (F.col("a") % 1000000).alias("brand")), 20)
+
+
+# Prices
+
+
+@query(f"""{WITH}, w AS (SELECT brand, price, seen, lag(price) OVER x AS before, lag(seen) OVER x AS since FROM price WINDOW x AS (PARTITION BY id ORDER BY seen, price)),
+r AS (SELECT brand, round(pow(price / before, 30.0 / date_diff('day', CAST(since AS DATE), CAST(seen AS DATE))) - 1, 9) AS rate FROM w WHERE date_diff('day', CAST(since AS DATE), CAST(seen AS DATE)) >= 1 AND before > 0 AND price <> before)
+SELECT brand, count(*) AS changes, round(list_sort(list(rate))[count(*) // 2 + 1], 6) AS monthly_rate FROM r GROUP BY brand HAVING count(*) >= 20""")
+def price_drift(v):
+    return pricing.drift(v.prices)
+
+
+@query(f"""{WITH}, b AS (SELECT id, brand, arg_max(price, (seen, price)) AS before FROM price WHERE seen <= DATE '{TODAY}' - INTERVAL 24 MONTH GROUP BY ALL),
+n AS (SELECT id, arg_max(price, (seen, price)) AS now FROM price WHERE seen > DATE '{TODAY}' - INTERVAL 24 MONTH GROUP BY id), r AS (SELECT brand, now / before AS ratio FROM b JOIN n USING (id))
+SELECT brand, count(*) AS products, round((median(ratio) - 1) * 100, 4) AS increase_pct FROM r WHERE ratio <> 1 AND ratio <= 20 AND ratio >= 0.05 GROUP BY brand HAVING count(*) >= 10""")
+def brand_price_increase(v):
+    """Median increase of each brand over 24 months."""
+    return pricing.increases(v.prices, TODAY, 24)
+
+
+@query(f"""{WITH}, w AS (SELECT id, seen, lag(price) OVER (PARTITION BY id ORDER BY seen, price) AS old, price AS new FROM price), r AS (SELECT *, greatest(old, new) / least(old, new) AS q FROM w),
+s AS (SELECT *, CASE WHEN abs(q / 10 - 1) <= 0.02 OR abs(q / 100 - 1) <= 0.02 OR abs(q / 1000 - 1) <= 0.02 THEN 'decimal' WHEN q > 3 THEN 'jump' END AS reason FROM r WHERE old > 0 AND new > 0)
+SELECT id, seen, old, new, reason FROM s WHERE reason IS NOT NULL""")
+def price_jumps(v):
+    return pricing.jumps(v.prices)
+
+
+def priced_parts(v):
+    """Retail prices rounded to tens as a list states them, each tenth part with a price that stands for none."""
+    fake = F.when(F.col("p_partkey") % 10 == 0, 99999.0).otherwise(F.round(F.col("p_retailprice") / 10) * 10)
+    return v.table("part").select((F.col("p_partkey") % 5).alias("brand"), F.col("p_name").alias("class"), fake.alias("price"))
+
+
+@query("""WITH p AS (SELECT p_partkey % 5 AS brand, p_name AS class, CASE WHEN p_partkey % 10 = 0 THEN 99999.0 ELSE round(p_retailprice / 10) * 10 END AS price FROM part), m AS (SELECT brand, median(price) AS med FROM p GROUP BY brand)
+SELECT brand, price, count(*) AS times, count(DISTINCT class) AS classes FROM p JOIN m USING (brand) GROUP BY brand, price, med HAVING count(*) >= 20 AND count(DISTINCT class) >= 8 AND price >= 20 * med""")
+def placeholder_prices(v):
+    return pricing.placeholders(priced_parts(v))
+
+
+@query(f"""{WITH}, w AS (SELECT id, price, seen, max(seen) OVER (PARTITION BY id) AS last FROM price)
+SELECT id, count(DISTINCT price) AS prices, min(price) AS lowest, max(price) AS highest FROM w WHERE seen >= last - INTERVAL 2400 HOUR GROUP BY id HAVING count(DISTINCT price) >= 2 AND max(price) > 1.05 * min(price)""")
+def two_prices(v):
+    """Products with two prices within 2,400 hours of their last."""
+    return pricing.two_prices(v.prices, 2400)
+
+
+LINKED = f"""{WITH}, now AS (SELECT id, arg_max(price, (seen, price)) AS price FROM price GROUP BY id),
+pair AS (SELECT l.a, l.b, l.conf, x.price AS pa, y.price AS pb, l.a % 1000000 AS ba, l.b % 1000000 AS bb FROM link l JOIN now x ON x.id = l.a JOIN now y ON y.id = l.b),
+scale AS (SELECT brand, count(*) AS pairs, round(median(r), 6) AS scale FROM (SELECT ba AS brand, pa / pb AS r FROM pair UNION ALL SELECT bb, pb / pa FROM pair) GROUP BY brand HAVING count(*) >= 5)"""
+
+
+def linked_prices(v):
+    return pricing.linked_prices(v.links.select("a", "b", "conf"), pricing.latest(v.prices), v.products)
+
+
+@query(f"{LINKED} SELECT brand, pairs, scale FROM scale")
+def price_scale(v):
+    """Each brand's price level against its equivalents."""
+    return pricing.brand_scale(linked_prices(v))
+
+
+@query(f"""{LINKED}, q AS (SELECT a, b, pa / coalesce(x.scale, 1.0) AS x, pb / coalesce(y.scale, 1.0) AS y FROM pair LEFT JOIN scale x ON x.brand = ba LEFT JOIN scale y ON y.brand = bb), t AS (SELECT a, b, round(greatest(x, y) / least(x, y), 4) AS times FROM q)
+SELECT a, b, times FROM t WHERE times >= 8 ORDER BY times DESC, a, b LIMIT 200""")
+def incoherent_prices(v):
+    pairs = linked_prices(v)
+    return pricing.incoherent(pairs, pricing.brand_scale(pairs), 8)
+
+
+@query(f"""{LINKED}, q AS (SELECT least(ba, bb) AS brand, greatest(ba, bb) AS other, CASE WHEN ba < bb THEN pa ELSE pb END AS p, CASE WHEN ba < bb THEN pb ELSE pa END AS q FROM pair WHERE conf >= 50 AND ba <> bb)
+SELECT brand, other, count(*) AS comparisons, count(*) FILTER (p < q) AS wins, round(list_sort(list(round(p / q, 9)))[count(*) // 2 + 1], 6) AS ratio FROM q WHERE p / q < 8 AND p / q > 1.0 / 8 GROUP BY ALL HAVING count(*) >= 5""")
+def brand_duels(v):
+    return pricing.duels(linked_prices(v))
+
+
+# Sales, stock and accounts
+
+SEARCHED = "(SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS part, count(*) AS searched FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)"
+
+
+@query(f"""{WITH}, s AS (SELECT part, count(*) AS sold FROM sale WHERE seen >= DATE '{TODAY}' - 730 AND NOT returned GROUP BY part),
+k AS (SELECT part, coalesce(sold, 0) AS sold, coalesce(searched, 0) AS searched FROM s FULL JOIN {SEARCHED} e USING (part) ORDER BY sold DESC, searched DESC, part LIMIT 300),
+r AS (SELECT *, row_number() OVER (ORDER BY sold DESC, searched DESC, part) - 1 AS place, count(*) OVER () AS n FROM k)
+SELECT part, sold, searched, CASE WHEN place < greatest(1.0, round(0.2 * n)) THEN 'A' WHEN place < round(0.5 * n) THEN 'B' ELSE 'C' END AS class FROM r""")
+def abc_matrix(v):
+    asked = v.table("events").where(F.col("event_type").isin("view", "click")).groupBy(F.get_json_object("props", "$.k").cast("long").alias("part")).agg(F.count("*").alias("searched"))
+    return retail.abc(v.sales, asked, TODAY, days=730)
+
+
+@query(f"""{WITH}, l AS (SELECT id, max(seen) AS last_sale FROM sale WHERE NOT returned GROUP BY id)
+SELECT p.id, strftime(last_sale, '%Y-%m-%d') AS last_sale FROM product p LEFT JOIN l USING (id) WHERE last_sale IS NULL OR last_sale < DATE '{TODAY}' - 720""")
+def dead_stock(v):
+    return retail.dead_stock(v.products, v.sales, TODAY, 720)
+
+
+STOCK = "(SELECT p_partkey AS part, CAST(p_size * 3 AS BIGINT) AS stock FROM part)"
+
+
+def stock(v):
+    return v.table("part").select(F.col("p_partkey").alias("part"), (F.col("p_size") * 3).cast("long").alias("stock"))
+
+
+@query(f"""{WITH}, s AS (SELECT part, count(*) AS sales, sum(units) AS units FROM sale WHERE seen >= DATE '{TODAY}' - 720 AND NOT returned GROUP BY part HAVING count(*) >= 3)
+SELECT part, stock, sales, round(stock / (units / 720), 2) AS days_left FROM {STOCK} JOIN s USING (part) WHERE round(stock / (units / 720), 2) <= 21""")
+def stock_out(v):
+    return retail.stock_out(stock(v), v.sales, TODAY, 720)
+
+
+@query(f"""{WITH}, s AS (SELECT part, sum(units) AS units FROM sale WHERE seen >= DATE '{TODAY}' - 720 AND NOT returned GROUP BY part)
+SELECT part, stock, round(stock * 720 / units, 2) AS days_of_cover FROM {STOCK} LEFT JOIN s USING (part)""")
+def days_of_cover(v):
+    return retail.cover(stock(v), v.sales, TODAY, 720)
+
+
+@query(f"""{WITH}, c AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day), s AS (SELECT CAST(seen AS DATE) AS day, sum(CASE WHEN returned THEN 0 ELSE money END) AS m, count(*) FILTER (NOT returned) AS items FROM sale GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, round(coalesce(m, 0.0), 2) AS money, coalesce(items, 0) AS items FROM c LEFT JOIN s USING (day)""")
+def daily_revenue(v):
+    """Money by day, every day of seven years."""
+    return retail.daily(v.sales, "1995-01-01", "2001-12-31")
+
+
+@query(f"{WITH} SELECT part, sum(units) AS units, round(sum(money), 2) AS money FROM sale WHERE NOT returned GROUP BY part ORDER BY units DESC, money DESC, part LIMIT 10")
+def best_sellers(v):
+    return retail.best_sellers(v.sales)
+
+
+@query(f"{WITH}, g AS (SELECT brand, sum(units) AS units, sum(money) AS m, sum(cost) AS c FROM sale WHERE NOT returned GROUP BY brand) SELECT brand, units, round(m, 2) AS money, round(m - c, 2) AS profit, round((m - c) / m * 100, 2) AS margin_pct FROM g")
+def brand_margin(v):
+    return retail.brand_margin(v.sales)
+
+
+@query(f"{WITH} SELECT strftime(seen, '%Y-%m-%d') AS day, round(sum(money), 2) AS sold, round(sum(CASE WHEN returned THEN money ELSE 0 END), 2) AS given_back, count(DISTINCT sale_id) AS sales FROM sale GROUP BY 1")
+def daily_closing(v):
+    return retail.closing(v.sales)
+
+
+@query(f"""{WITH}, g AS (SELECT brand, count(*) FILTER (seen >= DATE '{TODAY}' - 360 AND seen < DATE '{TODAY}') AS now, count(*) FILTER (seen >= DATE '{TODAY}' - 720 AND seen < DATE '{TODAY}' - 360) AS before FROM sale WHERE returned GROUP BY brand)
+SELECT brand, now, before, now >= 2 AND now > before AS red FROM g""")
+def returns_by_brand(v):
+    return retail.returns_by_brand(v.sales, TODAY, 360)
+
+
+MOVES = """move AS (SELECT o_custkey AS account, o_orderkey * 2 AS move, o_orderdate AS seen, CAST(o_orderdate AS DATE) + 30 AS due, o_totalprice AS amount, o_orderstatus = 'P' AS void FROM orders
+UNION ALL SELECT o_custkey, o_orderkey * 2 + 1, CAST(CAST(o_orderdate AS DATE) + 60 AS TIMESTAMP), NULL, -o_totalprice, FALSE FROM orders WHERE o_orderstatus = 'F')"""
+
+
+@query(f"WITH {MOVES} SELECT account, move, round(sum(CASE WHEN void THEN 0 ELSE amount END) OVER (PARTITION BY account ORDER BY seen, move ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS balance FROM move")
+def running_balance(v):
+    return retail.running_balance(retail.ledger(v.table("orders")))
+
+
+@query(f"""WITH {MOVES}, paid AS (SELECT account, -sum(amount) AS paid FROM move WHERE NOT void AND amount < 0 GROUP BY account),
+c AS (SELECT account, move, due, amount, sum(amount) OVER (PARTITION BY account ORDER BY due, move ROWS UNBOUNDED PRECEDING) AS upto FROM move WHERE NOT void AND amount > 0),
+u AS (SELECT account, move, round(greatest(0, least(amount, upto - coalesce(paid, 0))), 4) AS unpaid, DATE '{TODAY}' - due AS days FROM c LEFT JOIN paid USING (account))
+SELECT account, move, round(unpaid, 2) AS unpaid, days, round(unpaid * 60.0 / 100 * days / 365, 2) AS interest FROM u WHERE unpaid > 0 AND days > 0""")
+def fifo_interest(v):
+    return retail.fifo_interest(retail.ledger(v.table("orders")), 60.0, TODAY)
+
+
+@query(f"""WITH {MOVES}, g AS (SELECT account, sum(amount) AS b, sum(CASE WHEN amount > 0 AND due >= DATE '2001-06-01' THEN amount ELSE 0 END) AS later FROM move WHERE NOT void GROUP BY account)
+SELECT c_custkey AS account, round(coalesce(b, 0), 2) + 0.0 AS balance, round(greatest(0, least(coalesce(b, 0), coalesce(b, 0) - coalesce(later, 0))), 2) + 0.0 AS overdue, round(c_acctbal * 100 - coalesce(b, 0), 2) + 0.0 AS credit_left FROM customer LEFT JOIN g ON account = c_custkey""")
+def account_state(v):
+    customers = v.table("customer").select(F.col("c_custkey").alias("account"), (F.col("c_acctbal") * 100).alias("credit"))
+    return retail.account_state(retail.ledger(v.table("orders")), customers, "2001-06-01")
+
+
+@query(f"""{WITH}, l AS (SELECT DISTINCT brand, strftime(seen, '%Y-%m') AS list FROM price), c AS (SELECT brand, list AS cut FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY list DESC) AS place FROM l) WHERE place = 12),
+m AS (SELECT id, brand, strftime(max(seen), '%Y-%m') AS last_list FROM price GROUP BY id, brand) SELECT id, brand, last_list FROM m JOIN c USING (brand) WHERE last_list < cut""")
+def discontinued(v):
+    """Products absent from their brand's last twelve lists."""
+    return retail.discontinued(v.prices, 12)
+
+
+# Evidence
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT a.k AS asked_code, s.k AS sold_code, count(*) AS times, count(DISTINCT a.user_id) AS users FROM e a JOIN e s ON a.user_id = s.user_id AND s.ts >= a.ts AND s.ts <= a.ts + INTERVAL 20 MINUTE AND a.k <> s.k
+WHERE a.event_type IN ('view', 'click') AND s.event_type = 'purchase' GROUP BY ALL HAVING count(*) >= 1""")
+def search_to_sale(v):
+    return evidence.search_to_sale(v.table("events"), least=1)
+
+
+DECISIONS = "decision AS (SELECT a % 1000000 AS brand_a, b % 1000000 AS brand_b, conf >= 55 AS approved FROM link)"
+
+
+def decisions(v):
+    """Links by brand, approved from confidence 55."""
+    return v.links.select((F.col("a") % 1000000).alias("brand_a"), (F.col("b") % 1000000).alias("brand_b"), (F.col("conf") >= 55).alias("approved"))
+
+
+@query(f"{WITH}, {DECISIONS} SELECT least(brand_a, brand_b) AS brand, greatest(brand_a, brand_b) AS other, count(*) AS decisions, round(count(*) FILTER (approved) / count(*), 6) AS rate FROM decision GROUP BY 1, 2 HAVING count(*) >= 12")
+def approve_rate_pairs(v):
+    return evidence.approve_rates(decisions(v))
+
+
+@query(f"""{WITH}, {DECISIONS}, g AS (SELECT brand_a AS brand, count(*) AS n, count(*) FILTER (NOT approved) AS e FROM decision GROUP BY 1)
+SELECT brand, n AS checked, e AS errors, round(least(1.0, (e / n + 1.959964 * 1.959964 / (2.0 * n) + 1.959964 * sqrt(e / n * (1 - e / n) / n + 1.959964 * 1.959964 / (4.0 * n * n))) / (1 + 1.959964 * 1.959964 / n)), 6) AS upper FROM g""")
+def wilson_bound(v):
+    return evidence.error_bounds(decisions(v))
+
+
+BAND = "CASE WHEN {0} >= 75 THEN 'high' WHEN {0} >= 55 THEN 'medium' WHEN {0} >= 30 THEN 'low' ELSE 'none' END"
+
+
+@query(f"{WITH}, s AS (SELECT conf AS old, (conf * 7 + 13) % 100 AS new FROM link) SELECT {BAND.format('old')} AS old_band, {BAND.format('new')} AS new_band, count(*) AS links FROM s GROUP BY 1, 2")
+def band_transitions(v):
+    return evidence.transitions(v.links.select(F.col("conf").alias("old"), ((F.col("conf") * 7 + 13) % 100).alias("new")))
+
+
+@query(f"""{WITH}, s AS (SELECT customer, part, id, seen FROM sale WHERE NOT returned)
+SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, count(*) AS times FROM s x JOIN s y ON x.customer = y.customer AND x.part = y.part AND x.id <> y.id AND x.seen < y.seen GROUP BY 1, 2""")
+def substitutions(v):
+    return evidence.substitutions(v.sales, 1)
+
+
+@query("""WITH f AS (SELECT p_partkey AS part, p_brand AS brand, p_type AS kind, p_name AS car, CASE WHEN p_size % 4 > 0 THEN p_size % 4 END AS engine FROM part)
+SELECT x.part AS a, y.part AS b, count(DISTINCT x.car) AS cars FROM f x JOIN f y ON x.kind = y.kind AND x.car = y.car AND x.part < y.part AND x.brand <> y.brand AND (x.engine IS NULL OR y.engine IS NULL OR x.engine = y.engine) GROUP BY 1, 2""")
+def fitment_self_join(v):
+    f = v.table("part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_name").alias("car"), F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 4).alias("engine"))
+    return evidence.fitment_pairs(f, 1)
+
+
+@query("SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_size = y.p_size AND x.p_type = y.p_type AND x.p_name = y.p_name AND x.p_partkey < y.p_partkey AND x.p_brand <> y.p_brand")
+def measure_match(v):
+    return evidence.measure_pairs(v.table("part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"), "p_size", "p_type", "p_name"), ["p_size", "p_type", "p_name"])
+
+
+def scored(v):
+    """Links with evidence read off their numbers: a code, how crowded it is, measures, texts, families, decisions, prices."""
+    n = F.col("conf")
+    return v.links.select(
+        "a", "b", F.when(n % 4 > 0, F.concat(F.when(n % 3 > 0, "K").otherwise(""), F.col("part").cast("string"), F.when(n % 4 == 1, "0451").otherwise(""))).alias("code"), (n % 9).alias("hanging"),
+        F.when(n % 5 == 0, "conflict").when(n % 5 < 3, "agree").alias("measures"), (n % 7 == 0).alias("same_text"), (n % 11 == 0).alias("kit"), F.when(n % 6 == 0, False).when(n % 6 < 4, True).alias("same_family"),
+        (n % 8).alias("worked"), (n % 13 < 3).alias("catalogue"), (n % 3).alias("lists"), ((n % 10) / 10.0).alias("approve_rate"), (n % 24).alias("decisions"), (n % 12).cast("double").alias("price_deviation"), (n % 17 == 0).alias("returned"),
+    )
+
+
+@query(f"""{WITH}, p AS (SELECT a, b, conf AS n, CASE WHEN conf % 4 > 0 THEN (CASE WHEN conf % 3 > 0 THEN 'K' ELSE '' END) || part || (CASE WHEN conf % 4 = 1 THEN '0451' ELSE '' END) END AS code FROM link),
+q AS (SELECT *, length(code) AS len, regexp_matches(code, '[A-Z]') AS letter, n % 7 = 0 AS same_text, n % 11 = 0 AS kit, CASE WHEN n % 6 = 0 THEN FALSE WHEN n % 6 < 4 THEN TRUE END AS fam FROM p),
+s1 AS (SELECT *, 50 + CASE WHEN code IS NULL THEN 0 WHEN len >= 8 OR len >= 6 AND letter THEN 20 WHEN len < 4 OR NOT letter AND len < 6 THEN -25 ELSE 0 END + CASE WHEN n % 9 >= 6 THEN -30 WHEN n % 9 BETWEEN 1 AND 2 THEN 10 ELSE 0 END AS x1 FROM q),
+s2 AS (SELECT *, CASE WHEN n % 5 = 0 THEN least(x1 - 45, 15) ELSE x1 END + CASE WHEN n % 5 BETWEEN 1 AND 2 AND NOT same_text THEN 30 ELSE 0 END + CASE WHEN kit THEN -40 ELSE 0 END + CASE WHEN same_text THEN 35 ELSE 0 END
+  + CASE WHEN NOT fam AND NOT kit THEN -40 WHEN fam THEN 15 ELSE 0 END + CASE WHEN n % 13 < 3 THEN 25 ELSE 0 END + CASE WHEN n % 3 >= 2 THEN 20 ELSE 0 END + CASE WHEN n % 12 >= 8 THEN -25 WHEN n % 12 <= 2 THEN 10 ELSE 0 END AS plain,
+  coalesce(NOT fam AND NOT kit, FALSE) OR kit OR n % 17 = 0 AS veto FROM s1),
+s3 AS (SELECT *, plain + CASE WHEN n % 8 >= 2 THEN 35 ELSE 0 END + CASE WHEN n % 24 >= 12 AND (n % 10) / 10.0 >= 0.85 THEN 15 WHEN n % 24 >= 12 AND (n % 10) / 10.0 <= 0.20 THEN -30 ELSE 0 END AS total FROM s2),
+s4 AS (SELECT a, b, greatest(0, least(100, CASE WHEN veto THEN least(plain, 20) ELSE plain END)) AS base, greatest(0, least(100, CASE WHEN veto THEN least(total, 20) ELSE total END)) AS reach FROM s3),
+s5 AS (SELECT a, b, least(reach, CASE WHEN base < 30 AND reach >= 30 THEN 29 ELSE 100 END, CASE WHEN base < 50 AND reach >= 50 THEN 49 ELSE 100 END, CASE WHEN base < 55 AND reach >= 55 THEN 54 ELSE 100 END,
+  CASE WHEN base < 70 AND reach >= 70 THEN 69 ELSE 100 END, CASE WHEN base < 85 AND reach >= 85 THEN 84 ELSE 100 END) AS score FROM s4)
+SELECT a, b, CAST(score AS BIGINT) AS score, {BAND.format('score')} AS band FROM s5""")
+def score_edges(v):
+    return evidence.edge_score(scored(v)).select("a", "b", "score", "band")
+
+
+# Search and texts
+
+#: The vowels with marks and others that occur in the texts, for engines without a rule for them.
+FOLD = f"translate(text, '{text.MARKED}', '{text.PLAIN}')"
+WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower({FOLD}), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+@query(f"SELECT word, count(*) AS docs FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word")
+def word_document_frequency(v):
+    return search.document_frequency(v.table("documents"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_filter({WORDS}, lambda x: regexp_matches(x, '[0-9]') AND length(x) >= 6)) AS token FROM documents)
+SELECT doc_id, token FROM t WHERE token IN (SELECT token FROM t GROUP BY token HAVING count(*) <= 4)""")
+def reliable_codes(v):
+    """Tokens that look like codes and stand in at most four texts."""
+    return search.rare_tokens(v.table("documents"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, length(text) AS size, lower({FOLD}) AS f, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CAST(contains(f, 'thing') AS INT) + CAST(contains(f, 'ering') AS INT) + CAST(contains(f, 'from') AS INT) + CAST(list_contains(w, 'of') AS INT) AS found,
+  CAST(list_contains(w, 'thing') AS INT) + CAST(list_contains(w, 'ering') AS INT) + CAST(list_contains(w, 'from') AS INT) + CAST(list_contains(w, 'of') AS INT) AS whole, size FROM d)
+SELECT doc_id, found, whole, size FROM s WHERE found >= 2 ORDER BY found DESC, whole DESC, size, doc_id LIMIT 200""")
+def text_search_scored(v):
+    return search.text_search(v.table("documents"), "thing ering from of")
+
+
+CODES = "(SELECT DISTINCT upper(replace(p_brand, '#', '')) || p_size || 'X' || p_partkey % 97 AS code FROM part)"
+
+
+@query(f"WITH c AS {CODES} SELECT x.code AS a, y.code AS b FROM c x JOIN c y ON length(x.code) = length(y.code) AND x.code < y.code AND hamming(x.code, y.code) <= 1")
+def typo_neighbours(v):
+    codes = v.table("part").select(F.concat(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.col("p_size").cast("string"), F.lit("X"), (F.col("p_partkey") % 97).cast("string")).alias("code")).distinct()
+    return search.typo_neighbours(codes)
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS probe, b.vec_id AS near, list_cosine_similarity(a.v, b.v) AS cosine FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY cosine DESC, near) AS place FROM p) SELECT probe, place, near, round(cosine, 6) AS cosine FROM r WHERE place <= 5""")
+def visual_top_k(v):
+    """The five nearest of all vectors to every vector whose id is divisible by 100."""
+    e = v.table("embeddings").select("vec_id", "embedding")
+    return search.nearest(e, e.where("vec_id % 100 = 0")).withColumn("place", F.col("place").cast("long"))
+
+
+#: Words of the part names and the family each one names.
+FAMILIES = [("ring", "seals"), ("widget", "fittings"), ("bolt", "fasteners"), ("gear", "transmission"), ("gizmo", "fittings"), ("small", "minor"), ("red", "painted"), ("blue", "painted")]
+
+
+@query("WITH k(word, family) AS (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in FAMILIES) + """), h AS (SELECT p_partkey AS part, family, row_number() OVER (PARTITION BY p_partkey ORDER BY instr(p_name, word), length(word) DESC) AS n FROM part JOIN k ON contains(p_name, word))
+SELECT p_partkey AS part, family FROM part LEFT JOIN (SELECT part AS q, family FROM h WHERE n = 1) ON q = p_partkey""")
+def family_classifier(v):
+    return v.table("part").select(F.col("p_partkey").alias("part"), search.classify(F.col("p_name"), FAMILIES).alias("family"))
+
+
+RAW = "(SELECT p_partkey AS part, CASE p_partkey % 5 WHEN 0 THEN p_partkey || '.0' WHEN 1 THEN '  ' || lower(p_brand) || ' - ' || p_size WHEN 2 THEN '1.5E+' || p_size % 10 WHEN 3 THEN '2024-01-0' || (1 + p_partkey % 9) ELSE 'á/' || p_partkey END AS raw FROM part)"
+
+
+def raw_codes(v):
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    raw = (
+        F.when(k % 5 == 0, F.concat(s(k), F.lit(".0"))).when(k % 5 == 1, F.concat(F.lit("  "), F.lower("p_brand"), F.lit(" - "), s(F.col("p_size")))).when(k % 5 == 2, F.concat(F.lit("1.5E+"), s(F.col("p_size") % 10)))
+        .when(k % 5 == 3, F.concat(F.lit("2024-01-0"), s(1 + k % 9))).otherwise(F.concat(F.lit("á/"), s(k)))
+    )
+    return v.table("part").select(k.alias("part"), raw.alias("raw"))
+
+
+@query(f"""SELECT part, raw, CASE WHEN regexp_full_match(trim(raw), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '' WHEN regexp_full_match(trim(raw), '[0-9](\\.[0-9]+)?[eE]\\+[0-9]{{1,2}}') THEN printf('%.0f', CAST(raw AS DOUBLE))
+ELSE regexp_replace(regexp_replace(upper(trim(raw)), '^([0-9]+)\\.0+$', '\\1'), '[^A-Z0-9]', '', 'g') END AS code FROM {RAW}""")
+def sanitize_codes(v):
+    return raw_codes(v).select("part", "raw", text.sanitize(F.col("raw")).alias("code"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS part, p_partkey * 1234.5 AS x, CASE p_partkey % 4 WHEN 0 THEN '$ ' || replace(CAST(CAST(p_partkey AS DECIMAL(18, 2)) AS VARCHAR), '.', ',') WHEN 1 THEN '-' || (p_partkey % 900 + 100) || '.500,25' WHEN 2 THEN (1 + p_partkey % 9) || ',234,567' ELSE (p_partkey % 90) || '.5' END AS raw FROM part)
+SELECT part, raw, CASE part % 4 WHEN 0 THEN CAST(part AS DOUBLE) WHEN 1 THEN -((part % 900 + 100) * 1000 + 500.25) WHEN 2 THEN CAST((1 + part % 9) * 1000000 + 234567 AS DOUBLE) ELSE part % 90 + 0.5 END AS value FROM n""")
+def parse_numbers(v):
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("$ "), s(k), F.lit(",00"))).when(k % 4 == 1, F.concat(F.lit("-"), s(k % 900 + 100), F.lit(".500,25"))).when(k % 4 == 2, F.concat(s(1 + k % 9), F.lit(",234,567"))).otherwise(F.concat(s(k % 90), F.lit(".5")))
+    return v.table("part").select(k.alias("part"), raw.alias("raw")).withColumn("value", text.read_number(F.col("raw")))
+
+
+@query("""WITH b AS (SELECT p_partkey AS part, lpad(CAST(p_partkey * 7919 % 1000000000000 AS VARCHAR), 12, '0') AS body FROM part),
+d AS (SELECT part, body, list_sum(list_transform(range(1, 13), lambda k: CAST(substr(body, CAST(k AS INT), 1) AS INT) * CASE WHEN k % 2 = 1 THEN 1 ELSE 3 END)) AS s FROM b)
+SELECT part, body || (part % 10) AS code, (10 - CAST(s AS BIGINT) % 10) % 10 = part % 10 AS closes FROM d""")
+def gtin_check(v):
+    code = F.concat(F.lpad((F.col("p_partkey") * 7919 % 1000000000000).cast("string"), 12, "0"), (F.col("p_partkey") % 10).cast("string"))
+    return v.table("part").select(F.col("p_partkey").alias("part"), code.alias("code"), text.gtin_closes(code).alias("closes"))
+
+
+# Checks
+
+
+@query("""SELECT 'line without order' AS name, count(*) AS rows FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT 'line without part', count(*) FROM lineitem ANTI JOIN part ON p_partkey = l_partkey
+UNION ALL SELECT 'order without customer', count(*) FROM orders ANTI JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'label without document', count(*) FROM labels l ANTI JOIN documents d ON d.doc_id = l.doc_id
+UNION ALL SELECT 'price not above zero', count(*) FROM lineitem WHERE l_extendedprice <= 0 UNION ALL SELECT 'code repeated in an order', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
+def orphan_checks(v):
+    line, order, part = v.table("lineitem"), v.table("orders"), v.table("part")
+    dangling = quality.dangling([
+        ("line without order", line, "l_orderkey", order, "o_orderkey"), ("line without part", line, "l_partkey", part, "p_partkey"),
+        ("order without customer", order, "o_custkey", v.table("customer"), "c_custkey"), ("label without document", v.table("labels").select("doc_id"), "doc_id", v.table("documents"), "doc_id"),
+    ])
+    twice = quality.repeated_keys(line, ["l_orderkey", "l_linenumber"]).agg(F.count("*").alias("rows")).select(F.lit("code repeated in an order").alias("name"), "rows")
+    return dangling.unionByName(quality.value_checks([("price not above zero", line, "l_extendedprice <= 0")])).unionByName(twice)
+
+
+@query("""WITH l AS (SELECT s_nationkey AS rule, strftime(l_shipdate, '%Y-%m-%d') AS lot, count(*) AS size FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+w AS (SELECT *, list(size) OVER (PARTITION BY rule ORDER BY lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM l), m AS (SELECT rule, lot, size, list_sort(h)[len(h) // 2 + 1] AS usual FROM w WHERE len(h) > 0)
+SELECT rule, lot, size, usual FROM m WHERE size > 3.0 * usual""")
+def lot_anomaly(v):
+    rows = v.table("lineitem").join(v.table("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return quality.lots_out_of_line(rows.groupBy(F.col("s_nationkey").alias("rule"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("lot")).agg(F.count("*").alias("size")))
+
+
+PROFILED = ["p_name", "p_brand", "p_type", "p_size", "p_partkey"]
+
+
+@query("WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM part" for c in PROFILED) + """)
+SELECT "column", count(*) AS rows, count(*) FILTER (v IS NOT NULL AND trim(v) <> '') AS filled, count(*) FILTER (regexp_full_match(v, '[0-9]+')) AS digits, round(avg(CASE WHEN trim(v) <> '' THEN length(v) END), 4) AS mean_length, count(DISTINCT v) AS kinds FROM u GROUP BY 1""")
+def column_profile(v):
+    return quality.column_profile(v.table("part"), PROFILED)
+
+
+@query("""WITH a AS (SELECT *, coalesce(max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id), -1) AS answered FROM conversations)
+SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user' AND turn > answered) AS waiting, arg_max(role, (turn, role)) AS last_role FROM a GROUP BY conv_id""")
+def inbox_unread_first(v):
+    """Conversations that wait come first when shown; each with its turns and last author."""
+    return quality.inbox(v.table("conversations")).orderBy(F.desc("waiting"), F.desc("conv_id"))
