@@ -3,7 +3,7 @@
 Every byte covered by a string of `length` bytes that starts anywhere else is found, over all
 documents. Strings meet as follows. Each window of `length` bytes has an anchor, its least hashed
 k-mer (the leftmost of equals); equal windows have equal anchors at equal places. An anchor's
-context is all windows that contain it. Contexts are counted by anchor and content:
+context is all windows whose anchor it is, which stand in a row. Contexts are counted by anchor and content:
 
 * equal contexts repeat as a whole; their copies are marked where they stand, and one stands for all;
 * contexts that differ but share an anchor are gathered, by anchor, into shards. A shard's suffix
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from partloom.llm import suffix
 from partloom.llm.base import prepare, staged
 
+#: Bytes of an anchor: a multiple of this, about a third of a window. Longer ones would be more, shorter ones would meet by chance.
 KMER = 32
 #: Bytes of contexts that make a shard, and contexts of one anchor from which it is split.
-SHARD_BYTES, SPLIT_AT = 2_000_000, 1000
+SHARD_BYTES, SPLIT_AT = 1_000_000, 1000
 #: Window starts handled at a time, so that a very long text needs bounded memory.
 STEP = 1 << 20
 PLACE = np.uint64((1 << 22) - 1)
@@ -48,10 +49,15 @@ def raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def anchors(buf: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all windows, ascending, and the hashes of the k-mers there."""
-    n, w = len(buf), length - KMER + 1
-    places, hashes = [], []
+def kmer(length: int) -> int:
+    return max(1, length // (3 * KMER)) * KMER
+
+
+def anchors(buf: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of all windows, ascending, the hashes of the k-mers there, and the first and last start
+    of the windows that are the anchor's."""
+    n, w = len(buf), length - kmer(length) + 1
+    places, hashes, firsts = [], [], []
     for base in range(0, n - length + 1, STEP):
         stop = min(base + STEP, n - length + 1) + length - 1  # end of the last window
         part = buf[base:stop]
@@ -60,6 +66,10 @@ def anchors(buf: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         h = x[:m] * np.uint64(0x9E3779B97F4A7C15)
         for k, c in enumerate((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5), 1):
             h = (h ^ (h >> np.uint64(29))) + x[8 * k : 8 * k + m] * np.uint64(c)
+        m = len(part) - kmer(length) + 1
+        first = h
+        for k in range(KMER, kmer(length), KMER):
+            h = (h[:m] ^ (h[:m] >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + first[k : k + m]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         v = (h & ~PLACE) | np.arange(m, dtype=np.uint64)
@@ -71,13 +81,16 @@ def anchors(buf: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         fore = np.minimum.accumulate(grid, axis=1).ravel()
         back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(back[: m - w + 1], fore[w - 1 : m])
-        at = (least[np.r_[True, least[1:] != least[:-1]]] & PLACE).astype(np.int64)
+        change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        at = (least[change] & PLACE).astype(np.int64)
         places.append(at + base)
         hashes.append(h[at])
+        firsts.append(change + base)
     if not places:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first].view(np.int64)
+        return (np.empty(0, np.int64),) * 4
+    at, one = np.unique(np.concatenate(places), return_index=True)
+    first = np.concatenate(firsts)[one]
+    return at, np.concatenate(hashes)[one].view(np.int64), first, np.r_[first[1:] - 1, n - length]
 
 
 def signed(values: list[int]) -> np.ndarray:
@@ -91,25 +104,25 @@ def keyed(docs: DataFrame, text: str, doc_id: str, more: tuple[str, ...] = ()) -
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """One row per anchor: the document, the place p, the anchor's hash g and the content c of its context."""
+    """One row per anchor: the document, the place p, the context's place s and bytes z, the anchor's hash g and the content c."""
 
     def run(batches):
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            out = {"k1": [], "k2": [], "p": [], "g": [], "c": []}
+            out = {"k1": [], "k2": [], "p": [], "s": [], "z": [], "g": [], "c": []}
             for row, t in enumerate(b.column("t").to_pylist()):
                 buf = raw(t)
                 if len(buf) < length:
                     continue
-                p, g = anchors(buf, length)
-                begin = np.maximum(p + KMER - length, 0)
-                c = signed([xxhash.xxh3_64_intdigest(buf[s : q + length], q - s) for s, q in zip(begin.tolist(), p.tolist())])
-                for name, v in (("k1", np.full(len(p), k1[row])), ("k2", np.full(len(p), k2[row])), ("p", p), ("g", g), ("c", c)):
+                p, g, s, last = anchors(buf, length)
+                z = last - s + length
+                c = signed([xxhash.xxh3_64_intdigest(buf[a : a + n], q - a) for a, n, q in zip(s.tolist(), z.tolist(), p.tolist())])
+                for name, v in (("k1", np.full(len(p), k1[row])), ("k2", np.full(len(p), k2[row])), ("p", p), ("s", s), ("z", z), ("g", g), ("c", c)):
                     out[name].append(v)
             if out["p"]:
                 yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
 
-    return rows.where(F.octet_length("t") >= length).mapInArrow(run, "k1 long, k2 long, p long, g long, c long")
+    return rows.where(F.octet_length("t") >= length).mapInArrow(run, "k1 long, k2 long, p long, s long, z long, g long, c long")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -167,11 +180,11 @@ def spans(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_i
     found = staged(_anchor_rows(rows, length), "anchors")
     noted = _counted(found.withColumn("n", F.lit(1).cast("long")))
     hits = staged(found.join(noted, ["g", "c"]), "repeated_anchors")
-    marks = [hits.where("n > 1").select(*KEY, F.greatest(F.lit(0), F.col("p") + KMER - length).alias("s"), (F.col("p") + length).alias("e"))]
+    marks = [hits.where("n > 1").select(*KEY, "s", (F.col("s") + F.col("z")).alias("e"))]
 
     # One of each content goes on, with its bytes.
-    lone = hits.where("kinds > 1").groupBy("g", "c").agg(F.min(F.struct(*KEY, "p")).alias("w"), F.first("n").alias("n"), F.first("kinds").alias("kinds"))
-    wanted = lone.groupBy(F.col("w.k1").alias("k1"), F.col("w.k2").alias("k2")).agg(F.collect_list(F.struct("w.p", "g", "n", "kinds")).alias("at"))
+    lone = hits.where("kinds > 1").groupBy("g", "c").agg(F.min(F.struct(*KEY, "s", "z", "p")).alias("w"), F.first("n").alias("n"), F.first("kinds").alias("kinds"))
+    wanted = lone.groupBy(F.col("w.k1").alias("k1"), F.col("w.k2").alias("k2")).agg(F.collect_list(F.struct("w.s", "w.z", "w.p", "g", "n", "kinds")).alias("at"))
     texts = rows.where(F.octet_length("t") >= length).join(wanted, KEY)  # copies of id and text: any of them serves
 
     def cut(batches):
@@ -180,8 +193,8 @@ def spans(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_i
             for k1, k2, t, at in zip(*(b.column(c).to_pylist() for c in (*KEY, "t", "at"))):
                 buf = raw(t)
                 for a in at:
-                    s = max(0, a["p"] + KMER - length)
-                    out.append((k1, k2, s, a["n"], buf[s : a["p"] + length], a["g"], a["kinds"], a["p"] - s, 0, length - KMER))
+                    s = a["s"]
+                    out.append((k1, k2, s, a["n"], buf[s : s + a["z"]], a["g"], a["kinds"], a["p"] - s, 0, length - kmer(length)))
             kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 5
             cols = list(zip(*out)) or [()] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["k1", "k2", "s", "n", "x", "g", "kinds", "q", "lo", "hi"])
