@@ -114,12 +114,12 @@ def catalog_completeness(v):
     return quality.completeness(v.products, graph.both_ways(v.links).select(F.col("a").alias("id")), v.prices.where(F.col("seen") >= F.lit("2000-12-01").cast("date")))
 
 
-@query(f"""{WITH}, {STEP}, deg AS (SELECT a, count(*) AS n FROM step GROUP BY a),
+@query(f"""{WITH}, step AS (SELECT a, b FROM link WHERE conf >= 50 UNION ALL SELECT b, a FROM link WHERE conf >= 50), deg AS (SELECT a, count(*) AS n FROM step GROUP BY a),
 alive AS (SELECT s.a, bool_or(q.brand % 2 <> 0 OR d.n > 1) AS ok FROM step s JOIN product q ON q.id = s.b JOIN deg d ON d.a = s.b GROUP BY s.a)
 SELECT a AS id FROM alive JOIN product p ON p.id = a WHERE NOT ok AND p.brand % 2 <> 0""")
 def dead_links(v):
-    """Supplier products (odd brands) whose links lead nowhere of use."""
-    return quality.dead_links(v.products.select("id", (F.col("brand") % 2 == 0).alias("oem")), v.links)
+    """Supplier products (odd brands) whose trusted links lead nowhere of use."""
+    return quality.dead_links(v.products.select("id", (F.col("brand") % 2 == 0).alias("oem")), v.links.where("conf >= 50"))
 
 
 @query(f"{WITH}, m AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link WHERE conf % 7 = 0) SELECT DISTINCT a, b FROM m x WHERE a < b AND EXISTS (SELECT 1 FROM m y WHERE y.a = x.b AND y.b = x.a)")
@@ -172,12 +172,12 @@ def price_jumps(v):
 
 
 def priced_parts(v):
-    """Retail prices rounded to tens as a list states them, each tenth part with a price that stands for none."""
-    fake = F.when(F.col("p_partkey") % 10 == 0, 99999.0).otherwise(F.round(F.col("p_retailprice") / 10) * 10)
+    """Retail prices rounded to tens as a list states them, each 35th part with a price that stands for none."""
+    fake = F.when(F.col("p_partkey") % 35 == 0, 99999.0).otherwise(F.round(F.col("p_retailprice") / 10) * 10)
     return v.table("part").select((F.col("p_partkey") % 5).alias("brand"), F.col("p_name").alias("class"), fake.alias("price"))
 
 
-@query("""WITH p AS (SELECT p_partkey % 5 AS brand, p_name AS class, CASE WHEN p_partkey % 10 = 0 THEN 99999.0 ELSE round(p_retailprice / 10) * 10 END AS price FROM part), m AS (SELECT brand, median(price) AS med FROM p GROUP BY brand)
+@query("""WITH p AS (SELECT p_partkey % 5 AS brand, p_name AS class, CASE WHEN p_partkey % 35 = 0 THEN 99999.0 ELSE round(p_retailprice / 10) * 10 END AS price FROM part), m AS (SELECT brand, median(price) AS med FROM p GROUP BY brand)
 SELECT brand, price, count(*) AS times, count(DISTINCT class) AS classes FROM p JOIN m USING (brand) GROUP BY brand, price, med HAVING count(*) >= 20 AND count(DISTINCT class) >= 8 AND price >= 20 * med""")
 def placeholder_prices(v):
     return pricing.placeholders(priced_parts(v))
