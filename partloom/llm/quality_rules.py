@@ -114,25 +114,31 @@ def judge(text: str | None, limits: Limits) -> tuple:
     )
 
 
-def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limits: Limits = Limits()) -> DataFrame:
-    """One row per input row: the columns named in keep, the base counts and the verdict. No shuffle:
-    each text is judged where it is read."""
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def _judged(docs: DataFrame, text: str, keep: tuple[str, ...], limits: Limits) -> DataFrame:
+    """k0, k1, ..., the columns of keep, and those of SCHEMA."""
     prepare(docs.sparkSession)
     given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
         for b in batches:
             rows = [judge(t, limits) for t in b.column("t").to_pylist()]
-            cols = list(zip(*rows)) if rows else [()] * len(names)
-            made = [pa.array(c, pa.bool_() if m in ("base_failed", "kept") else pa.int64()) for m, c in zip(names, cols)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], *names])
+            cols = list(zip(*rows)) if rows else [()] * len(NAMES)
+            made = [pa.array(c, pa.bool_() if m in ("base_failed", "kept") else pa.int64()) for m, c in zip(NAMES, cols)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], *NAMES])
 
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    out = given.mapInArrow(run, f"{head}, {SCHEMA}" if head else SCHEMA)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names)
+    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{head}{SCHEMA}")
+
+
+def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limits: Limits = Limits()) -> DataFrame:
+    """One row per input row: the columns named in keep, the base counts and the verdict. No shuffle:
+    each text is judged where it is read."""
+    return _judged(docs, text, keep, limits).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *NAMES)
 
 
 def filter_rules(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows whose text the rules keep, with all their columns."""
-    return quality_rules(docs, text, tuple(docs.columns), limits).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return _judged(docs, text, tuple(docs.columns), limits).where("kept").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
