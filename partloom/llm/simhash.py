@@ -38,35 +38,61 @@ LARGE = 20_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words_in: int = 4, digest=xxhash.xxh64_intdigest) -> int:
-    """A bit is one if it is set in over half of the XXH64 hashes of the shingles, repeats included."""
+def shingles(text: str | None, words_in: int) -> list[bytes]:
+    """All shingles in order, repeats included; the whole sequence if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - words_in + 1)
     starts, ends = starts[:n].tolist(), (ends[words_in - 1 :] if len(words) >= words_in else ends[-1:]).tolist()
-    total = np.zeros(64, np.int64)
-    for i in range(0, n, CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(sum(1 << k for k in np.flatnonzero(2 * total > n).tolist()))
+    return [joined[a:b] for a, b in zip(starts, ends)]
+
+
+def majority(hashes: bytes, width: int) -> np.ndarray:
+    """Words of 64 bits; a bit is one if it is set in over half of the hashes of `width` bytes."""
+    total, rows = np.zeros(8 * width, np.int64), np.frombuffer(hashes, np.uint8).reshape(-1, width)
+    for i in range(0, len(rows), CHUNK):
+        total += np.unpackbits(rows[i : i + CHUNK], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(rows), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, words_in: int = 4) -> int:
+    """A bit is one if it is set in over half of the XXH64 hashes of the shingles, repeats included."""
+    found = shingles(text, words_in)
+    return int(majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in found], "<u8").tobytes(), 8)[0]) if found else 0
+
+
+def three_fingerprints(text: str | None, words_in: int) -> tuple[int, int, int]:
+    """The fingerprint by XXH64, and two more by the halves of XXH3's 128 bits."""
+    found = shingles(text, words_in)
+    if not found:
+        return 0, 0, 0
+    first = majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in found], "<u8").tobytes(), 8)
+    return int(first[0]), *map(int, majority(b"".join([xxhash.xxh3_128_digest(x) for x in found]), 16))
+
 
+def likeness(a: str | None, b: str | None, words_in: int) -> float:
+    """Jaccard similarity of two texts' shingles."""
+    x, y = set(shingles(a, words_in)), set(shingles(b, words_in))
+    return len(x & y) / len(x | y) if x or y else 1.0
 
-def fingerprints(docs: DataFrame, text: str, words_in: int, keep: tuple[str, ...], second: bool = False) -> DataFrame:
-    """c0, c1, ..., the columns of keep, f, the fingerprint as a signed long, and e, one by another hash (zero if not second)."""
+
+def fingerprints(docs: DataFrame, text: str, words_in: int, keep: tuple[str, ...], three: bool = False) -> DataFrame:
+    """c0, c1, ..., the columns of keep, and f, the fingerprint as a signed long; if three, f1 and f2 as well."""
     given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
 
     def run(batches):
         for b in batches:
-            f = np.array([fingerprint(t, words_in) for t in b.column("t").to_pylist()], np.uint64).view(np.int64)
-            e = np.array([fingerprint(t, words_in, xxhash.xxh3_64_intdigest) if second else 0 for t in b.column("t").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f), pa.array(e)], names=[*b.schema.names[:-1], "f", "e"])
+            texts = b.column("t").to_pylist()
+            rows = np.array([three_fingerprints(t, words_in) if three else (fingerprint(t, words_in),) for t in texts], np.uint64).view(np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=[*b.schema.names[:-1], *names])
 
+    names = ["f", "f1", "f2"] if three else ["f"]
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
-    return given.mapInArrow(run, f"{head}f long, e long")
+    return given.mapInArrow(run, head + ", ".join(f"{n} long" for n in names))
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -157,26 +183,25 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def joined_links(f: np.ndarray, e: np.ndarray, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
+def joined_links(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is within the radius, one for each fingerprint reached: a search from one that is left
     looks only at those not reached yet."""
-    u, v, left = [], [], np.arange(len(f))
+    u, v, left = [], [], f
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            near = np.bitwise_count(f[left] ^ f[x]) <= radius
-            near[near] = np.bitwise_count(e[left[near]] ^ e[x]) <= check
+            near = np.bitwise_count(left ^ x) <= radius
             if near.any():
                 reached, left = left[near], left[~near]
-                u.append(np.full(len(reached), f[x]))
-                v.append(f[reached])
+                u.append(np.full(len(reached), x))
+                v.append(reached)
                 todo.extend(reached)
     return (np.concatenate(u), np.concatenate(v)) if u else (f[:0], f[:0])
 
 
-def links_of_runs(key: np.ndarray, f: np.ndarray, e: np.ndarray, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal key."""
+def links_of_runs(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal key: all pairs, or in a run with very many, enough to join what they join."""
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[heads, len(key)])
     us, vs = [], []
@@ -186,85 +211,120 @@ def links_of_runs(key: np.ndarray, f: np.ndarray, e: np.ndarray, radius: int, ch
         at = at[at + step < len(key)]
         at = at[number[at] == number[at + step]]
         hit = at[np.bitwise_count(f[at] ^ f[at + step]) <= radius]
-        hit = hit[np.bitwise_count(e[hit] ^ e[hit + step]) <= check]
         us.append(hit)
         vs.append(hit + step)
     i, j = (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64),) * 2
     dense = np.bincount(number[i], minlength=len(sizes)) > 2 * sizes
     plain = ~dense[number[i]] if len(i) else np.empty(0, bool)
     out = [(f[i[plain]], f[j[plain]])]
-    out += [joined_links(f[a : a + n], e[a : a + n], radius, check) for a, n in ((heads[k], sizes[k]) for k in np.flatnonzero(dense | (sizes > 128)))]
+    for k in np.flatnonzero(dense | (sizes > 128)):
+        own = f[heads[k] : heads[k] + sizes[k]]
+        # Each run searches in an order of its own, so that runs in common give different links.
+        out.append(joined_links(own[np.argsort(own * (np.uint64(key[heads[k]] & 0x7FFFFFFFFFFFFFFF) | np.uint64(1)))], radius))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _links(probes: DataFrame, radius: int, check: int) -> DataFrame:
-    """u, v from probes (g, f, e): those that share g are verified."""
-    dealt = probes.select("g", "f", "e").repartition("g").sortWithinPartitions("g")
+def _links(probes: DataFrame, radius: int) -> DataFrame:
+    """u, v from probes (g, f): those that share g are verified."""
+    dealt = probes.select("g", "f").repartition("g").sortWithinPartitions("g")
 
     def run(batches):
         held = []
 
         def flush(rows):
-            key, f, e = (np.concatenate([r[k] for r in rows]) for k in range(3))
-            u, v = links_of_runs(key, f, e, radius, check)
+            key, f = (np.concatenate([r[k] for r in rows]) for k in range(2))
+            u, v = links_of_runs(key, f, radius)
             return pa.RecordBatch.from_pydict({"u": u.view(np.int64), "v": v.view(np.int64)})
 
         for b in batches:
             key = b.column("g").to_numpy()
             if not len(key):
                 continue
-            f, e = (b.column(c).to_numpy().view(np.uint64) for c in ("f", "e"))
+            f = b.column("f").to_numpy().view(np.uint64)
             # The last run may go on in the next batch.
             cut = int(np.searchsorted(key, key[-1]))
             if cut or held and held[-1][0][-1] != key[0]:
-                yield flush([*held, (key[:cut], f[:cut], e[:cut])])
+                yield flush([*held, (key[:cut], f[:cut])])
                 held = []
-            held.append((key[cut:], f[cut:], e[cut:]))
+            held.append((key[cut:], f[cut:]))
         if held:
             yield flush(held)
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links(distinct: DataFrame, radius: int, check: int = 64) -> DataFrame:
-    """u, v: links that join all fingerprints within the radius of one another. distinct: f, no value twice, and e,
-    whose bits may differ in `check` places."""
+def links(distinct: DataFrame, radius: int) -> DataFrame:
+    """u, v: links that join all fingerprints within the radius of one another. distinct: f, no value twice."""
     n, both = bit_statistics(distinct)
     groups, thresholds = allocate(n, both, radius)
     masks = probe_masks(groups, thresholds)
 
     def probes(rows: DataFrame, masks: list[int], *before: str) -> DataFrame:
         values = F.array(*[F.lit(signed(m)) for m in masks])
-        spread = rows.select("f", "e", *before, F.posexplode(values).alias("r", "mask"))
-        return spread.select("f", "e", F.xxhash64(*before, "r", F.col("f").bitwiseAND(F.col("mask"))).alias("g"))
+        spread = rows.select("f", *before, F.posexplode(values).alias("r", "mask"))
+        return spread.select("f", F.xxhash64(*before, "r", F.col("f").bitwiseAND(F.col("mask"))).alias("g"))
 
     found = probes(distinct, masks)
     sizes = staged(found.groupBy("g").count().where(F.col("count") > LARGE), "large_probes")
     if sizes.isEmpty():
-        return _links(found, radius, check)
+        return _links(found, radius)
     # Those that share a large probe differ in few of all bits, so they share one of radius + 1 further parts too.
     parts = [sum(1 << b for b in range(64 * k // (radius + 1), 64 * (k + 1) // (radius + 1))) for k in range(radius + 1)]
     large = found.join(sizes, "g", "left_semi")
-    return _links(found.join(sizes, "g", "left_anti"), radius, check).unionByName(_links(probes(large, parts, "g"), radius, check))
+    return _links(found.join(sizes, "g", "left_anti"), radius).unionByName(_links(probes(large, parts, "g"), radius))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4, check: int | None = None) -> DataFrame:
-    """One row per input row: the id, fingerprint (hex) and component_id, the least id that links reach.
-    check: if given, linked fingerprints by a second hash must be within so many bits too, which lets the radius be
-    wider without chance links."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4) -> DataFrame:
+    """One row per input row: the id, fingerprint (hex) and component_id, the least id that links reach."""
     prepare(docs.sparkSession)
-    rows = staged(fingerprints(docs, text, words_in, (doc_id,), check is not None), "fingerprints")
-    distinct = staged(rows.groupBy("f").agg(F.min("c0").alias("least"), F.min("e").alias("e")), "distinct")
-    roots = components(links(distinct, radius, 64 if check is None else check))
-    linked = roots.join(distinct, roots.node == distinct.f).groupBy("root").agg(F.min("least").alias("component"))
-    named = roots.join(linked, "root").select(F.col("node").alias("f"), "component")
-    of = distinct.join(named, "f", "left").select("f", F.coalesce("component", "least").alias("component_id"))
+    rows = staged(fingerprints(docs, text, words_in, (doc_id,)), "fingerprints")
+    distinct = staged(rows.groupBy("f").agg(F.min("c0").alias("least")), "distinct")
+    named = _named(components(links(distinct, radius)), distinct.select(F.col("f").alias("node"), "least"))
+    of = named.select(F.col("node").alias("f"), F.col("component").alias("component_id"))
     return rows.join(of, "f").select(F.col("c0").alias(doc_id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4, check: int | None = None) -> DataFrame:
-    """docs with one row of each component: that of its least id, all columns kept. Where ids are all null, any one row stays."""
-    kept = near_duplicates(docs, text, doc_id, words_in, radius, check).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+def _named(roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and component: the least id of a node's component. roots: node, root of the linked; nodes: node, least."""
+    least = roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
+    linked = roots.join(least, "root").select("node", "component")
+    return nodes.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: the id and component_id, the least id that links reach, where a link is two texts whose
+    shingles have a Jaccard similarity of at least `similarity`. Candidates are within the radius by one of three
+    fingerprints, and are compared in full; texts with the same three fingerprints are one."""
+    prepare(docs.sparkSession)
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("tk", F.xxhash64("t"))
+    rows = staged(fingerprints(keyed, "t", words_in, ("i", "tk"), three=True).withColumn("node", F.xxhash64("f", "f1", "f2")), "fingerprints")
+    nodes = staged(rows.groupBy("node").agg(F.min("c0").alias("least"), F.min("c1").alias("tk"), *[F.min(c).alias(c) for c in ("f", "f1", "f2")]), "nodes")
+    found = None
+    for c in ("f", "f1", "f2"):
+        distinct = staged(nodes.groupBy(F.col(c).alias("f")).agg(F.min("node").alias("rep")), "distinct")
+        near = links(distinct, radius).distinct()
+        ends = near.join(distinct.toDF("u", "a"), "u").join(distinct.toDF("v", "b"), "v").select("a", "b")
+        equal = nodes.select(F.col("node").alias("a"), F.col(c).alias("f")).join(distinct, "f").select("a", F.col("rep").alias("b"))
+        both = ends.unionByName(equal).where("a <> b")
+        found = both if found is None else found.unionByName(both)
+    pairs = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "tk"), "node")
+    texts = staged(keyed.select("tk", "t").join(wanted, "tk").groupBy("node").agg(F.first("t").alias("t")), "texts")
+
+    def compare(batches):
+        for b in batches:
+            same = [likeness(x, y, words_in) >= similarity for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+    checked = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
+    named = _named(components(checked), nodes.select("node", "least"))
+    return rows.join(named, "node").select(F.col("c0").alias(doc_id), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: that of its least id, all columns kept. Where ids are all null, any one row
+    stays. found: doc_id and component_id of every row."""
+    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
     kept = kept.select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("i")).distinct()
     own = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     held = own.join(kept, (own.h == kept.h) & own.row[doc_id].eqNullSafe(kept.i), "left_semi")

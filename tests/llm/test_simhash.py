@@ -55,7 +55,7 @@ def test_links_against_brute_force(spark, monkeypatch, large):
     rng = random.Random(large)
     f = noisy(rng, 900)
     want = classes(f, 4)
-    df = spark.createDataFrame([(simhash.signed(x), 0) for x in f], "f long, e long")
+    df = spark.createDataFrame([(simhash.signed(x),) for x in f], "f long")
     found = simhash.links(df, 4)
     for r in found.collect():
         assert ((r.u ^ r.v) & (1 << 64) - 1).bit_count() <= 4
@@ -94,6 +94,31 @@ def test_whole_query(spark):
         least[g] = min(i, least.get(g, i))
     rows = simhash.near_duplicates(docs).collect()
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in rows) == sorted((i, f"{x:016x}", least[g]) for i, x, g in zip(ids, f, group))
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values()) and kept.columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_similar_texts(spark):
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(900)]
+    texts = [None, "", "x"]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(300)]
+        for edits in (0, 0, 1, 3, 5, 40, 150):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(10**6)
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    like = lambda i, j: simhash.likeness(texts[i], texts[j], 5) >= 0.8
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[j] != root[i] and like(i, j):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    missed = sum(root[i] != got[i] for i in range(len(texts)))
+    assert missed <= 3 and all(root[i] == root[got[i]] for i in range(len(texts)))
+    assert simhash.similar(docs.limit(0)).count() == 0
