@@ -36,6 +36,8 @@ ROW_COST, PAIR_COST = 1.0, 0.004
 #: Fingerprints that share a probe from which their group is divided by further bits.
 LARGE = 20_000
 CHUNK = 1 << 16
+#: Columns of the fingerprints by which similar() searches.
+FOUR = ["f", "f1", "f2", "f3"]
 
 
 def shingles(text: str | None, words_in: int) -> list[bytes]:
@@ -65,13 +67,12 @@ def fingerprint(text: str | None, words_in: int = 4) -> int:
     return int(majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in found], "<u8").tobytes(), 8)[0]) if found else 0
 
 
-def three_fingerprints(text: str | None, words_in: int) -> tuple[int, int, int]:
-    """The fingerprint by XXH64, and two more by the halves of XXH3's 128 bits."""
+def four_fingerprints(text: str | None, words_in: int) -> list[int]:
+    """Four independent fingerprints, by the halves of XXH3's 128 bits under two seeds."""
     found = shingles(text, words_in)
     if not found:
-        return 0, 0, 0
-    first = majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in found], "<u8").tobytes(), 8)
-    return int(first[0]), *map(int, majority(b"".join([xxhash.xxh3_128_digest(x) for x in found]), 16))
+        return [0] * 4
+    return [int(x) for seed in (SEED, SEED + 1) for x in majority(b"".join([xxhash.xxh3_128_digest(x, seed) for x in found]), 16)]
 
 
 def likeness(a: str | None, b: str | None, words_in: int) -> float:
@@ -80,17 +81,17 @@ def likeness(a: str | None, b: str | None, words_in: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def fingerprints(docs: DataFrame, text: str, words_in: int, keep: tuple[str, ...], three: bool = False) -> DataFrame:
-    """c0, c1, ..., the columns of keep, and f, the fingerprint as a signed long; if three, f1 and f2 as well."""
+def fingerprints(docs: DataFrame, text: str, words_in: int, keep: tuple[str, ...], four: bool = False) -> DataFrame:
+    """c0, c1, ..., the columns of keep, and f, the fingerprint as a signed long; if four, f to f3 by other hashes."""
     given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
 
     def run(batches):
         for b in batches:
             texts = b.column("t").to_pylist()
-            rows = np.array([three_fingerprints(t, words_in) if three else (fingerprint(t, words_in),) for t in texts], np.uint64).view(np.int64).reshape(-1, len(names))
+            rows = np.array([four_fingerprints(t, words_in) if four else [fingerprint(t, words_in)] for t in texts], np.uint64).view(np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=[*b.schema.names[:-1], *names])
 
-    names = ["f", "f1", "f2"] if three else ["f"]
+    names = FOUR if four else ["f"]
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
     return given.mapInArrow(run, head + ", ".join(f"{n} long" for n in names))
 
@@ -291,16 +292,17 @@ def _named(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 5, radius: int = 9, similarity: float = 0.8) -> DataFrame:
     """One row per input row: the id and component_id, the least id that links reach, where a link is two texts whose
-    shingles have a Jaccard similarity of at least `similarity`. Candidates are within the radius by one of three
-    fingerprints, and are compared in full; texts with the same three fingerprints are one."""
+    shingles have a Jaccard similarity of at least `similarity`. Candidates are within the radius by one of four
+    fingerprints, and are compared in full; texts with the same four fingerprints are one. Of pairs between 0.8 and 0.85
+    the radius of 9 finds about 98 in 100 in trials; of more alike ones, all but a few in a thousand."""
     prepare(docs.sparkSession)
     keyed = docs.select(F.col(f"`{doc_id}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("tk", F.xxhash64("t"))
-    rows = staged(fingerprints(keyed, "t", words_in, ("i", "tk"), three=True).withColumn("node", F.xxhash64("f", "f1", "f2")), "fingerprints")
-    nodes = staged(rows.groupBy("node").agg(F.min("c0").alias("least"), F.min("c1").alias("tk"), *[F.min(c).alias(c) for c in ("f", "f1", "f2")]), "nodes")
+    rows = staged(fingerprints(keyed, "t", words_in, ("i", "tk"), four=True).withColumn("node", F.xxhash64(*FOUR)), "fingerprints")
+    nodes = staged(rows.groupBy("node").agg(F.min("c0").alias("least"), F.min("c1").alias("tk"), *[F.min(c).alias(c) for c in FOUR]), "nodes")
     found = None
-    for c in ("f", "f1", "f2"):
+    for c in FOUR:
         distinct = staged(nodes.groupBy(F.col(c).alias("f")).agg(F.min("node").alias("rep")), "distinct")
         near = links(distinct, radius).distinct()
         ends = near.join(distinct.toDF("u", "a"), "u").join(distinct.toDF("v", "b"), "v").select("a", "b")
