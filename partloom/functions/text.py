@@ -93,3 +93,9 @@ def upper_median(values: Column) -> Column:
     """Of an array: the middle value, the larger of two; null if it is empty."""
     s = F.array_sort(values)
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+
+
+def natural_key(c: Column) -> Column:
+    """A key that sorts texts with numbers as people do (A2 before A10): upper case, digits padded to ten places."""
+    parts = F.regexp_extract_all(F.upper(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 10, "0")).otherwise(x)), "")

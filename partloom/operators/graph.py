@@ -96,3 +96,63 @@ def two_hops(links: DataFrame) -> DataFrame:
     step = both_ways(links).select("a", "b")
     second = step.toDF("id", "mid").join(step.toDF("mid", "other"), "mid").select("id", "other")
     return step.toDF("id", "other").unionByName(second).where("id <> other").distinct()
+
+
+def widest(links: DataFrame, pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """For each pair (seed, target): the best bottleneck confidence of any chain between them, and the fewest links of
+    a chain with it; pairs that no chain joins are left out."""
+    found = closure(links, pairs.select("seed").distinct(), most_rounds)
+    return pairs.join(found.withColumnRenamed("id", "target"), ["seed", "target"])
+
+
+def spanning_forest(links: DataFrame) -> list[DataFrame]:
+    """Breadth-first levels of each network from its least product: root, node, parent. A node of one level has
+    neighbours in this, the last and the next level only, so a round looks back two levels."""
+    step = staged(both_ways(canonical(links)).select("a", "b"), "steps")
+    roots = components(step.toDF("u", "v")).where("node = root")
+    levels = [staged(roots.select("root", "node", F.lit(None).cast("long").alias("parent")), "level")]
+    while True:
+        seen = levels[-1].select("node") if len(levels) == 1 else levels[-1].select("node").unionByName(levels[-2].select("node"))
+        reached = levels[-1].join(step, F.col("node") == F.col("a")).select("root", F.col("b").alias("node"), F.col("a").alias("parent"))
+        after = staged(reached.join(seen, "node", "left_anti").groupBy("root", "node").agg(F.min("parent").alias("parent")), "level")
+        if after.isEmpty():
+            return levels
+        levels.append(after)
+
+
+def cut_links(links: DataFrame, least_side: int = 3) -> DataFrame:
+    """Links without which a network falls apart, where both sides have least_side products or more: a, b and smaller,
+    the size of the smaller side.
+
+    Every link outside a spanning forest gets a label, both its ends hold it, and labels are xored up the
+    tree, level by level. A tree link that no other link passes by has nothing left; by chance of 64-bit labels only
+    could another look so. Sizes of subtrees add up on the same way."""
+    levels = spanning_forest(links)
+    tree = levels[1:] and [x.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")) for x in levels[1:]]
+    spare = canonical(links).select("a", "b")
+    for t in tree:
+        spare = spare.join(t, ["a", "b"], "left_anti")
+    ends = staged(spare, "spare_links").select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("x"))
+    labels = staged(ends.groupBy("node").agg(F.bit_xor("x").alias("x")), "labels")
+    below, done = None, []
+    for level in reversed(levels):
+        rows = level.join(labels, "node", "left").select("root", "node", "parent", F.coalesce("x", F.lit(0)).alias("x"), F.lit(1).alias("n"))
+        if below is not None:
+            up = below.select("root", F.col("parent").alias("node"), F.lit(None).cast("long").alias("parent"), "x", "n")
+            rows = rows.unionByName(up).groupBy("root", "node").agg(F.max("parent").alias("parent"), F.bit_xor("x").alias("x"), F.sum("n").alias("n"))
+        below = staged(rows, "subtrees")
+        done.append(below)
+    size = done[-1].select("root", F.col("n").alias("whole"))
+    cut = done[0].where("parent is not null and x = 0")
+    for d in done[1:-1]:
+        cut = cut.unionByName(d.where("parent is not null and x = 0"))
+    rows = cut.join(size, "root").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"), F.least("n", F.col("whole") - F.col("n")).alias("smaller"))
+    return rows.where(F.col("smaller") >= least_side)
+
+
+def middles(links: DataFrame) -> DataFrame:
+    """a, b: products that share a neighbour; how many they share, and the best of the weaker links by way of one. A
+    neighbour with very many links is what hubs() finds; leave it out first."""
+    step = both_ways(canonical(links))
+    two = step.toDF("a", "mid", "c").join(step.toDF("mid", "b", "d"), "mid").where("a < b")
+    return two.groupBy("a", "b").agg(F.count_distinct("mid").alias("shared"), F.max(F.least("c", "d")).alias("best"))

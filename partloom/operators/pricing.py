@@ -99,3 +99,11 @@ def duels(pairs: DataFrame, least_conf: int = 50, most_ratio: float = 8.0, least
     rows = rows.withColumn("ratio", F.col("p") / F.col("q")).where((F.col("ratio") < most_ratio) & (F.col("ratio") > 1 / most_ratio))
     g = rows.groupBy("brand", "other").agg(F.count("*").alias("comparisons"), F.count_if(F.col("p") < F.col("q")).alias("wins"), F.collect_list(F.round("ratio", 9)).alias("r"))
     return g.where(F.col("comparisons") >= least).select("brand", "other", "comparisons", "wins", F.round(upper_median(F.col("r")), 6).alias("ratio"))
+
+
+def before_change(prices: DataFrame) -> DataFrame:
+    """id, price, last_other, last_other_seen: a product's newest price, and the last it had that was another one;
+    products that never changed are left out."""
+    now = latest(prices).select("id", F.col("price").alias("now"))
+    other = prices.join(now, "id").where("price <> now").groupBy("id", "now").agg(F.max(F.struct("seen", "price")).alias("x"))
+    return other.select("id", F.col("now").alias("price"), F.col("x.price").alias("last_other"), F.col("x.seen").alias("last_other_seen"))

@@ -93,3 +93,17 @@ def inbox(messages: DataFrame) -> DataFrame:
     rows = messages.withColumn("answered", F.coalesce(answered, F.lit(-1)))
     g = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if((F.col("role") == "user") & (F.col("turn") > F.col("answered"))).alias("waiting"), F.max(F.struct("turn", "role")).alias("x"))
     return g.select("conv_id", "turns", "waiting", F.col("x.role").alias("last_role"))
+
+
+def what_separates(items: DataFrame, questions: list[str]) -> DataFrame:
+    """Per question (a column): how many answers it has, and how many items an answer is expected to leave (the sum of
+    squares of its groups over the sum); the fewer, the better the question."""
+    long = items.select(F.explode(F.array(*[F.struct(F.lit(c).alias("question"), F.col(c).cast("string").alias("answer")) for c in questions])).alias("x")).select("x.*")
+    groups = long.groupBy("question", "answer").agg(F.count("*").alias("n"))
+    return groups.groupBy("question").agg(F.count("*").alias("answers"), F.round(F.sum(F.col("n") * F.col("n")) / F.sum("n"), 6).alias("left"))
+
+
+def coverage(products: DataFrame, linked: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Products, linked ones and those with a trusted link: by family, and by list. products: id, family, list."""
+    rows = products.join(linked.select("id").distinct().withColumn("l", F.lit(1)), "id", "left").join(trusted.select("id").distinct().withColumn("t", F.lit(1)), "id", "left")
+    return rows.groupingSets([["family"], ["list"]], "family", "list").agg(F.count("*").alias("products"), F.count("l").alias("linked"), F.count("t").alias("trusted"))

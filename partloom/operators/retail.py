@@ -124,3 +124,10 @@ def returns_by_brand(sales: DataFrame, today: str, days: int = 30) -> DataFrame:
     before = (F.col("seen") >= F.date_sub(day, 2 * days)) & (F.col("seen") < F.date_sub(day, days))
     g = sales.where("returned").groupBy("brand").agg(F.count_if(now).alias("now"), F.count_if(before).alias("before"))
     return g.select("brand", "now", "before", ((F.col("now") >= 2) & (F.col("now") > F.col("before"))).alias("red"))
+
+
+def free_stock(stock: DataFrame, reserved: DataFrame) -> DataFrame:
+    """part, stock, reserved, free: what is left of each part's stock after active reservations, never under zero."""
+    held = reserved.groupBy("part").agg(F.sum("units").alias("reserved"))
+    rows = stock.join(held, "part", "left").withColumn("reserved", F.coalesce("reserved", F.lit(0.0)))
+    return rows.select("part", "stock", "reserved", F.greatest(F.col("stock") - F.col("reserved"), F.lit(0.0)).alias("free"))

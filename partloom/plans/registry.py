@@ -524,3 +524,95 @@ SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user' AND turn > ans
 def inbox_unread_first(v):
     """Conversations that wait come first when shown; each with its turns and last author."""
     return quality.inbox(v.table("conversations")).orderBy(F.desc("waiting"), F.desc("conv_id"))
+
+
+# More of the graph
+
+
+@query(f"{WITH} SELECT min(a) AS seed, max(b) AS target, min(conf) AS conf, count(*) AS hops FROM link GROUP BY part")
+def widest_path(v):
+    """From each reference number's first supplier to its last: the chain whose weakest link is strongest."""
+    ends = v.products.groupBy("part").agg(F.min("id").alias("seed"), F.max("id").alias("target")).where("seed <> target").select("seed", "target")
+    return graph.widest(v.links, ends).select("seed", "target", "conf", "hops")
+
+
+@query(f"""{WITH}, n AS (SELECT a, b, row_number() OVER (PARTITION BY part ORDER BY a) AS k, count(*) OVER (PARTITION BY part) + 1 AS n FROM link)
+SELECT a, b, least(k, n - k) AS smaller FROM n WHERE least(k, n - k) >= 3""")
+def cut_edges(v):
+    """Links that alone hold a network together, three products or more on either side."""
+    return graph.cut_links(v.links, 3)
+
+
+@query(f"""{WITH}, {STEP} SELECT s.a, t.b, count(DISTINCT s.b) AS shared, max(least(s.conf, t.conf)) AS best FROM step s JOIN step t ON t.a = s.b WHERE s.a < t.b GROUP BY s.a, t.b""")
+def common_numbers(v):
+    """Pairs of products that a third one joins."""
+    return graph.middles(v.links)
+
+
+@query(f"""{WITH}, {STEP}, l AS (SELECT DISTINCT a AS id FROM step), t AS (SELECT DISTINCT a AS id FROM step WHERE conf >= 50), f AS (SELECT p.id, p.brand AS list, p_type AS family FROM product p JOIN part ON p_partkey = p.part)
+SELECT family, list, count(*) AS products, count(l.id) AS linked, count(t.id) AS trusted FROM f LEFT JOIN l ON l.id = f.id LEFT JOIN t ON t.id = f.id GROUP BY GROUPING SETS ((family), (list))""")
+def catalog_coverage(v):
+    """How much of the catalogue is linked, by family and by list."""
+    rows = v.products.join(v.table("part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("family")), "part").select("id", "family", F.col("brand").alias("list"))
+    ends = graph.both_ways(v.links)
+    return quality.coverage(rows, ends.select(F.col("a").alias("id")), ends.where("conf >= 50").select(F.col("a").alias("id")))
+
+
+@query(f"""{WITH}, n AS (SELECT id, arg_max(price, (seen, price)) AS now FROM price GROUP BY id)
+SELECT id, now AS price, arg_max(p.price, (seen, p.price)) AS last_other, strftime(max(seen), '%Y-%m-%d') AS last_other_seen FROM price p JOIN n USING (id) WHERE p.price <> now GROUP BY id, now""")
+def previous_price(v):
+    """The price a product had before its present one."""
+    return pricing.before_change(v.prices).withColumn("last_other_seen", F.date_format("last_other_seen", "yyyy-MM-dd"))
+
+
+@query("""WITH r AS (SELECT l_partkey AS part, sum(l_quantity) AS reserved FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT p_partkey AS part, p_size * 10.0 AS stock, coalesce(reserved, 0.0) AS reserved, greatest(p_size * 10.0 - coalesce(reserved, 0.0), 0.0) AS free FROM part LEFT JOIN r ON part = p_partkey""")
+def free_stock(v):
+    """Stock (ten times the size) less what pending orders hold."""
+    pending = v.table("orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    held = v.table("lineitem").join(pending, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("units"))
+    stock = v.table("part").select(F.col("p_partkey").alias("part"), (F.col("p_size") * F.lit(10.0)).alias("stock"))
+    return retail.free_stock(stock, held)
+
+
+# Searches that found nothing
+
+
+CODED = "WITH e AS (SELECT user_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS code FROM events), s AS (SELECT code, max(ts) AS sold FROM e WHERE event_type = 'purchase' GROUP BY code), f AS (SELECT code, count(*) AS times, count(DISTINCT user_id) AS users, max(ts) AS last FROM e WHERE event_type = 'error' GROUP BY code)"
+
+
+def failed_and_sold(v):
+    rows = v.table("events").select("user_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("long").alias("code"))
+    return rows.where("event_type = 'error'"), rows.where("event_type = 'purchase'")
+
+
+@query(f"{CODED} SELECT code, times, users, strftime(last, '%Y-%m-%d %H:%M:%S') AS last FROM f LEFT JOIN s USING (code) WHERE sold IS NULL OR sold <= last")
+def unmet_demand(v):
+    """Codes asked for in vain and not sold since."""
+    return search.unmet(*failed_and_sold(v)).withColumn("last", F.date_format("last", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"{CODED} SELECT code, times, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, strftime(sold, '%Y-%m-%d %H:%M:%S') AS sold FROM f JOIN s USING (code) WHERE sold > last")
+def failed_search_now_found(v):
+    """Codes asked for in vain that have been sold since."""
+    return search.met_later(*failed_and_sold(v)).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last", "sold")})
+
+
+ASKED = ["p_name", "p_brand", "p_type", "p_size"]
+
+
+@query("WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS question, CAST({c} AS VARCHAR) AS answer FROM part" for c in ASKED) + """), g AS (SELECT question, answer, count(*) AS n FROM u GROUP BY ALL)
+SELECT question, count(*) AS answers, round(sum(n * n) / sum(n), 6) AS "left" FROM g GROUP BY question""")
+def question_order(v):
+    """Which question about a part leaves the fewest candidates."""
+    return quality.what_separates(v.table("part"), ASKED)
+
+
+@query("""WITH p AS (SELECT p_partkey AS part, chr(CAST(97 + p_partkey % 5 AS INT)) || (p_partkey % 23) || '-' || (p_partkey % 131) AS place FROM part)
+SELECT part, place, array_to_string(list_transform(regexp_extract_all(upper(place), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 10, '0') ELSE x END), '') AS sort_key FROM p""")
+def picking_order(v):
+    """Shelf places and the key by which they are walked: A2 comes before A10."""
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    place = F.concat(F.chr(97 + k % 5), s(k % 23), F.lit("-"), s(k % 131))
+    return v.table("part").select(k.alias("part"), place.alias("place")).withColumn("sort_key", text.natural_key(F.col("place"))).orderBy("sort_key", "part")

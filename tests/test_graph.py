@@ -59,3 +59,44 @@ def test_learned_evidence_may_not_cross_a_line(spark):
     got = {r.a: r for r in evidence.edge_score(spark.createDataFrame(rows, fields)).collect()}
     assert got[1].score == 54 and got[2].score == 100 and got[3].score == 20 and got[4].score == 20
     assert got[2].band == "high" and "veto" in got[3].reasons and "measures conflict" in got[4].reasons
+
+
+def reach(n, edges, start):
+    seen, todo = {start}, [start]
+    while todo:
+        x = todo.pop()
+        for a, b in edges:
+            for p, q in ((a, b), (b, a)):
+                if p == x and q not in seen:
+                    seen.add(q)
+                    todo.append(q)
+    return seen
+
+
+def test_cut_links_against_removal(spark):
+    rnd = random.Random(3)
+    pairs = sorted({tuple(sorted(rnd.sample(range(40), 2))) for _ in range(42)})
+    want = set()
+    for e in pairs:
+        rest = [x for x in pairs if x != e]
+        one, other = reach(40, rest, e[0]), reach(40, rest, e[1])
+        if e[1] not in one and min(len(one), len(other)) >= 2:
+            want.add((*e, min(len(one), len(other))))
+    # Stored both ways, repeated, and with a link to itself.
+    rows = [(a, b, 50) for a, b in pairs] + [(b, a, 60) for a, b in pairs[:9]] + [(7, 7, 90)]
+    got = graph.cut_links(spark.createDataFrame(rows, "a long, b long, conf long"), 2).collect()
+    assert want and {(r.a, r.b, r.smaller) for r in got} == want
+    assert graph.cut_links(spark.createDataFrame([], "a long, b long, conf long")).count() == 0
+
+
+def test_widest_against_thresholds(spark):
+    rnd = random.Random(5)
+    edges = [(*rnd.sample(range(12), 2), rnd.randrange(30, 100)) for _ in range(20)]
+    pairs = [(a, b) for a in range(0, 12, 3) for b in range(12) if a != b]
+    got = {(r.seed, r.target): r.conf for r in graph.widest(spark.createDataFrame(edges, "a long, b long, conf long"), spark.createDataFrame(pairs, "seed long, target long")).collect()}
+    want = {}
+    for c in sorted({x[2] for x in edges}):
+        for a, b in pairs:
+            if b in reach(12, [x[:2] for x in edges if x[2] >= c], a):
+                want[a, b] = c
+    assert got == want
