@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.functions.text import upper_median
 from partloom.operators.graph import both_ways
 
 
@@ -63,10 +63,20 @@ def dead_links(products: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def lots_out_of_line(lots: DataFrame, times: float = 3.0) -> DataFrame:
-    """Lots much larger than the upper median of the earlier lots of their rule. lots: rule, lot, size."""
-    w = Window.partitionBy("rule").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lots.withColumn("usual", upper_median(F.collect_list("size").over(w)))
-    return rows.where(F.col("usual").isNotNull() & (F.col("size") > times * F.col("usual"))).select("rule", "lot", "size", "usual")
+    """Lots much larger than the upper median of the earlier lots of their rule. lots: rule, lot, size, one row per lot.
+    The sizes seen are kept sorted, so a rule of n lots takes n insertions and not n lists."""
+    rows = lots.select("rule", "lot", F.col("size").cast("long").alias("size"))
+
+    def run(group):
+        group, seen, usual = group.sort_values("lot"), [], []
+        for x in group["size"].tolist():
+            usual.append(seen[len(seen) // 2] if seen else -1)
+            insort(seen, x)
+        group["usual"] = usual
+        return group[(group["usual"] >= 0) & (group["size"] > times * group["usual"])]
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy("rule").applyInPandas(run, f"{head}, usual long")
 
 
 def control_sample(pairs: DataFrame, size: int, group: str = "brand") -> DataFrame:
