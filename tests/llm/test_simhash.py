@@ -122,3 +122,35 @@ def test_similar_texts(spark):
     missed = sum(root[i] != got[i] for i in range(len(texts)))
     assert missed <= 3 and all(root[i] == root[got[i]] for i in range(len(texts)))
     assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def compared(texts, words_in=5, similarity=0.8, radius=9):
+    """Least index of each text's component, by comparing all pairs that are candidates."""
+    prints = [simhash.four_fingerprints(t, words_in)[:4] for t in texts]
+    sets = [set(simhash.shingles(t, words_in)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and any((x ^ y).bit_count() <= radius for x, y in zip(prints[i], prints[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_siblings_of_one_original(spark):
+    rng = random.Random(3)
+    texts = []
+    for n in (220, 30, 9):
+        base = ["w%d" % rng.randrange(5000) for _ in range(600)]
+        texts.append(" ".join(base))
+        for _ in range(n):
+            w = list(base)
+            for at in rng.sample(range(600), 10):
+                w[at] = "edit%d" % rng.randrange(10**6)
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = [simhash.likeness(texts[i], texts[j], 5) for i in range(1, 20) for j in range(1, i)]
+    assert sum(x < 0.8 for x in pairs) > 0.95 * len(pairs) and simhash.likeness(texts[0], texts[1], 5) >= 0.8
+    want = compared(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(w == 0 for w in want) > 200
