@@ -73,13 +73,12 @@ def fingerprint(text: str | None, words_in: int = 4) -> int:
 
 
 def four_fingerprints(text: str | None, words_in: int) -> list[int]:
-    """Four independent fingerprints, by the halves of XXH3's 128 bits under two seeds, and the number of distinct
-    shingles."""
-    found = shingles(text, words_in)
+    """Four independent fingerprints of the distinct shingles, as likeness() has them, by the halves of XXH3's 128 bits
+    under two seeds, and the number of these shingles."""
+    found = set(shingles(text, words_in))
     if not found:
         return [0] * 5
-    size = len(set(found))
-    return [*[int(x) for seed in (SEED, SEED + 1) for x in majority(b"".join([xxhash.xxh3_128_digest(x, seed) for x in found]), 16)], size]
+    return [*[int(x) for seed in (SEED, SEED + 1) for x in majority(b"".join([xxhash.xxh3_128_digest(x, seed) for x in found]), 16)], len(found)]
 
 
 def likeness(a: str | None, b: str | None, words_in: int) -> float:

@@ -154,3 +154,24 @@ def test_siblings_of_one_original(spark):
     want = compared(texts)
     got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want and sum(w == 0 for w in want) > 200
+
+
+def test_repeated_lines(spark):
+    rng = random.Random(11)
+    prose = lambda n: ["v%d" % rng.randrange(10**5) for _ in range(n)]
+    texts = []
+    for times in (2, 10, 30, 60):
+        lines, line = [" ".join(prose(20)) for _ in range(30)], " ".join(prose(14))
+        texts += ["\n".join([*lines, line]), "\n".join([*lines, *[line] * times])]
+    line = " ".join(prose(6))
+    texts += ["\n".join([line] * 300 + [" ".join(prose(20))]) for _ in range(4)]  # one line has all the weight
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and simhash.likeness(texts[i], texts[j], 5) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert root == [0, 0, 2, 2, 4, 4, 6, 6, 8, 9, 10, 11]
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == root
