@@ -161,9 +161,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text: str =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text: str = "text", doc_id: str = "doc_id", item: str = "text", item_id: str = "item_id") -> DataFrame:
-    """docs without the rows whose text holds an item, all columns kept. Ids of leaks are few and join back;
-    rows with a null id are judged by their text."""
-    own = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text "), F.sha2(F.col(f"`{text}`"), 256)))
+    """docs without the rows whose text holds an item, all columns kept. Leaks are few and join back by id and a hash of
+    the text, so each row is judged by its own text, whatever ids repeat or are null."""
+    own = F.concat_ws(" ", F.hex(F.xxhash64(F.col(f"`{text}`"))), F.col(f"`{doc_id}`").cast("string"))
     keyed = docs.select(own.alias("k"), F.col(f"`{text}`").alias("t"))
     bad = leaks(keyed, benchmark, rate, "t", "k", item, item_id).select("k").distinct()
     kept = docs.select(own.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(bad, "k", "left_anti")

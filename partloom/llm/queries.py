@@ -72,7 +72,7 @@ FROM caps c LEFT JOIN best b ON b.url = c.url AND b.t = c.t
 
 
 def op3_simhash(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in=4, radius=4)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in=4, radius=4, marks=False)
 
 
 def op4_decontamination(spark, sf_dir):

@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.base import prepare, staged
@@ -382,31 +382,39 @@ class Search:
         return dealt.mapInArrow(run, "a long, b long, more boolean").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4) -> DataFrame:
-    """One row per input row: the id, fingerprint (hex) and component_id, the least id that links reach."""
+def _text_key(text: str) -> Column:
+    """A hash of the text; a null counts as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 4, radius: int = 4, marks: bool = True) -> DataFrame:
+    """One row per input row: the id, fingerprint (hex) and component_id, the least id that links reach; with marks,
+    text_key and component_key too, by which one_of_each() tells rows and components apart whatever their ids are."""
     prepare(docs.sparkSession)
-    rows = staged(fingerprints(docs, text, words_in, (doc_id,)), "fingerprints")
+    given = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), _text_key(text).alias("text_key")) if marks else docs
+    rows = staged(fingerprints(given, text, words_in, (doc_id, "text_key") if marks else (doc_id,)), "fingerprints")
     distinct = staged(rows.groupBy("f").agg(F.min("c0").alias("least")), "distinct")
     named = _named(components(links(distinct, radius)), distinct.select(F.col("f").alias("node"), "least"))
-    of = named.select(F.col("node").alias("f"), F.col("component").alias("component_id"))
-    return rows.join(of, "f").select(F.col("c0").alias(doc_id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    of = named.select(F.col("node").alias("f"), F.col("component").alias("component_id"), F.col("root").alias("component_key"))
+    out = rows.join(of, "f").withColumn("fingerprint", F.lower(F.lpad(F.hex("f"), 16, "0")))
+    return out.select(F.col("c0").alias(doc_id), "fingerprint", "component_id", *([F.col("c1").alias("text_key"), "component_key"] if marks else []))
 
 
 def _named(roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and component: the least id of a node's component. roots: node, root of the linked; nodes: node, least."""
+    """node, component, the least id of a node's component, and root. roots: node, root of the linked; nodes: node, least."""
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
-    linked = roots.join(least, "root").select("node", "component")
-    return nodes.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    linked = roots.join(least, "root").select("node", "component", "root")
+    return nodes.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("root"))
 
 
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_in: int = 5, radius: int = 9, similarity: float = 0.8) -> DataFrame:
-    """One row per input row: the id and component_id, the least id that links reach, where a link is two texts whose
-    shingles have a Jaccard similarity of at least `similarity`. Candidates are within the radius by one of four
+    """One row per input row: the id, component_id, the least id that links reach, and text_key and component_key, by
+    which one_of_each() tells rows and components apart. A link is two texts whose shingles have a Jaccard similarity of at least `similarity`. Candidates are within the radius by one of four
     fingerprints; equal texts are one. Every candidate pair is compared in full, but for those that comparisons have
     joined already. Of pairs between 0.8 and 0.85 the radius of 9 finds about 98 in 100 in trials; of more alike ones,
     all but a few in a thousand."""
     prepare(docs.sparkSession)
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("tk", F.xxhash64("t"))
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), _text_key(text).alias("tk"))
     rows = staged(fingerprints(keyed, "t", words_in, ("i", "tk"), four=True), "fingerprints")
     nodes = staged(rows.groupBy(F.col("c1").alias("node")).agg(F.min("c0").alias("least"), *[F.min(c).alias(c) for c in (*FOUR, "size")]), "nodes")
     runs = []
@@ -435,15 +443,16 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_i
         joined = runs.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         found = staged(Search(radius, similarity, share)(joined), "candidates")
     named = _named(labels, nodes.select("node", "least"))
-    return rows.join(named, rows["c1"] == named["node"]).select(F.col("c0").alias(doc_id), F.col("component").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: that of its least id, all columns kept. Where ids are all null, any one row
-    stays. found: doc_id and component_id of every row."""
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("i")).distinct()
-    own = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    held = own.join(kept, (own.h == kept.h) & own.row[doc_id].eqNullSafe(kept.i), "left_semi")
-    first = held.groupBy("h", F.col("row").getField(doc_id).alias("i")).agg(F.first("row").alias("row"))
-    return first.select("row.*")
+    return rows.join(named, rows["c1"] == named["node"]).select(F.col("c0").alias(doc_id), F.col("component").alias("component_id"), F.col("c1").alias("text_key"), F.col("root").alias("component_key"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of its least id, and of these the least text_key, all columns kept.
+    Nulls come last. Of rows that share an id and a text, any one stays. found: doc_id, text_key and component_key of
+    every row."""
+    least = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("i"), "text_key")).alias("x")
+    kept = found.groupBy("component_key").agg(least).select(F.xxhash64("x.i", "x.text_key").alias("h"), "x.i", F.col("x.text_key").alias("tk"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), _text_key(text)).alias("h"), F.col(f"`{doc_id}`").alias("i"), _text_key(text).alias("tk"), row)
+    held = own.join(kept, (own.h == kept.h) & own.i.eqNullSafe(kept.i) & (own.tk == kept.tk), "left_semi")
+    return held.groupBy("h", "i", "tk").agg(F.first("row").alias("row")).select("row.*")

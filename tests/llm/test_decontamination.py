@@ -62,3 +62,10 @@ def test_blocks_and_clean(spark, monkeypatch):
     left = dec.clean(docs, bench)
     assert sorted(r.k for r in left.collect()) == ["b", "d", "e"] and left.columns == docs.columns
     assert dec.leaks(docs, bench.limit(0)).count() == 0 and dec.clean(docs.limit(0), bench).count() == 0
+
+
+def test_clean_judges_rows_by_their_own_texts(spark):
+    item = "question number one asks about the colour of things"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + item, "a"), (1, "clean", "b"), (None, item, "c"), (None, "clean too", "d"), (1, None, "e")], "doc_id long, text string, k string")
+    assert sorted(r.k for r in dec.clean(docs, bench).collect()) == ["b", "d", "e"]

@@ -175,3 +175,14 @@ def test_repeated_lines(spark):
     assert root == [0, 0, 2, 2, 4, 4, 6, 6, 8, 9, 10, 11]
     got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
     assert [got[i] for i in range(len(texts))] == root
+
+
+@pytest.mark.parametrize("of", [simhash.similar, simhash.near_duplicates])
+def test_one_of_each_with_null_and_repeated_ids(spark, of):
+    rng = random.Random(2)
+    texts = [" ".join("w%d" % rng.randrange(10**5) for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "b"), (None, texts[1], "b"), (5, texts[2], "c"), (5, texts[3], "d"), (5, texts[0], "a"), (4, texts[4], "e"), (9, texts[4], "f"), (None, None, "g"), (None, "", "g"), (4, texts[5], "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    left = simhash.one_of_each(docs, of(docs))
+    got = sorted((r.k, r.doc_id) for r in left.collect())
+    assert got == [("a", 5), ("b", None), ("c", 5), ("d", 5), ("e", 4), ("g", None), ("h", 4)] and left.columns == docs.columns
