@@ -43,7 +43,7 @@ def features(text: str | None) -> np.ndarray:
     out[len(CLASSES) : PLAIN] = [
         np.log1p(len(words)) / 10, sizes.mean() / 20, sizes.std() / 20, len(counts) / len(words), counts.most_common(1)[0][1] / len(words),
         1 - len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)) / 5, (raw > 127).mean(),
-        1 - len(set(zip(words, words[1:], words[2:]))) / max(1, len(words) - 2), np.mean([w[-1:].isalnum() for w in words[:4096]]),
+        1 - len(set(zip(words, words[1:], words[2:]))) / max(1, len(words) - 2), np.mean([w[-1:].isalnum() for w in words]),
         (n - len(buf.translate(None, SPACES))) / n, 1.0,
     ]
     if n > 1:

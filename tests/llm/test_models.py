@@ -129,3 +129,8 @@ def test_exchange_raises_likelihood():
         return x(both) - x(both.sum(0)) - x(both.sum(1))
 
     assert gain(of) >= gain(kind) - 1e-6 and gain(of) > gain(np.arange(30) % 3)
+
+
+def test_ranker_sees_the_whole_of_a_long_text():
+    share = quality_ranker.features("word " * 5000 + "--- " * 5000)[len(quality_ranker.CLASSES) + 9]
+    assert share == 0.5
