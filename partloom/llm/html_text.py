@@ -3,8 +3,9 @@
 Every element of the DOM gets its link-adjusted characters per tag; an element's density sum adds
 those of its children. The subtree with the greatest sum is the text's core; it is lifted to the
 article around it, or, where the page marks none, widened by those neighbours along the path to
-the body whose density reaches the least on that path. Elements that are boilerplate by their kind,
-role or class go before densities are computed.
+the body whose density reaches the least on that path. Elements that are boilerplate by their kind
+or role go before densities are computed, and so do forms and elements whose class or id marks them,
+unless they hold the page's main part (settle()).
 
 Defined results: a null page, or one without text, gives an empty string; broken markup is read as
 far as it goes (unclosed elements end with their parent, unknown end tags are skipped); a page
@@ -36,9 +37,9 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
-BOILERPLATE = frozenset("head nav aside footer form button select input dialog iframe noscript template script style svg canvas object embed audio video textarea menu".split())
+BOILERPLATE = frozenset("head nav aside footer button select input dialog iframe noscript template script style svg canvas object embed audio video textarea menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that mark an element as none of the article.
+#: Names in a class or id, hyphens and underscores left out, that mark an element as none of the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
     "masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related "
@@ -49,35 +50,62 @@ CONTAINERS = frozenset("article main section div body html td table blockquote".
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^<>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "inside")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, marked: bool = False, inside: bool = False):
+        self.tag, self.parent, self.children, self.drop, self.marked, self.inside = tag, parent, [], drop, marked, inside
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate. inside: it stands in an article or main element."""
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its kind, role or being hidden, and whether it is a form or its class or id
+    marks it as such. inside: it stands in an article or main element."""
     if tag in BOILERPLATE or tag == "header" and not inside:
-        return True
+        return True, False
+    marked = tag == "form"
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return False, marked
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name in ("class", "id"):
-            words = set(WORD.findall(value))
-            if words & MARKS or not inside and words & HEAD_MARKS:
-                return True
-    return False
+            names = set(value.replace("-", "").replace("_", "").split())
+            marked = marked or bool(names & MARKS or not inside and names & HEAD_MARKS)
+    return False, marked
+
+
+def settle(nodes: list[Node]) -> None:
+    """Drop marked elements with all below them, but for those that hold the page's main part: outside article and main,
+    one that holds a main element, the page's only articles, or over half of its text."""
+    if not any(x.marked and not x.drop for x in nodes):
+        return
+    chars, mains, articles, under = {}, {}, {}, {}
+    for x in nodes:
+        under[id(x)] = x.marked or x.parent is not None and under[id(x.parent)]
+    free = any(x.tag in ("article", "main") and not x.drop and not under[id(x)] for x in nodes)
+    for x in reversed(nodes):
+        k = id(x)
+        chars[k] = chars.get(k, 0) + sum(len(" ".join(t.split())) for t in x.children if isinstance(t, str))
+        mains[k] = mains.get(k, False) or x.tag == "main" and not x.drop
+        articles[k] = articles.get(k, False) or x.tag == "article" and not x.drop
+        if x.parent:
+            up = id(x.parent)
+            chars[up] = chars.get(up, 0) + chars[k]
+            mains[up], articles[up] = mains.get(up, False) or mains[k], articles.get(up, False) or articles[k]
+    all_chars = chars[id(nodes[0])]
+    for x in nodes:
+        k = id(x)
+        if x.parent is not None and x.parent.drop:
+            x.drop = True
+        elif x.marked and (x.inside or not (mains[k] or articles[k] and not free or 2 * chars[k] > all_chars)):
+            x.drop = True
 
 
 def parse(page: str) -> list[Node]:
@@ -129,7 +157,8 @@ def parse(page: str) -> list[Node]:
             top = close(node)
         if name in ENDS and (node := open_one(*ENDS[name])):
             top = close(node)
-        node = Node(name, top, top.drop or _unwanted(name, attributes, inside > 0))
+        drop, marked = _unwanted(name, attributes, inside > 0)
+        node = Node(name, top, top.drop or drop, marked, inside > 0)
         top.children.append(node)
         nodes.append(node)
         if name in RAW:
@@ -138,6 +167,7 @@ def parse(page: str) -> list[Node]:
         elif name not in VOID and not attributes.rstrip().endswith("/") or name not in VOID and name in BLOCKS:
             top = node
             inside += name in ("article", "main")
+    settle(nodes)
     return nodes
 
 

@@ -142,3 +142,16 @@ def test_html_text_is_linear_in_odd_pages():
     assert html_text.main_text("<div>" * 30000 + "deep") == "deep"
     for odd in ('<a "' * 50000, "<" * 50000, "<p>x</p>" * 20000, "<b>" * 20000 + "x", "&amp;" * 50000):
         html_text.main_text(odd)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='page with-comments'", "div class='layout no-banner'", "div class='widget-content'", "div class='post social-impact'", "div class='content widget'", "div id=overlay", "form action=x"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_html_text_within_marked_wrappers(wrapper, inner):
+    lines = ["A long paragraph with a good number of words to weigh in the balance.", "Another paragraph, which is long as well and has no links at all."]
+    page = f"<body><nav><a href=x>menu</a></nav><{wrapper}><{inner}>" + "".join(f"<p>{x}</p>" for x in lines) + f"<div class='ad'>Buy</div></{inner}></{wrapper.split()[0]}><div class=comments><p>Well said.</p></div></body>"
+    assert html_text.main_text(page) == "\n".join(lines)
+
+
+def test_html_text_drops_comments_that_are_articles():
+    page = "<body><article><p>The text itself, of some length.</p></article><div id=comments>" + "<article><p>A reader says this and that, at length.</p></article>" * 2 + "</div><div class=text><p>" + "More words of the page. " * 9 + "</p></div></body>"
+    assert "reader" not in html_text.main_text(page)
