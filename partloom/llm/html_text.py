@@ -1,15 +1,17 @@
 """Main text of web pages by composite text density.
 
-Every element of the DOM gets its link-adjusted characters per tag; an element's density sum adds
-those of its children. The subtree with the greatest sum is the text's core; it is lifted to the
-article around it, or, where the page marks none, widened by those neighbours along the path to
-the body whose density reaches the least on that path. Elements that are boilerplate by their kind
-or role go before densities are computed, and so do forms and elements whose class or id marks them,
-unless they hold the page's main part (settle()).
+Every element of the whole DOM gets its link-adjusted characters per tag; an element's density sum adds those of its
+children and its own text. The container with the greatest sum is the text's core. The least density on the path
+from it to the body is the threshold: neighbours of that path whose density reaches it belong to the text as well, and a
+heading belongs to the block that follows it. What an element is by its kind, role, class or id (a menu, footer, form,
+advert, comment; an article) is a prior, by which its density counts less or more, never a selection of its own; a
+marked wrapper that holds the page's main part loses its mark (settle()).
 
 Defined results: a null page, or one without text, gives an empty string; broken markup is read as
 far as it goes (unclosed elements end with their parent, unknown end tags are skipped); a page
-without tags is its own text. Repeated rows give repeated results; an empty table gives no rows.
+without tags is its own text. Of containers with equal sums the first in the page is the core. Very long pages are
+read whole, in time and memory in proportion to them. Repeated rows give repeated results; an empty table gives no rows;
+other columns of the pages, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
-BOILERPLATE = frozenset("head nav aside footer button select input dialog iframe noscript template script style svg canvas object embed audio video textarea menu".split())
+#: Elements without text of the page, and kinds that the article is without.
+SILENT = frozenset("head select input iframe noscript noembed noframes template script style svg canvas object embed audio video textarea title".split())
+BOILERPLATE = frozenset("nav aside footer button dialog menu".split())
+#: How much the density of a boilerplate or marked element counts, and of what an article or main element holds.
+MARKED, ARTICLE = 0.001, 4.0
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Names in a class or id, hyphens and underscores left out, that mark an element as none of the article.
 MARKS = frozenset(
@@ -46,45 +52,50 @@ MARKS = frozenset(
     "recommended recommendations comment comments commentlist disqus reply replies respond feedback widget pagination pager toolbar skip".split()
 )
 HEAD_MARKS = frozenset(("header", "siteheader", "pageheader"))
-CONTAINERS = frozenset("article main section div body html td table blockquote".split())
+CONTAINERS = frozenset("article main section div body html td table blockquote form center dd li".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^<>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "inside")
+    """drop: not shown. marked: boilerplate by its kind, role, class or id; firm: by its kind or role. inside: in an article or main element."""
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, marked: bool = False, inside: bool = False):
-        self.tag, self.parent, self.children, self.drop, self.marked, self.inside = tag, parent, [], drop, marked, inside
+    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "weight", "marked", "firm", "inside")
+
+    def __init__(self, tag: str, parent: Node | None, drop: bool, marked: bool = False, firm: bool = False, inside: bool = False):
+        self.tag, self.parent, self.children, self.drop, self.marked, self.firm, self.inside = tag, parent, [], drop, marked, firm, inside
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.weight = 1.0
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its kind, role or being hidden, and whether it is a form or its class or id
-    marks it as such. inside: it stands in an article or main element."""
-    if tag in BOILERPLATE or tag == "header" and not inside:
-        return True, False
-    marked = tag == "form"
+def _prior(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is not shown, whether it is boilerplate by its kind or role, and whether it is a form or its
+    class or id marks it. inside: it stands in an article or main element."""
+    if tag in SILENT:
+        return True, False, False
+    firm, marked = tag in BOILERPLATE or tag == "header" and not inside, tag == "form"
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False, marked
+        return False, firm, marked
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
-            return True, False
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True, False, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
+            return True, False, False
+        firm = firm or name == "role" and value in ROLES
         if name in ("class", "id"):
             names = set(value.replace("-", "").replace("_", "").split())
             marked = marked or bool(names & MARKS or not inside and names & HEAD_MARKS)
-    return False, marked
+    return False, firm, marked
 
 
 def settle(nodes: list[Node]) -> None:
-    """Drop marked elements with all below them, but for those that hold the page's main part: outside article and main,
-    one that holds a main element, the page's only articles, or over half of its text."""
-    if not any(x.marked and not x.drop for x in nodes):
+    """Take the marks off wrappers that hold the page's main part: outside article and main, an element marked by class or
+    id, or a form, that holds a main element, the page's only articles, or over half of its text."""
+    if not any(x.marked and not x.firm and not x.drop for x in nodes):
         return
     chars, mains, articles, under = {}, {}, {}, {}
     for x in nodes:
@@ -102,14 +113,12 @@ def settle(nodes: list[Node]) -> None:
     all_chars = chars[id(nodes[0])]
     for x in nodes:
         k = id(x)
-        if x.parent is not None and x.parent.drop:
-            x.drop = True
-        elif x.marked and (x.inside or not (mains[k] or articles[k] and not free or 2 * chars[k] > all_chars)):
-            x.drop = True
+        if x.marked and not x.firm and not x.inside and (mains[k] or articles[k] and not free or 2 * chars[k] > all_chars):
+            x.marked = False
 
 
 def parse(page: str) -> list[Node]:
-    """Elements in page order, the root first. Children are elements and texts; texts in dropped elements are left out."""
+    """Elements in page order, the root first. Children are elements and texts; texts in elements that are not shown are left out."""
     root = Node("html", None, False)
     nodes, top, at, inside = [root], root, 0, 0
     end = len(page)
@@ -157,8 +166,8 @@ def parse(page: str) -> list[Node]:
             top = close(node)
         if name in ENDS and (node := open_one(*ENDS[name])):
             top = close(node)
-        drop, marked = _unwanted(name, attributes, inside > 0)
-        node = Node(name, top, top.drop or drop, marked, inside > 0)
+        drop, firm, marked = _prior(name, attributes, inside > 0)
+        node = Node(name, top, top.drop or drop, firm or marked, firm, inside > 0)
         top.children.append(node)
         nodes.append(node)
         if name in RAW:
@@ -172,52 +181,57 @@ def parse(page: str) -> list[Node]:
 
 
 def densities(nodes: list[Node]) -> None:
-    """Composite text density and density sum of every kept element; children come after parents in nodes."""
+    """Composite text density, prior weight and density sum of every element that is shown; children come after parents in
+    nodes. tags: the elements below; link_tags: links among them and the element itself; these, and characters in and out of links, count as one at least."""
     for x in reversed(nodes):
         if x.drop:
             continue
-        x.tags = max(1, x.tags)
         x.chars += sum(len(" ".join(t.split())) for t in x.children if isinstance(t, str))
         if x.tag == "a":
             x.link_chars, x.link_tags = x.chars, x.link_tags + 1
         if p := x.parent:
-            p.chars, p.tags = p.chars + x.chars, p.tags + x.tags + (x.parent is not None and x.tags > 0 and bool(x.children))
+            p.chars, p.tags = p.chars + x.chars, p.tags + x.tags + 1
             p.link_chars, p.link_tags = p.link_chars + x.link_chars, p.link_tags + x.link_tags
-    body = nodes[0]
-    share = body.link_chars / max(1, body.chars)
+    share = nodes[0].link_chars / max(1, nodes[0].chars)
     for x in nodes:
         if x.drop or not x.chars:
             continue
-        base = math.log(x.chars / max(1, x.chars - x.link_chars) * x.link_chars + share * x.chars + math.e)
-        x.density = x.chars / x.tags * math.log(max(1.0, x.chars / max(1, x.link_chars) * x.tags / max(1, x.link_tags)) + 1e-9, max(base, 1.0 + 1e-9))
+        tags, linked, plain = max(1, x.tags), max(1, x.link_chars), max(1, x.chars - x.link_chars)
+        base = math.log(x.chars / plain * linked + share * x.chars + math.e)
+        x.density = x.chars / tags * math.log(x.chars / linked * tags / max(1, x.link_tags), base)
+        x.weight = (x.parent.weight if x.parent else 1.0) * (MARKED if x.marked else 1.0) * (ARTICLE if x.tag in ("article", "main") and not x.inside else 1.0)
+        x.total += x.weight * sum(len(" ".join(t.split())) for t in x.children if isinstance(t, str))
         if x.parent:
-            x.parent.total += x.density
-
-
-def chosen(nodes: list[Node]) -> list[Node]:
-    """Subtrees that make the main text, in page order."""
-    kept = [x for x in nodes if not x.drop and x.chars]
-    if not kept:
-        return []
-    best = max(kept, key=lambda x: x.total)
-    while best.tag not in CONTAINERS and best.parent:
-        best = best.parent
-    path = [best]
+            x.parent.total += x.weight * x.density
+
+
+def chosen(nodes: list[Node]) -> tuple[set[int], set[int], float]:
+    """The elements whose subtrees make the main text, those on the path from the core to the body, and the threshold."""
+    boxes = [x for x in nodes if not x.drop and x.chars and (x.tag in CONTAINERS or x.parent is None)]
+    if not boxes:
+        return set(), set(), 0.0
+    core = max(boxes, key=lambda x: x.total)
+    path = [core]
     while path[-1].parent:
         path.append(path[-1].parent)
-    for kind in ("article", "main"):
-        if around := [x for x in path if x.tag == kind]:
-            return around[-1:]
     least = min(x.density for x in path)
-    out, seen = [], {id(x) for x in path}
+    take, on = {id(core)}, {id(x) for x in path[1:]}
     for x in path[1:]:
-        out += [y for y in x.children if isinstance(y, Node) and not y.drop and y.chars and id(y) not in seen and y.density >= least and y.tag in BLOCKS]
-    order = {id(x): k for k, x in enumerate(nodes)}
-    return sorted([best, *out], key=lambda x: order[id(x)])
-
-
-def text_of(trees: list[Node]) -> str:
-    """Blocks in page order: references decoded, white space made single, joined by newlines."""
+        after = None  # the block that follows
+        for y in reversed(x.children):
+            if isinstance(y, str) or y.drop or not y.chars:
+                continue
+            wanted = y is core or id(y) in on
+            if not wanted and not y.marked and y.tag in BLOCKS and (y.weight * y.density >= least or y.tag in HEADINGS and after):
+                take.add(id(y))
+                wanted = True
+            after = wanted
+    return take, on, least
+
+
+def text_of(root: Node, take: set[int], on: set[int], least: float) -> str:
+    """Blocks in page order: references decoded, white space made single, joined by newlines. On the path to the core only
+    what is taken counts, and text that stands in an article or main element itself."""
     blocks, run = [], []
 
     def flush():
@@ -226,24 +240,26 @@ def text_of(trees: list[Node]) -> str:
                 blocks.append(line)
             run.clear()
 
-    for tree in trees:
-        stack = [iter((tree,))]
-        ends = [False]
-        while stack:
-            x = next(stack[-1], None)
-            if x is None:
-                stack.pop()
-                if ends.pop():
-                    flush()
-            elif isinstance(x, str):
+    stack = [(iter((root,)), False, False)]  # what is left of an element, whether its texts count, whether it ends a block
+    while stack:
+        rest, counts, ends = stack[-1]
+        x = next(rest, None)
+        if x is None:
+            stack.pop()
+            if ends:
+                flush()
+        elif isinstance(x, str):
+            if counts:
                 run.append(x)
-            elif not x.drop:
-                block = x.tag in BLOCKS
-                if block:
+        elif not x.drop:
+            whole = id(x) in take or counts and id(x) not in on and not (x.marked and x.weight * x.density < least)
+            if whole or id(x) in on:
+                if block := x.tag in BLOCKS:
                     flush()
-                stack.append(iter(x.children))
-                ends.append(block)
-        flush()
+                stack.append((iter(x.children), whole or x.inside or x.tag in ("article", "main"), block))
+            elif x.tag in BLOCKS:
+                flush()
+    flush()
     return "\n".join(blocks)
 
 
@@ -252,7 +268,7 @@ def main_text(page: str | None) -> str:
         return ""
     nodes = parse(page)
     densities(nodes)
-    return text_of(chosen(nodes))
+    return text_of(nodes[0], *chosen(nodes))
 
 
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -155,3 +155,73 @@ def test_html_text_within_marked_wrappers(wrapper, inner):
 def test_html_text_drops_comments_that_are_articles():
     page = "<body><article><p>The text itself, of some length.</p></article><div id=comments>" + "<article><p>A reader says this and that, at length.</p></article>" * 2 + "</div><div class=text><p>" + "More words of the page. " * 9 + "</p></div></body>"
     assert "reader" not in html_text.main_text(page)
+
+
+def plain_density(x, body):
+    """Composite text density of an element by its definition, walking all below it."""
+    import math
+
+    def texts(n):
+        return "".join(" ".join(c.split()) if isinstance(c, str) else texts(c) for c in n.children if isinstance(c, str) or not c.drop)
+
+    def below(n):
+        return [y for c in n.children if not isinstance(c, str) and not c.drop for y in (c, *below(c))]
+
+    def linked(n):
+        tops = [n] if n.tag == "a" else [y for y in below(n) if y.tag == "a" and not inside_link(y.parent, n)]
+        return sum(len(texts(y)) for y in tops)
+
+    def inside_link(y, top):
+        while y is not top:
+            if y.tag == "a":
+                return True
+            y = y.parent
+        return top.tag == "a"
+
+    c, t, lc, lt = len(texts(x)), max(1, len(below(x))), linked(x), sum(y.tag == "a" for y in [x, *below(x)])
+    base = math.log(c / max(1, c - lc) * max(1, lc) + linked(body) / max(1, len(texts(body))) * c + math.e)
+    return c / t * math.log(c / max(1, lc) * t / max(1, lt)) / math.log(base) if c else 0.0
+
+
+def test_densities_of_random_pages():
+    rng = random.Random(8)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.25:
+            return " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 12)))
+        tag = rng.choice(["div", "span", "a", "section", "b", "article", "nav", "ul"])
+        inner = "".join(some(depth - 1) for _ in range(rng.randint(1, 4)))
+        inner = re.sub(r"</?a>", "", inner) if tag == "a" else inner
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(60):
+        nodes = html_text.parse("<body>" + "".join(some(5) for _ in range(4)))
+        html_text.densities(nodes)
+        for x in nodes:
+            assert abs(x.density - plain_density(x, nodes[0])) < 1e-6 * max(1.0, x.density)
+
+
+PARAGRAPH = "A long sentence of plain prose that says something, and then goes on to say some more of it. " * 3
+FOOT = '<nav><a href=1>Home</a> <a href=2>News</a></nav>', '<aside>Other things to see</aside><footer>Rights reserved by the owner of this page</footer>'
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<main><article><p>{PARAGRAPH}</p></article><article><p>Second {PARAGRAPH}</p></article></main>", [PARAGRAPH.strip(), "Second " + PARAGRAPH.strip()]),
+        (f'<article><h1>Title</h1><p class="related-work">{PARAGRAPH}</p><div class="social-science">{PARAGRAPH}</div></article>', ["Title", PARAGRAPH.strip(), PARAGRAPH.strip()]),
+        (f"<div><h2>Title</h2><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>Short.</p></div></div>", ["Title", PARAGRAPH.strip(), PARAGRAPH.strip(), "Short."]),
+        (f'<article><p>{PARAGRAPH}</p><div class="ad">Buy this now, it is cheap and good.</div><form>Your name <input></form><ul><li>One</li><li>Two</li></ul></article>', [PARAGRAPH.strip(), "One", "Two"]),
+        (f'<article><section><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></section><section><p>Brief end of it all, told in one line.</p></section></article><div class="comments"><p>{PARAGRAPH * 2}</p></div>', [PARAGRAPH.strip(), PARAGRAPH.strip(), "Brief end of it all, told in one line."]),
+        (f"<article>Loose text in front.<div><p>{PARAGRAPH}</p></div>and behind.</article>", ["Loose text in front.", PARAGRAPH.strip(), "and behind."]),
+    ],
+)
+def test_html_text_by_density(page, want):
+    assert html_text.main_text(f"<html><body>{FOOT[0]}{page}{FOOT[1]}</body></html>").split("\n") == want
+
+
+def test_html_text_of_a_very_long_page_and_repeated_rows(spark):
+    page = "<body><article>" + f"<p>{PARAGRAPH}</p>" * 20000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", page, 5), (1, "u", page, 5), (None, None, None, 6)], "page_id long, url string, html string, n_chars int")
+    rows = html_text.extract(pages).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, 0), *[(1, 20000 * (len(PARAGRAPH.strip()) + 1) - 1)] * 2]
