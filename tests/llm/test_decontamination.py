@@ -35,8 +35,8 @@ def edited(rng, t, n):
 def test_against_brute_force(spark, rate):
     rng = random.Random(int(rate * 10))
     prose = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(n))
-    items = [(i, prose(rng.randint(8, 30))) for i in range(12)] + [(90, None), (91, ""), (92, "tiny")]
-    texts = [None, "", "tiny", prose(40)]
+    items = [(i, prose(rng.randint(8, 30))) for i in range(12)] + [(90, None), (91, ""), (92, "tiny"), (93, "ab"), (94, "c d")]
+    texts = [None, "", "tiny", "tinyish", prose(40)]
     for _ in range(40):
         i, t = rng.choice(items[:12])
         m = len(t)
@@ -48,7 +48,9 @@ def test_against_brute_force(spark, rate):
     for k, t in enumerate(texts):
         for i, p in items:
             p = dec.normal(p)
-            if t and len(p) >= dec.MIN_CHARS and (d := least(p, dec.normal(t))) <= math.floor(rate * len(p)):
+            if t and p and len(p) < dec.WHOLE_WORDS and f" {p} " in f" {dec.normal(t)} ":
+                want[k, i] = 0  # these texts are words and blanks only
+            elif t and len(p) >= dec.WHOLE_WORDS and (d := least(p, dec.normal(t))) <= math.floor(rate * len(p)):
                 want[k, i] = d
     assert got == want and len(want) > 10
 
@@ -69,3 +71,18 @@ def test_clean_judges_rows_by_their_own_texts(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " + item, "a"), (1, "clean", "b"), (None, item, "c"), (None, "clean too", "d"), (1, None, "e")], "doc_id long, text string, k string")
     assert sorted(r.k for r in dec.clean(docs, bench).collect()) == ["b", "d", "e"]
+
+
+def test_short_items_are_whole_words():
+    m = dec.Matcher([(1, "What is 2+2? Four"), (2, "yes"), (3, "(a)")], 0.1)
+    assert [x[0] for x in m.leaks("so: what is  2+2? four, they say")] == [1]
+    assert [x[0] for x in m.leaks("Yesterday eyes; oh yes. x(a)y")] == [2, 3] and not m.leaks("yesterday what is 2+2? fourteen")
+
+
+def test_very_long_texts_repeated_rows_and_clashing_names(spark):
+    item = "question number one asks about the colour of things"
+    bench = spark.createDataFrame([(1, item, 7), (1, item, 8)], "item_id long, text string, distance int")
+    long = "word " * 400_000 + item
+    docs = spark.createDataFrame([(1, long, 1), (1, long, 1), (2, "word " * 400_000, 2)], "doc_id long, text string, distance int")
+    assert [(r.doc_id, r.item_id, r.distance) for r in dec.leaks(docs, bench).collect()] == [(1, 1, 0)] * 2
+    assert [r.doc_id for r in dec.clean(docs, bench).collect()] == [2]
