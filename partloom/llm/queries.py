@@ -80,7 +80,7 @@ def op4_decontamination(spark, sf_dir):
 
 
 def op5_exact_spans(spark, sf_dir):
-    return exact_spans.remove(table(spark, sf_dir, "documents"), 400).drop("kept_text")
+    return exact_spans.remove(table(spark, sf_dir, "documents"), 400).withColumnRenamed("kept_text", "text")
 
 
 def op6_quality_rules(spark, sf_dir):
@@ -106,8 +106,7 @@ def op9_html_text(spark, sf_dir):
 def op10_class_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 7) == 2
-    model, counts = class_lm.fit(docs.where(~held))
-    return class_lm.score(docs, model, counts, keep={"doc_id": F.col("doc_id"), "held_out": held})
+    return class_lm.score(docs, class_lm.fit(docs.where(~held)), keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_simhash, op4_decontamination, op5_exact_spans, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm)}

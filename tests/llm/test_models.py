@@ -87,8 +87,8 @@ def test_class_model_counts(spark):
         counts[None] += 1
     n, v = sum(counts.values()), len(counts)
     settings = class_lm.Settings(top_words=30, classes=5, known_words=60)
-    model, table = class_lm.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2), settings=settings)
-    got = class_lm.score(docs, model, table).collect()
+    model = class_lm.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2), settings=settings)
+    got = class_lm.score(docs, model).collect()
     assert len(got) == len(rows)
     want = {}
     for i, t, _ in rows:
@@ -97,30 +97,77 @@ def test_class_model_counts(spark):
     for r in got:
         assert any((r.n_tokens, r.n_known, r.train_tokens) == w[:3] and r.base_score == pytest.approx(w[3]) for w in want[r.doc_id])
         assert r.score < 0
-    assert class_lm.score(docs.limit(0), model, table).count() == 0
+    assert class_lm.score(docs.limit(0), model).count() == 0
+
+
+def all_words(model):
+    """Count and class of every training word."""
+    found = {w: (int(model.counts[k]), int(model.kinds[k])) for w, k in model.ids.items()}
+    return found | {bytes(r.w): (r.n, r.c) for r in model.rest.collect()}
 
 
 def test_class_model_is_a_distribution(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a", "a a b d e", "", "c d a"])], "doc_id long, text string")
-    model, table = class_lm.fit(docs, settings=class_lm.Settings(top_words=3, classes=2, known_words=10))
+    model = class_lm.fit(docs, settings=class_lm.Settings(top_words=3, classes=2, known_words=4))
     assert np.allclose((10**model.step).sum(1), 1)
-    counts = {bytes(r.w): r.n for r in table.collect()}
     emit = np.zeros(len(model.below))
-    for w, n in counts.items():
-        c = model.ids.get(w, model.rare)
+    words = all_words(model)
+    assert {w.decode(): n for w, (n, _) in words.items()} == {"a": 6, "b": 3, "c": 2, "d": 2, "e": 1} and model.unseen not in {c for _, c in words.values()}
+    for n, c in words.values():
         emit[c] += (n + 1) / 10 ** model.below[c]
-    emit[model.rare] += 1 / 10 ** model.below[model.rare]  # the unseen
+    emit[model.unseen] += 1 / 10 ** model.below[model.unseen]
     emit[model.end] += (model.ends + 1) / 10 ** model.below[model.end]
     assert np.allclose(emit, 1)
 
 
+@pytest.mark.parametrize("known", [0, 25, 1000])
+def test_class_model_against_brute_force(spark, monkeypatch, known):
+    """Given the classes, steps and scores follow from plain counts; each word outside the exchange has the class of greatest gain."""
+    monkeypatch.setattr(class_lm, "HELD", 7)
+    monkeypatch.setattr(class_lm, "TOGETHER", 5)
+    rng = random.Random(known)
+    texts = [None, ""] + [" ".join(f"w{min(rng.randint(0, 60), rng.randint(0, 60))}" for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    model = class_lm.fit(docs.where("doc_id < 40"), settings=class_lm.Settings(top_words=10, classes=4, known_words=known))
+    words, size = all_words(model), len(model.below)
+    runs = [[*((words.get(w, (0, model.unseen))) for w in class_lm.tokens(t)), (40, model.end)] for t in texts]
+    pairs = np.zeros((size, size))
+    for run in runs[:40]:
+        for x, y in zip([(0, model.end), *run], run):
+            pairs[x[1], y[1]] += 1
+    assert np.allclose(model.step, np.log10((pairs + 1) / (pairs.sum(1, keepdims=True) + size)))
+    for r in class_lm.score(docs, model).collect():
+        run = runs[r.doc_id]
+        want = sum(model.step[x[1], y[1]] + np.log10(y[0] + 1) - model.below[y[1]] for x, y in zip([(0, model.end), *run], run))
+        assert r.score == pytest.approx(want) and r.n_known == sum(n > 0 for n, _ in run)
+
+
+def test_words_beside_the_exchange_take_the_class_of_greatest_gain(spark):
+    pairs = np.array([[1, 9, 2, 3], [8, 0, 1, 2], [3, 2, 0, 1], [5, 4, 1, 0]], float)
+    rows = [(5, [0 * 4 + 1, 1 * 4 + 0], [3, 1]), (6, [2 * 4 + 2], [2]), (7, [3 * 4 + 3, 1 * 4 + 1, 0], [1, 1, 5])]
+    got = {r.w: (r.n, r.c) for r in class_lm.placed(spark.createDataFrame(rows, "w long, codes array<long>, ns array<long>"), pairs, "long").where("w is not null").collect()}
+    row, col = pairs.sum(1) + 4, pairs.sum(0) + 4
+    for w, codes, ns in rows:
+        gain = [sum(n * (np.log((pairs[x // 4, k] + 1) / row[x // 4] / col[k]) + np.log((pairs[k, x % 4] + 1) / row[k] / col[x % 4])) for x, n in zip(codes, ns)) for k in range(2)]
+        assert got[w] == (sum(ns), int(np.argmax(gain)))
+
+
+def test_very_long_texts_in_models(spark):
+    long = "aa bb cc " * 300_000
+    docs = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (2, "aa bb", "y")], "doc_id long, text string, lang string")
+    out = class_lm.score(docs, class_lm.fit(docs, settings=class_lm.Settings(top_words=2, classes=2, known_words=2))).collect()
+    assert sorted(r.n_tokens for r in out) == [3, 900_001, 900_001]
+    assert language_id.predict(docs, language_id.fit(docs)).count() == 3
+    assert quality_ranker.score(docs, quality_ranker.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), F.lit(True))).count() == 3
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(1)
     kind = rng.integers(0, 3, 30)
     pull = np.where(kind[:, None] == (kind[None, :] + 1) % 3, 8.0, 0.2)
     bigrams = np.zeros((32, 32))
     bigrams[:30, :30] = rng.poisson(pull)
-    of = class_lm.exchange(bigrams, 30, 3, 20)[:30]
+    of = class_lm.exchange(bigrams, 30, 3)[:30]
 
     def gain(c):
         both = np.zeros((3, 3))
@@ -134,3 +181,23 @@ def test_exchange_raises_likelihood():
 def test_ranker_sees_the_whole_of_a_long_text():
     share = quality_ranker.features("word " * 5000 + "--- " * 5000)[len(quality_ranker.CLASSES) + 9]
     assert share == 0.5
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exchange_ends_where_no_word_would_move(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(3, 12))
+    bigrams = rng.poisson(2, (n + 2, n + 2)).astype(float)
+    of = class_lm.exchange(bigrams, n, 3)
+
+    def likelihood(c):
+        both = np.zeros((c.max() + 1,) * 2)
+        np.add.at(both, (c[:, None], c[None, :]), bigrams)
+        x = lambda a: (a * np.log(np.maximum(a, 1e-300))).sum()
+        return x(both) - x(both.sum(0)) - x(both.sum(1))
+
+    for w in range(n):
+        for c in range(3):
+            other = of.copy()
+            other[w] = c
+            assert likelihood(other) <= likelihood(of) + 1e-6
