@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; where the setting
-    is absent (tests), a temporary folder that is set for the session."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Where the setting is absent and Spark is local
+    (tests), a temporary folder that is set for the session; on a cluster that would be each machine's own, so it is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="partloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return it as reread: lineage ends there, so a
-    lost executor costs no recomputation of what came before."""
+    lost executor costs no recomputation of what came before, and its shuffle files are freed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/partloom/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)

@@ -89,10 +89,9 @@ def wilson_upper(errors: Column, checked: Column) -> Column:
     return F.when(checked > 0, F.least(F.lit(1.0), (p + z * z / (2 * n) + z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))).otherwise(1.0)
 
 
-def upper_median(values: Column) -> Column:
-    """Of an array: the middle value, the larger of two; null if it is empty."""
-    s = F.array_sort(values)
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median(column: str) -> Column:
+    """An aggregate over a column named: the middle value of a group, the larger of two. Counts of values add up within tasks."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")
 
 
 def natural_key(c: Column) -> Column:

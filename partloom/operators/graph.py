@@ -6,6 +6,9 @@ folder, so that lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,22 +29,36 @@ def mirrored(links: DataFrame) -> DataFrame:
     return links.where("a < b").select("a", "b").join(links.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").distinct()
 
 
-def closure(links: DataFrame, seeds: DataFrame, max_hops: int, min_conf: int = 0) -> DataFrame:
-    """For every seed and every product within max_hops links of at least min_conf: the best bottleneck confidence of
-    such a chain, and the fewest hops of a chain with that bottleneck. seeds: column seed. A seed reaches itself, with
-    confidence 100 and no hop. A round extends only chains that are not dominated by one as short with a better bottleneck."""
+def closure(links: DataFrame, seeds: DataFrame, max_hops: int | None, min_conf: int = 0) -> DataFrame:
+    """For every seed and every product within max_hops links (None: any number) of at least min_conf: the best bottleneck
+    confidence of such a chain, and the fewest hops of a chain with that bottleneck. seeds: column seed. A seed reaches
+    itself, with confidence 100 and no hop. A round extends only chains that are not dominated by one as short with a
+    better bottleneck; what is best so far is one table, to which rounds add, and which is made one again as they gather."""
     step = staged(both_ways(links.where(F.col("conf") >= min_conf)), "steps")
-    found = front = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops"), F.lit(100).cast("long").alias("conf")).distinct()
-    for hop in range(1, max_hops + 1):
+    best = lambda df: df.groupBy("seed", "id").agg(F.max(F.struct("conf", F.negative("hops").alias("h"))).alias("x")).select("seed", "id", F.negative("x.h").alias("hops"), F.col("x.conf").alias("conf"))
+    front = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops"), F.lit(100).cast("long").alias("conf")).distinct()
+    known, fronts, hop = None, [front], 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         reached = front.join(step.withColumnRenamed("conf", "c"), front.id == step.a).select("seed", F.col("b").alias("id"), F.least("conf", "c").alias("conf"))
-        best = reached.groupBy("seed", "id").agg(F.max("conf").alias("conf"))
-        had = found.groupBy("seed", "id").agg(F.max("conf").alias("had"))
-        better = best.join(had, ["seed", "id"], "left").where("had is null or conf > had").select("seed", "id", F.lit(hop).alias("hops"), "conf")
+        reached = reached.groupBy("seed", "id").agg(F.max("conf").alias("conf"))
+        if len(fronts) >= ROUNDS:
+            known, fronts = staged(best(_all(known, fronts)), "best"), []
+        had = _all(known, fronts).groupBy("seed", "id").agg(F.max("conf").alias("had"))
+        better = reached.join(had, ["seed", "id"], "left").where("had is null or conf > had").select("seed", "id", F.lit(hop).alias("hops"), "conf")
         front = staged(better, "front")
         if front.isEmpty():
             break
-        found = found.unionByName(front)
-    return found.groupBy("seed", "id").agg(F.max(F.struct("conf", F.negative("hops").alias("h"))).alias("x")).select("seed", "id", F.col("x.conf").alias("conf"), (-F.col("x.h")).alias("hops"))
+        fronts.append(front)
+    return best(_all(known, fronts))
+
+
+#: Rounds whose results closure() keeps apart before it makes one table of them.
+ROUNDS = 8
+
+
+def _all(known: DataFrame | None, fronts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, ([known] if known is not None else []) + fronts)
 
 
 def _distinct(links: DataFrame) -> DataFrame:
@@ -52,11 +69,43 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
+#: Links that a task joins at a time before a shuffle.
+HELD = 500_000
+
+
+def joined_in_tasks(links: DataFrame) -> DataFrame:
+    """u, v: links that join what the links of each task join, every node to the least one there (union-find)."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def find(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        def flush():
+            nodes = [x for x in up if up[x] != x]
+            yield pa.RecordBatch.from_pydict({"u": pa.array(nodes, pa.int64()), "v": pa.array(list(map(find, nodes)), pa.int64())})
+            up.clear()
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = find(u), find(v)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > HELD:
+                yield from flush()
+        yield from flush()
+
+    return links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """links u, v to one row (node, root) per linked node, by alternating large and small stars; the root is the least
-    node of the component. Minima are added up within tasks before a shuffle, so a node with very many links is no hot
-    spot but for its join, which adaptive execution splits."""
-    links = staged(_distinct(links), "links")
+    """links u, v (numbers) to one row (node, root) per linked node, by alternating large and small stars, after each task has
+    joined what it has; the root is the least node of the component. Minima are added up within tasks before a shuffle, so a
+    node with very many links is no hot spot but for its join, which adaptive execution splits."""
+    links = staged(_distinct(joined_in_tasks(links)), "links")
     state = _state(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -64,7 +113,8 @@ def components(links: DataFrame) -> DataFrame:
         large = staged(_distinct(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large_star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = staged(_distinct(moved.unionByName(least.select("u", F.col("m").alias("v")))), "small_star")
+        after = _distinct(moved.unionByName(least.select("u", F.col("m").alias("v"))))
+        links = staged(joined_in_tasks(after), "small_star")
         if (now := _state(links)) == state:
             break
         state = now
@@ -98,10 +148,10 @@ def two_hops(links: DataFrame) -> DataFrame:
     return step.toDF("id", "other").unionByName(second).where("id <> other").distinct()
 
 
-def widest(links: DataFrame, pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def widest(links: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each pair (seed, target): the best bottleneck confidence of any chain between them, and the fewest links of
     a chain with it; pairs that no chain joins are left out."""
-    found = closure(links, pairs.select("seed").distinct(), most_rounds)
+    found = closure(links, pairs.select("seed").distinct(), None)
     return pairs.join(found.withColumnRenamed("id", "target"), ["seed", "target"])
 
 
@@ -130,8 +180,8 @@ def cut_links(links: DataFrame, least_side: int = 3) -> DataFrame:
     levels = spanning_forest(links)
     tree = levels[1:] and [x.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")) for x in levels[1:]]
     spare = canonical(links).select("a", "b")
-    for t in tree:
-        spare = spare.join(t, ["a", "b"], "left_anti")
+    if tree:
+        spare = spare.join(reduce(DataFrame.unionByName, tree), ["a", "b"], "left_anti")
     ends = staged(spare, "spare_links").select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("x"))
     labels = staged(ends.groupBy("node").agg(F.bit_xor("x").alias("x")), "labels")
     below, done = None, []

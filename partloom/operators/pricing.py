@@ -21,8 +21,8 @@ def drift(prices: DataFrame, least_changes: int = 20) -> DataFrame:
     days = F.date_diff(F.col("seen"), F.col("since"))
     usable = rows.where((days >= 1) & (F.col("before") > 0) & (F.col("price") != F.col("before")))
     rate = F.pow(F.col("price") / F.col("before"), F.lit(30.0) / days) - 1
-    grouped = usable.groupBy("brand").agg(F.count("*").alias("changes"), F.collect_list(F.round(rate, 9)).alias("rates"))
-    return grouped.where(F.col("changes") >= least_changes).select("brand", "changes", F.round(upper_median(F.col("rates")), 6).alias("monthly_rate"))
+    grouped = usable.withColumn("r", F.round(rate, 9)).groupBy("brand").agg(F.count("*").alias("changes"), upper_median("r").alias("rate"))
+    return grouped.where(F.col("changes") >= least_changes).select("brand", "changes", F.round("rate", 6).alias("monthly_rate"))
 
 
 def increases(prices: DataFrame, today: str, months: int, least_products: int = 10) -> DataFrame:
@@ -97,8 +97,8 @@ def duels(pairs: DataFrame, least_conf: int = 50, most_ratio: float = 8.0, least
         F.least("brand_a", "brand_b").alias("brand"), F.greatest("brand_a", "brand_b").alias("other"), F.when(first, F.col("price_a")).otherwise(F.col("price_b")).alias("p"), F.when(first, F.col("price_b")).otherwise(F.col("price_a")).alias("q"),
     )
     rows = rows.withColumn("ratio", F.col("p") / F.col("q")).where((F.col("ratio") < most_ratio) & (F.col("ratio") > 1 / most_ratio))
-    g = rows.groupBy("brand", "other").agg(F.count("*").alias("comparisons"), F.count_if(F.col("p") < F.col("q")).alias("wins"), F.collect_list(F.round("ratio", 9)).alias("r"))
-    return g.where(F.col("comparisons") >= least).select("brand", "other", "comparisons", "wins", F.round(upper_median(F.col("r")), 6).alias("ratio"))
+    g = rows.withColumn("r", F.round("ratio", 9)).groupBy("brand", "other").agg(F.count("*").alias("comparisons"), F.count_if(F.col("p") < F.col("q")).alias("wins"), upper_median("r").alias("r"))
+    return g.where(F.col("comparisons") >= least).select("brand", "other", "comparisons", "wins", F.round("r", 6).alias("ratio"))
 
 
 def before_change(prices: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +16,8 @@ ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 SEPARATORS = (";", "\t", "|", ",")
 # Title words that tell a column's role.
 ROLES = {
-    "code": ("codigo", "cod", "code", "articulo", "sku", "item"), "maker_code": ("oem", "original", "equivalencia", "referencia"), "description": ("descripcion", "detalle", "description", "producto", "nombre"),
-    "price": ("precio", "price", "lista", "importe", "pvp"), "stock": ("stock", "existencia", "cantidad", "disponible"), "barcode": ("ean", "barra", "barras", "gtin", "upc"),
+    "barcode": ("codigo de barras", "cod barras", "ean", "barra", "barras", "gtin", "upc"), "code": ("codigo", "cod", "code", "sku", "item"), "maker_code": ("oem", "original", "equivalencia", "referencia"), "description": ("descripcion articulo", "descripcion", "detalle", "description", "producto", "articulo", "nombre"),
+    "price": ("precio", "price", "lista", "importe", "pvp"), "stock": ("stock", "existencia", "cantidad", "disponible"),
 }
 
 
@@ -30,13 +31,12 @@ def decode(raw: bytes) -> str:
 
 
 def separator(text: str) -> str:
-    """The separator that parts most of the first lines into the same number of cells, two or more."""
-    lines = [x for x in text.splitlines()[:50] if x.strip()]
+    """The separator that parts most of the lines into the same number of cells, two or more."""
+    lines = [x for x in text.splitlines() if x.strip()]
 
     def score(sep: str) -> tuple[int, int]:
-        counts = [x.count(sep) for x in lines]
-        usual = max(set(counts), key=counts.count) if counts else 0
-        return (counts.count(usual) if usual else 0, usual)
+        usual, times = Counter(x.count(sep) for x in lines).most_common(1)[0]
+        return (times if usual else 0, usual)
 
     return max(SEPARATORS, key=score) if lines else ";"
 
@@ -73,11 +73,15 @@ def header_rows(rows: DataFrame, first: int = 25) -> DataFrame:
 
 
 def roles_by_title(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """file, column and role by the header's words; each role goes to the first column that names it."""
+    """file, column and role by the header's words. A column has one role, that of the longest word it names (of equals in the
+    order of ROLES: barcodes before codes); a role goes to the column with the longest word, the first of equals."""
     cells = rows.join(headers, "file").where("row_no = header").select("file", F.posexplode("cells").alias("column", "title"))
-    low = F.lower(without_marks(F.col("title")))
-    roles = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, own)), lambda w: F.contains(low, w)), role) for role, own in ROLES.items()]))
-    return cells.select("file", "column", F.explode(roles).alias("role")).groupBy("file", "role").agg(F.min("column").alias("column"))
+    low = F.regexp_replace(F.lower(without_marks(F.col("title"))), "[^a-z0-9]+", " ")
+    words = [(k, w, role) for k, (role, own) in enumerate(ROLES.items()) for w in own]
+    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit(len(w)).alias("size"), F.lit(-k).alias("rank"), F.lit(role).alias("role"))) for k, w, role in words]))
+    named = cells.select("file", "column", F.array_max(hits).alias("x")).where("x is not null")
+    best = F.max(F.struct("x.size", F.negative("column").alias("c"))).alias("best")
+    return named.groupBy("file", F.col("x.role").alias("role")).agg(best).select("file", "role", F.negative("best.c").alias("column"))
 
 
 def roles_by_data(rows: DataFrame, headers: DataFrame) -> DataFrame:

@@ -54,3 +54,14 @@ def test_price_lists(spark, tmp_path):
     assert data["bare.txt", "code"] == 0 and data["bare.txt", "description"] == 1 and data["bare.txt", "price"] == 2 and data["bare.txt", "barcode"] == 3 and data["acme.csv", "price"] == 2
     seen = rows.where(rows.file.contains("acme")).select("hash")
     assert {r.file.rsplit("/", 1)[-1] for r in lists.not_imported(rows, seen).collect()} == {"bare.txt"}
+
+
+def test_one_role_per_column(spark):
+    rows = spark.createDataFrame([("f", "h", 0, ["CODIGO DE BARRAS", "CODIGO", "DESCRIPCION ARTICULO", "PRECIO"]), ("g", "h", 0, ["Articulo", "Cod.", "P. Lista", "EAN"])], "file string, hash string, row_no long, cells array<string>")
+    heads = spark.createDataFrame([("f", 0), ("g", 0)], "file string, header long")
+    got = {(r.file, r.role): r.column for r in lists.roles_by_title(rows, heads).collect()}
+    assert got == {("f", "barcode"): 0, ("f", "code"): 1, ("f", "description"): 2, ("f", "price"): 3, ("g", "description"): 0, ("g", "code"): 1, ("g", "price"): 2, ("g", "barcode"): 3}
+
+
+def test_separator_counts_all_lines():
+    assert lists.separator("Prices, valid from\n" * 60 + "a;b;c\n" * 90) == ";"
