@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partloom.functions.staging import staged  # noqa: F401  (operators take it from here)
+
 #: The six white-space characters that part words, as bytes.split() has them.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -32,25 +32,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; where the setting
-    is absent (tests), a temporary folder that is set for the session."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="partloom-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and return it as reread: lineage ends there, so a
-    lost executor costs no recomputation of what came before, and its shuffle files are freed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/partloom/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -57,6 +57,10 @@ class LanguageModel:
         return self.languages[best], float(1 / np.exp(score - score[best]).sum())
 
 
+#: Languages whose counts a task holds at a time.
+HELD = 64
+
+
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15, sizes: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5, max_languages: int = 512) -> LanguageModel:
     """Count over all rows of train. What reaches the driver is bounded by max_languages * 2**bits counts."""
     prepare(train.sparkSession)
@@ -65,14 +69,22 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15
     def count(batches):
         held: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def out():
+            for name, own in held.items():
+                used = np.flatnonzero(own)
+                yield pa.RecordBatch.from_pydict({"l": [name] * (len(used) + 1), "b": np.r_[used, -1].astype(np.int32), "n": np.r_[own[used], docs[name]]})
+            held.clear()
+            docs.clear()
+
         for b in batches:
             for name, t in zip(b.column("l").to_pylist(), b.column("t").to_pylist()):
                 own = held.setdefault(name, np.zeros(1 << bits, np.int64))
                 own += np.bincount(buckets(t, bits, sizes), minlength=1 << bits)
                 docs[name] = docs.get(name, 0) + 1
-        for name, own in held.items():
-            used = np.flatnonzero(own)
-            yield pa.RecordBatch.from_pydict({"l": [name] * (len(used) + 1), "b": np.r_[used, -1].astype(np.int32), "n": np.r_[own[used], docs[name]]})
+                if len(held) > HELD:
+                    yield from out()
+        yield from out()
 
     sums = rows.mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("l", (F.col("b") / 4096).cast("int").alias("part")).agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.base import prepare, staged
-from partloom.llm.components import components
+from partloom.operators.graph import components
 
 SEED = 42
 #: Relative cost of a probe row that is shuffled, and of comparing two fingerprints.

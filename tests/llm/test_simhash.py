@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from partloom.llm import simhash
-from partloom.llm.components import components
+from partloom.operators.graph import components
 
 
 def plain(text, k=4):
