@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from partloom.operators import choice, graph, imports, nested, relations, reviews, vehicles
 from partloom.plans.registry import BAND, QUERIES, RECURSIVE, STEP, WITH, query
 from partloom.sources.views import TODAY
+from partloom.streaming import events
 
 BEFORE = set(QUERIES)
 
@@ -420,4 +421,28 @@ def json_in_text(v):
     return rows.select("part", F.get_json_object("j", "$.n").cast("int").alias("n"))
 
 
+# Events, as the streaming forms have them
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) FILTER (event_type IN ('view', 'click')) AS searches, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS sales FROM events GROUP BY 1""")
+def hourly_demand(v):
+    """Searches, failed searches and sales by hour."""
+    return events.demand(v.table("events").select("ts", "event_type")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH f AS (SELECT user_id, ts, unnest(range(0, 60, 10)) AS back FROM events WHERE event_type = 'error'), w AS (SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '2024-01-01') - to_minutes(back) AS start FROM f)
+SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS attempts FROM w GROUP BY 1, 2 HAVING count(*) > 1""")
+def failed_attempts(v):
+    """Users with more than one failed search in an hour, hours beginning every ten minutes."""
+    return events.attempts(v.table("events").select("user_id", "ts", "event_type"), 1).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, p_size AS stock FROM part), r AS (SELECT l_partkey AS id, sum(CAST(l_quantity AS BIGINT)) AS held FROM lineitem WHERE l_shipdate >= DATE '1998-06-01' - 7 AND l_returnflag = 'N' GROUP BY 1)
+SELECT id, stock, CAST(greatest(stock - coalesce(held, 0), 0) AS BIGINT) AS free FROM k LEFT JOIN r USING (id)""")
+def unexpired_reservations(v):
+    """Stock less what is reserved and has not expired: here items shipped in the week before June 1998 or later."""
+    held = v.table("lineitem").where("l_returnflag = 'N'").select(F.col("l_partkey").alias("id"), F.col("l_quantity").cast("long").alias("units"), F.col("l_shipdate").alias("seen"))
+    return imports.free_stock(v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("stock")), held, "1998-06-01")
+
+
 NAMES = sorted(set(QUERIES) - BEFORE)
