@@ -421,6 +421,41 @@ def json_in_text(v):
     return rows.select("part", F.get_json_object("j", "$.n").cast("int").alias("n"))
 
 
+# A graph with cycles and several ways between its nodes
+
+CYCLIC = """WITH RECURSIVE raw AS (SELECT p_partkey AS a, p_partkey + 1 + p_size % 17 AS b, 30 + p_partkey * 13 % 70 AS conf FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, p_partkey + 20, 30 + p_partkey * 29 % 70 FROM part WHERE p_partkey % 5 = 0),
+link AS (SELECT a, b, max(conf) AS conf FROM raw WHERE a // 50 = b // 50 GROUP BY a, b), step AS (SELECT a, b, conf FROM link UNION ALL SELECT b, a, conf FROM link)"""
+
+
+def cyclic(v):
+    k = F.col("p_partkey")
+    rows = v.table("part").where("p_partkey % 3 <> 0").select(k.alias("a"), (k + 1 + F.col("p_size") % 17).alias("b"), (30 + k * 13 % 70).alias("conf"))
+    rows = rows.unionByName(v.table("part").where("p_partkey % 5 = 0").select(k.alias("a"), (k + 20).alias("b"), (30 + k * 29 % 70).alias("conf")))
+    return graph.canonical(rows.where(F.floor(F.col("a") / 50) == F.floor(F.col("b") / 50)))
+
+
+@query(f"{CYCLIC}, reach(id, x) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.id, s.b FROM reach r JOIN step s ON s.a = r.x) SELECT id, min(x) AS net FROM reach GROUP BY id")
+def cyclic_networks(v):
+    """Networks of a graph with cycles."""
+    return graph.networks(v.table("part").select(F.col("p_partkey").alias("id")), cyclic(v))
+
+
+@query(f"""{CYCLIC}, walk(seed, id, hops, conf) AS (SELECT p_partkey, p_partkey, 0, CAST(100 AS BIGINT) FROM part WHERE p_partkey % 10 = 0 UNION SELECT w.seed, s.b, w.hops + 1, CAST(least(w.conf, s.conf) AS BIGINT) FROM walk w JOIN step s ON s.a = w.id AND s.conf >= 40 WHERE w.hops < 6),
+best AS (SELECT seed, id, max(conf) AS conf FROM walk GROUP BY ALL) SELECT seed, id, b.conf, min(hops) AS hops FROM walk w JOIN best b USING (seed, id) WHERE w.conf = b.conf GROUP BY ALL""")
+def cyclic_closure(v):
+    """Searches in a graph with cycles: the strongest way of six links, and of these the shortest."""
+    seeds = v.table("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("seed"))
+    return graph.closure(cyclic(v), seeds, 6, 40)
+
+
+@query(f"""{CYCLIC}, walk(b1, e1, id) AS (SELECT a, b, a FROM link UNION SELECT w.b1, w.e1, s.b FROM walk w JOIN step s ON s.a = w.id WHERE NOT (s.a = w.b1 AND s.b = w.e1 OR s.a = w.e1 AND s.b = w.b1)),
+side AS (SELECT b1 AS a, e1 AS b, count(*) AS n FROM walk GROUP BY b1, e1 HAVING NOT bool_or(id = e1)), reach(id, x) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.id, s.b FROM reach r JOIN step s ON s.a = r.x), size AS (SELECT id, count(*) AS whole FROM reach GROUP BY id)
+SELECT a, b, least(n, whole - n) AS smaller FROM side JOIN size ON id = a WHERE least(n, whole - n) >= 2""")
+def cyclic_bridges(v):
+    """Links of a graph with cycles without which a network falls apart, two nodes or more on either side."""
+    return graph.cut_links(cyclic(v), 2)
+
+
 # Events, as the streaming forms have them
 
 
