@@ -246,10 +246,10 @@ def name_index(v):
     return relations.inverted(v.table("part").select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("words")))
 
 
-@query(f"SELECT word, id // 10000 AS block, list_sort(list(id)) AS ids FROM (SELECT p_partkey AS id, unnest({TOKENS}) AS word FROM part) GROUP BY word, block")
+@query(f"SELECT word, id // 10000 AS block, array_to_string(list_sort(list(id)), ',') AS ids FROM (SELECT p_partkey AS id, unnest({TOKENS}) AS word FROM part) GROUP BY word, block")
 def word_index(v):
     """An index from words to parts."""
-    return name_index(v)
+    return name_index(v).withColumn("ids", F.array_join("ids", ","))
 
 
 @query(f"""WITH i AS (SELECT p_partkey AS id, unnest({TOKENS}) AS word FROM part), q AS (SELECT DISTINCT p_partkey AS search, unnest(list_append(string_split(lower(p_name), ' '), CASE WHEN p_partkey % 200 = 0 THEN 'gizmo' ELSE 'none' END)) AS word FROM part WHERE p_partkey % 100 = 0), n AS (SELECT search, count(*) AS n FROM q GROUP BY 1)

@@ -90,27 +90,27 @@ def name_likeness(v):
 PLURALS = "CASE p_partkey % 5 WHEN 0 THEN 'RULEMANES' WHEN 1 THEN 'PASTILLAS' WHEN 2 THEN 'CABLES' WHEN 3 THEN concat('PEDAL', p_partkey, 'ES') ELSE upper(substr(p_name, 1, 4)) END"
 
 
-@query(f"SELECT part, word, CASE part % 5 WHEN 0 THEN ['RULEMAN'] WHEN 1 THEN ['PASTILLA'] WHEN 2 THEN ['CABLE'] ELSE [] END AS forms FROM {source(word=PLURALS)}")
+@query(f"SELECT part, word, CASE part % 5 WHEN 0 THEN 'RULEMAN' WHEN 1 THEN 'PASTILLA' WHEN 2 THEN 'CABLE' ELSE '' END AS forms FROM {source(word=PLURALS)}")
 def singular_forms(v):
-    return parts(v, word=PLURALS).withColumn("forms", checks.singulars(F.col("word")))
+    return parts(v, word=PLURALS).withColumn("forms", F.array_join(checks.singulars(F.col("word")), " "))
 
 
 @query(f"""WITH t AS (SELECT part, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({", ".join(f"'{x}'" for x in checks.FILLERS)}))) AS w FROM {source(name=NAMES_OF)})
-SELECT part, list_sort(list_filter(w, lambda x: NOT regexp_full_match(x, '(19|20)[0-9][0-9]'))) AS words, CASE part % 5 WHEN 0 THEN 1998 WHEN 2 THEN 2010 WHEN 3 THEN 2007 END AS year FROM t""")
+SELECT part, array_to_string(list_sort(list_filter(w, lambda x: NOT regexp_full_match(x, '(19|20)[0-9][0-9]'))), ' ') AS words, CASE part % 5 WHEN 0 THEN 1998 WHEN 2 THEN 2010 WHEN 3 THEN 2007 END AS year FROM t""")
 def search_words(v):
     """What a search asks for: words without fillers, and a year."""
     rows = parts(v, name=NAMES_OF).withColumn("s", checks.search_words(F.col("name")))
-    return rows.select("part", F.array_sort("s.words").alias("words"), "s.year")
+    return rows.select("part", F.array_join(F.array_sort("s.words"), " ").alias("words"), "s.year")
 
 
 LIKES = "[" + ", ".join(f"['{a}', '{b}']" for x, y in checks.LOOKALIKES for a, b in ((x, y), (y, x))) + "]"
 
 
 @query(f"""WITH e AS (SELECT p_partkey AS part, concat('B', p_partkey, 'O') AS number FROM part), k AS (SELECT part, number, unnest(range(1, length(number) + 1)) AS k FROM e),
-f AS (SELECT part, number, k, unnest({LIKES}) AS p FROM k) SELECT e.part, e.number, coalesce(forms, []) AS forms FROM e LEFT JOIN (SELECT part, list_sort(list(DISTINCT concat(substr(number, 1, k - 1), p[2], substr(number, k + 1)))) AS forms FROM f WHERE substr(number, k, 1) = p[1] AND length(number) >= 4 GROUP BY part) g ON g.part = e.part""")
+f AS (SELECT part, number, k, unnest({LIKES}) AS p FROM k) SELECT e.part, e.number, coalesce(array_to_string(forms, ' '), '') AS forms FROM e LEFT JOIN (SELECT part, list_sort(list(DISTINCT concat(substr(number, 1, k - 1), p[2], substr(number, k + 1)))) AS forms FROM f WHERE substr(number, k, 1) = p[1] AND length(number) >= 4 GROUP BY part) g ON g.part = e.part""")
 def engine_number_variants(v):
     """Readings of an engine number that has one character taken for its like."""
-    return parts(v, number="concat('B', p_partkey, 'O')").withColumn("forms", checks.engine_variants(F.col("number")))
+    return parts(v, number="concat('B', p_partkey, 'O')").withColumn("forms", F.array_join(checks.engine_variants(F.col("number")), " "))
 
 
 VINS = "concat('9BWZ', 'Z', 'Z3', p_partkey % 7, 'Z', 'WT0', lpad(concat(p_partkey), 5, 'O'))"
@@ -158,11 +158,11 @@ def size_variants(v):
 
 
 @query("""WITH m AS (SELECT p_partkey AS part, p_size AS outer_mm, p_size - 10 + p_partkey % 20 AS inner_mm, p_partkey % 300 AS height FROM part)
-SELECT part, list_filter([CASE WHEN inner_mm >= outer_mm THEN 'inner over outer' END, CASE WHEN inner_mm <= 0 OR outer_mm <= 0 OR height <= 0 THEN 'not above zero' END, CASE WHEN height > 20 * outer_mm THEN 'too high' END], lambda x: x IS NOT NULL) AS reasons FROM m
+SELECT part, array_to_string(list_filter([CASE WHEN inner_mm >= outer_mm THEN 'inner over outer' END, CASE WHEN inner_mm <= 0 OR outer_mm <= 0 OR height <= 0 THEN 'not above zero' END, CASE WHEN height > 20 * outer_mm THEN 'too high' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM m
 WHERE inner_mm >= outer_mm OR inner_mm <= 0 OR outer_mm <= 0 OR height <= 0 OR height > 20 * outer_mm""")
 def impossible_measures(v):
     rows = parts(v, outer_mm="p_size", inner_mm="p_size - 10 + p_partkey % 20", height="p_partkey % 300")
-    return rows.select("part", checks.impossible_measures(F.col("inner_mm"), F.col("outer_mm"), F.col("height")).alias("reasons")).where(F.size("reasons") > 0)
+    return rows.select("part", checks.impossible_measures(F.col("inner_mm"), F.col("outer_mm"), F.col("height")).alias("reasons")).where(F.size("reasons") > 0).withColumn("reasons", F.array_join("reasons", ", "))
 
 
 # What names of parts say
@@ -196,10 +196,10 @@ def sizes_in_names(v):
 CELLS = "CASE p_partkey % 3 WHEN 0 THEN concat('K', p_partkey, '; L', p_partkey, ' / 12') WHEN 1 THEN concat('A', p_partkey, ',5 B', p_partkey, ' A', p_partkey, ',5') ELSE NULL END"
 
 
-@query(f"SELECT part, CASE part % 3 WHEN 0 THEN ['K' || part, 'L' || part] WHEN 1 THEN ['A' || part || '5', 'B' || part] END AS codes FROM {source(cell=CELLS)}")
+@query(f"SELECT part, CASE part % 3 WHEN 0 THEN concat('K', part, ' L', part) WHEN 1 THEN concat('A', part, '5 B', part) END AS codes FROM {source(cell=CELLS)}")
 def codes_in_cells(v):
     """The codes of cells that hold several."""
-    return parts(v, cell=CELLS).select("part", extract.split_codes(F.col("cell")).alias("codes"))
+    return parts(v, cell=CELLS).select("part", F.array_join(extract.split_codes(F.col("cell")), " ").alias("codes"))
 
 
 # Days
