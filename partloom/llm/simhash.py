@@ -81,10 +81,34 @@ def four_fingerprints(text: str | None, words_in: int) -> list[int]:
     return [*[int(x) for seed in (SEED, SEED + 1) for x in majority(b"".join([xxhash.xxh3_128_digest(x, seed) for x in found]), 16)], len(found)]
 
 
+def overlap(x: set[bytes], y: set[bytes]) -> float:
+    """Jaccard similarity of two sets; two empty ones are alike."""
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
+
+
 def likeness(a: str | None, b: str | None, words_in: int) -> float:
     """Jaccard similarity of two texts' shingles."""
-    x, y = set(shingles(a, words_in)), set(shingles(b, words_in))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    return overlap(set(shingles(a, words_in)), set(shingles(b, words_in)))
+
+
+class Shingles:
+    """The shingle sets of nodes, each made once while at most HELD shingles are kept."""
+
+    HELD = 400_000
+
+    def __init__(self, words_in: int):
+        self.words_in, self.sets, self.held = words_in, {}, 0
+
+    def __call__(self, node: int, text: str) -> set[bytes]:
+        found = self.sets.get(node)
+        if found is None:
+            found = set(shingles(text, self.words_in))
+            if self.held + len(found) > self.HELD:
+                self.sets, self.held = {}, 0
+            self.sets[node] = found
+            self.held += len(found)
+        return found
 
 
 def fingerprints(docs: DataFrame, text: str, words_in: int, keep: tuple[str, ...], four: bool = False) -> DataFrame:
@@ -423,13 +447,16 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_i
     runs = reduce(DataFrame.unionByName, runs)
 
     def compare(batches):
+        of = Shingles(words_in)
         for b in batches:
-            same = [likeness(x, y, words_in) >= similarity for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            same = [overlap(of(a, x), of(c, y)) >= similarity for a, c, x, y in zip(*[b.column(k).to_pylist() for k in ("a", "b", "x", "y")])]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
 
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share, labels, found = SHARE, None, staged(Search(radius, similarity, SHARE)(runs), "candidates")
     while True:
-        pairs = found.where("not more").select("a", "b")
+        # Dealt by number: pairs are few bytes, and comparing them is the work.
+        pairs = found.where("not more").select("a", "b").repartition(tasks, "a")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = staged(keyed.select(F.col("tk").alias("node"), "t").join(wanted, "node").groupBy("node").agg(F.first("t").alias("t")), "texts")
         checked = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
