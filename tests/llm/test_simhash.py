@@ -186,3 +186,19 @@ def test_one_of_each_with_null_and_repeated_ids(spark, of):
     left = simhash.one_of_each(docs, of(docs))
     got = sorted((r.k, r.doc_id) for r in left.collect())
     assert got == [("a", 5), ("b", None), ("c", 5), ("d", 5), ("e", 4), ("g", None), ("h", 4)] and left.columns == docs.columns
+
+
+def test_bitmaps_leave_out_no_pair_that_is_alike():
+    draw = random.Random(7)
+    base = [f"w{draw.randrange(900)}" for _ in range(160)]
+    texts = [""] + [" ".join(f"x{draw.randrange(40)}" if draw.random() < 0.001 * k else w for w in base[: 160 - k % 20]) for k in range(60)]
+    rows = np.array([simhash.four_fingerprints(t, 5) for t in texts], np.uint64)
+    size, bits = rows[:, 4].astype(np.int64), rows[:, 5:]
+    search = simhash.Search(64, 0.8, 1)
+    left_out = 0
+    for i in range(len(texts)):
+        near = search.near(rows[:, 0], size, bits, slice(i, i + 1), slice(0, None))
+        alike = np.array([simhash.likeness(texts[i], t, 5) for t in texts])
+        assert near[alike >= 0.8].all()
+        left_out += (~near & (np.minimum(size, size[i]) >= 0.8 * np.maximum(size, size[i]))).sum()
+    assert left_out > 100
