@@ -59,6 +59,7 @@ class Encoder:
                 import public_tokenizers
                 import tiktoken
 
+                self.words = {i: word for word, i in model["vocab"].items() if word not in self.special}
                 self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         if self.fast is None:
             from tokenizers import Tokenizer

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from partloom.llm import class_lm, decontamination, exact_spans, html_text, language_id, packing, quality_ranker, simhash, url_filter
+from partloom.llm import alignment, class_lm, decontamination, embedding_dups, exact_spans, fill_in_middle, html_text, language_id, packing, quality_ranker, simhash, url_filter
 from partloom.llm.base import fold, table
 from partloom.llm.quality_rules import quality_rules
 
@@ -109,5 +109,23 @@ def op10_class_lm(spark, sf_dir):
     return class_lm.score(docs, class_lm.fit(docs.where(~held)), keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_simhash, op4_decontamination, op5_exact_spans, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm)}
+def op11_fill_in_middle(spark, sf_dir):
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_embedding_dups(spark, sf_dir):
+    return embedding_dups.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.linked(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+NUMBERED = (
+    op1_language_id, op2_url_filter, op3_simhash, op4_decontamination, op5_exact_spans, op6_quality_rules, op7_quality_ranker, op8_packing, op9_html_text, op10_class_lm, op11_fill_in_middle,
+    op12_embedding_dups, op13_alignment,
+)
+QUERIES = {f.__name__: f for f in NUMBERED}
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
