@@ -3,11 +3,12 @@
 Every element of the whole DOM gets its link-adjusted characters per tag; an element's density sum adds those of its
 children and its own text. The container with the greatest sum is the text's core. The least density on the path
 from it to the body is the threshold: neighbours of that path whose density reaches it belong to the text as well, and a
-heading belongs to the block that follows it. What an element is by its kind, role, class or id (a menu, footer, form,
-advert, comment; an article) is a prior, by which its density counts less or more, never a selection of its own; a
-marked wrapper that holds the page's main part loses its mark (settle()).
+heading belongs to the block that follows it. An element that is boilerplate by its kind, role, class or id (a menu, footer,
+form, advert, notice, reader comments) is no part of the text, whatever its density; text in an article or main element counts
+more. A layout wrapper or form that holds the page's main part loses its mark (settle()); comments, notices and adverts never do.
+Paragraphs, headings and the like are told by fewer names, so that a word such as "reply" or "notice" on one drops nothing of an article.
 
-Defined results: a null page, or one without text, gives an empty string; broken markup is read as
+Defined results: a null page, or one without text but boilerplate, gives an empty string; broken markup is read as
 far as it goes (unclosed elements end with their parent, unknown end tags are skipped); a page
 without tags is its own text. Of containers with equal sums the first in the page is the core. Very long pages are
 read whole, in time and memory in proportion to them. Repeated rows give repeated results; an empty table gives no rows;
@@ -42,15 +43,23 @@ ENDS = {
 #: Elements without text of the page, and kinds that the article is without.
 SILENT = frozenset("head select input iframe noscript noembed noframes template script style svg canvas object embed audio video textarea title".split())
 BOILERPLATE = frozenset("nav aside footer button dialog menu".split())
-#: How much the density of a boilerplate or marked element counts, and of what an article or main element holds.
-MARKED, ARTICLE = 0.001, 4.0
+#: How much the density of what an article or main element holds counts.
+ARTICLE = 4.0
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Names in a class or id, hyphens and underscores left out, that mark an element as none of the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
-    "masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related "
-    "recommended recommendations comment comments commentlist disqus reply replies respond feedback widget pagination pager toolbar skip".split()
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
+NOTICES = frozenset("cookie cookies consent gdpr notice alert".split())
+COMMENTS = frozenset("related recommended recommendations comment comments commentlist disqus reply replies respond feedback".split())
+LAYOUT = frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar popup modal overlay newsletter subscribe subscription signup signin login "
+    "share sharing social widget pagination pager toolbar skip".split()
 )
+MARKS = ADVERTS | NOTICES | COMMENTS | LAYOUT
+#: Those that count on a block of running text.
+PROSE_MARKS = ADVERTS | frozenset("cookie cookies consent gdpr breadcrumb breadcrumbs newsletter subscribe share sharing pagination pager skip".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote q dl dt dd figcaption caption b i em strong span small sub sup code mark cite".split())
+#: Characters of an element's own text, outside links, that make a page's unmarked part more than scraps.
+SCRAP = 100
 HEAD_MARKS = frozenset(("header", "siteheader", "pageheader"))
 CONTAINERS = frozenset("article main section div body html td table blockquote form center dd li".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,25 +69,25 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?![\w-])\s*(
 
 
 class Node:
-    """drop: not shown. marked: boilerplate by its kind, role, class or id; firm: by its kind or role. inside: in an article or main element."""
+    """drop: not shown. marked: boilerplate by its kind, role, class or id; wraps: by layout names or as a form alone. inside: in an article or main element."""
 
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "weight", "marked", "firm", "inside")
+    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "weight", "marked", "wraps", "inside")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, marked: bool = False, firm: bool = False, inside: bool = False):
-        self.tag, self.parent, self.children, self.drop, self.marked, self.firm, self.inside = tag, parent, [], drop, marked, firm, inside
+    def __init__(self, tag: str, parent: Node | None, drop: bool, marked: bool = False, wraps: bool = False, inside: bool = False):
+        self.tag, self.parent, self.children, self.drop, self.marked, self.wraps, self.inside = tag, parent, [], drop, marked, wraps, inside
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.weight = 1.0
 
 
 def _prior(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is not shown, whether it is boilerplate by its kind or role, and whether it is a form or its
-    class or id marks it. inside: it stands in an article or main element."""
+    """Whether an element is not shown, whether it is boilerplate, and if so whether only as a form or by layout names.
+    inside: it stands in an article or main element."""
     if tag in SILENT:
         return True, False, False
-    firm, marked = tag in BOILERPLATE or tag == "header" and not inside, tag == "form"
+    firm, wraps = tag in BOILERPLATE or tag == "header" and not inside, tag == "form"
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False, firm, marked
+        return False, firm or wraps, not firm
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -87,33 +96,35 @@ def _prior(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
             return True, False, False
         firm = firm or name == "role" and value in ROLES
         if name in ("class", "id"):
-            names = set(value.replace("-", "").replace("_", "").split())
-            marked = marked or bool(names & MARKS or not inside and names & HEAD_MARKS)
-    return False, firm, marked
+            names = set(value.replace("-", "").replace("_", "").split()) & (PROSE_MARKS if tag in PROSE else MARKS | HEAD_MARKS if not inside else MARKS)
+            wraps = wraps or bool(names)
+            firm = firm or bool(names - LAYOUT)
+    return False, firm or wraps, not firm
 
 
 def settle(nodes: list[Node]) -> None:
-    """Take the marks off wrappers that hold the page's main part: outside article and main, an element marked by class or
-    id, or a form, that holds a main element, the page's only articles, or over half of its text."""
-    if not any(x.marked and not x.firm and not x.drop for x in nodes):
+    """Take the marks off layout wrappers and forms that hold the page's main part: outside article and main, one that holds a
+    main element; and, where no unmarked article, paragraph or longer text stands, one that holds an article or over half of the page's text."""
+    if not any(x.marked and x.wraps and not x.drop for x in nodes):
         return
     chars, mains, articles, under = {}, {}, {}, {}
+    free = False
     for x in nodes:
-        under[id(x)] = x.marked or x.parent is not None and under[id(x.parent)]
-    free = any(x.tag in ("article", "main") and not x.drop and not under[id(x)] for x in nodes)
+        under[id(x)] = x.marked or x.tag == "a" or x.parent is not None and under[id(x.parent)]
+        own = chars[id(x)] = sum(len(" ".join(t.split())) for t in x.children if isinstance(t, str))
+        free = free or not x.drop and not under[id(x)] and (x.tag in ("article", "main") or own >= (1 if x.tag == "p" else SCRAP))
     for x in reversed(nodes):
         k = id(x)
-        chars[k] = chars.get(k, 0) + sum(len(" ".join(t.split())) for t in x.children if isinstance(t, str))
         mains[k] = mains.get(k, False) or x.tag == "main" and not x.drop
         articles[k] = articles.get(k, False) or x.tag == "article" and not x.drop
         if x.parent:
             up = id(x.parent)
-            chars[up] = chars.get(up, 0) + chars[k]
+            chars[up] += chars[k]
             mains[up], articles[up] = mains.get(up, False) or mains[k], articles.get(up, False) or articles[k]
     all_chars = chars[id(nodes[0])]
     for x in nodes:
         k = id(x)
-        if x.marked and not x.firm and not x.inside and (mains[k] or articles[k] and not free or 2 * chars[k] > all_chars):
+        if x.marked and x.wraps and not x.inside and (mains[k] or not free and (articles[k] or 2 * chars[k] > all_chars)):
             x.marked = False
 
 
@@ -166,8 +177,8 @@ def parse(page: str) -> list[Node]:
             top = close(node)
         if name in ENDS and (node := open_one(*ENDS[name])):
             top = close(node)
-        drop, firm, marked = _prior(name, attributes, inside > 0)
-        node = Node(name, top, top.drop or drop, firm or marked, firm, inside > 0)
+        drop, marked, wraps = _prior(name, attributes, inside > 0)
+        node = Node(name, top, top.drop or drop, marked, wraps, inside > 0)
         top.children.append(node)
         nodes.append(node)
         if name in RAW:
@@ -199,17 +210,17 @@ def densities(nodes: list[Node]) -> None:
         tags, linked, plain = max(1, x.tags), max(1, x.link_chars), max(1, x.chars - x.link_chars)
         base = math.log(x.chars / plain * linked + share * x.chars + math.e)
         x.density = x.chars / tags * math.log(x.chars / linked * tags / max(1, x.link_tags), base)
-        x.weight = (x.parent.weight if x.parent else 1.0) * (MARKED if x.marked else 1.0) * (ARTICLE if x.tag in ("article", "main") and not x.inside else 1.0)
+        x.weight = (x.parent.weight if x.parent else 1.0) * (not x.marked) * (ARTICLE if x.tag in ("article", "main") and not x.inside else 1.0)
         x.total += x.weight * sum(len(" ".join(t.split())) for t in x.children if isinstance(t, str))
         if x.parent:
             x.parent.total += x.weight * x.density
 
 
-def chosen(nodes: list[Node]) -> tuple[set[int], set[int], float]:
-    """The elements whose subtrees make the main text, those on the path from the core to the body, and the threshold."""
-    boxes = [x for x in nodes if not x.drop and x.chars and (x.tag in CONTAINERS or x.parent is None)]
+def chosen(nodes: list[Node]) -> tuple[set[int], set[int]]:
+    """The elements whose subtrees make the main text, and those on the path from the core to the body."""
+    boxes = [x for x in nodes if not x.drop and x.chars and x.weight and (x.tag in CONTAINERS or x.parent is None) and x.total]
     if not boxes:
-        return set(), set(), 0.0
+        return set(), set()
     core = max(boxes, key=lambda x: x.total)
     path = [core]
     while path[-1].parent:
@@ -226,10 +237,10 @@ def chosen(nodes: list[Node]) -> tuple[set[int], set[int], float]:
                 take.add(id(y))
                 wanted = True
             after = wanted
-    return take, on, least
+    return take, on
 
 
-def text_of(root: Node, take: set[int], on: set[int], least: float) -> str:
+def text_of(root: Node, take: set[int], on: set[int]) -> str:
     """Blocks in page order: references decoded, white space made single, joined by newlines. On the path to the core only
     what is taken counts, and text that stands in an article or main element itself."""
     blocks, run = [], []
@@ -252,7 +263,7 @@ def text_of(root: Node, take: set[int], on: set[int], least: float) -> str:
             if counts:
                 run.append(x)
         elif not x.drop:
-            whole = id(x) in take or counts and id(x) not in on and not (x.marked and x.weight * x.density < least)
+            whole = id(x) in take or counts and id(x) not in on and not x.marked
             if whole or id(x) in on:
                 if block := x.tag in BLOCKS:
                     flush()

@@ -225,3 +225,35 @@ def test_html_text_of_a_very_long_page_and_repeated_rows(spark):
     pages = spark.createDataFrame([(1, "u", page, 5), (1, "u", page, 5), (None, None, None, 6)], "page_id long, url string, html string, n_chars int")
     rows = html_text.extract(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, 0), *[(1, 20000 * (len(PARAGRAPH.strip()) + 1) - 1)] * 2]
+
+
+COMMENTS = "".join(f"<p>{PARAGRAPH}</p>" for _ in range(8))
+
+
+@pytest.mark.parametrize("post", ["<div class=post><p>One paragraph.</p></div>", "<article><p>One paragraph.</p></article>", "<main><p>One paragraph.</p></main>", "<div>" + "One paragraph." + "</div>"])
+@pytest.mark.parametrize("more", [f"<div id='comments'>{COMMENTS}</div>", f"<section class='post-list replies'>{COMMENTS}</section>", f"<div class='cookie'>{COMMENTS}</div>", f"<div id=consent>{COMMENTS}</div>", f"<div class='sponsored box'>{COMMENTS}</div>"])
+def test_html_text_leaves_out_long_comments_and_notices(post, more):
+    assert html_text.main_text(f"<body>{FOOT[0]}{post}{more}{FOOT[1]}") == html_text.main_text(f"<body>{FOOT[0]}{more}{post}{FOOT[1]}") == "One paragraph."
+
+
+def test_html_text_keeps_named_paragraphs_of_an_article():
+    page = '<article><h2 class="related">Title</h2><p id="reply">A reply.</p><p class="note notice">Take note.</p><blockquote class="comment">Said.</blockquote><p class="ad">Buy this.</p></article>'
+    assert html_text.main_text(page) == "Title\nA reply.\nTake note.\nSaid."
+    assert html_text.main_text(f"<div id=comments>{COMMENTS}</div>") == html_text.main_text(FOOT[0] + FOOT[1]) == ""
+
+
+def test_html_text_of_random_pages():
+    """Articles among random boilerplate, which is known as the page is built."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("w" * rng.randint(2, 9) for _ in range(n))
+    around = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=x>{words(2)}</a>' for _ in range(rng.randint(1, 9)))}</ul></nav>", lambda: f"<div id=comments>{''.join(f'<div class=comment><p>{words(rng.randint(5, 90))}</p></div>' for _ in range(rng.randint(1, 9)))}</div>",
+        lambda: f"<div class='cookie-notice notice'><p>{words(rng.randint(3, 200))}</p><button>ok</button></div>", lambda: f"<aside><p>{words(30)}</p></aside>", lambda: f"<footer><p>{words(12)}</p></footer>",
+        lambda: f"<div class=ad>{words(rng.randint(1, 60))}</div>", lambda: f"<script>{words(50)}</script><style>{words(9)}</style>", lambda: f"<form><p>{words(5)}</p><input></form>", lambda: f"<div class=sidebar><p>{words(25)}</p></div>",
+    ]
+    for k in range(150):
+        blocks = [words(rng.randint(20, 80)) for _ in range(rng.randint(1, 7))]
+        inner = "".join(f"<p>{b}</p>" + (around[5]() if rng.random() < 0.2 else "") for b in blocks)
+        tag = ["article", "main", "div class=post", "div"][k % 4]
+        page = "".join(x() for x in rng.choices(around, k=rng.randint(0, 5))) + f"<{tag}>{inner}</{tag.split()[0]}>" + "".join(x() for x in rng.choices(around, k=rng.randint(0, 5)))
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n".join(blocks), page
