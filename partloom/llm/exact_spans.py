@@ -16,7 +16,9 @@ context is all windows whose anchor it is, which stand in a row. Contexts are co
 Contexts of anchors that occur once are never shuffled with their bytes.
 
 Defined results: a null text counts as empty; texts under `length` bytes keep everything; rows that
-repeat an id and text count as two documents, and both get the marks; an empty table gives no rows.
+repeat an id and text count as two documents, and both get the marks, whatever the id is (null too);
+their spans are made once. Very long texts are read in blocks of STEP windows. There are no ties:
+every copy of a repeat is marked. Columns to keep may have any names; an empty table gives no rows.
 Equality of whole contexts is by 64-bit hashes within one anchor's group.
 """
 
@@ -172,7 +174,7 @@ def _shard_repeats(length: int):
 
 
 def spans(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """k1, k2 and spans: places [s, e) of all repeats of a document, in any order and overlapping; e may pass the end."""
+    """k1, k2 and spans: the maximal runs [s, e) of all repeats of a document, in order; one row for rows that share an id and a text."""
     if length < 2 * KMER:
         raise ValueError(f"length must be at least {2 * KMER}")
     prepare(docs.sparkSession)
@@ -185,12 +187,16 @@ def spans(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_i
     # One of each content goes on, with its bytes.
     lone = hits.where("kinds > 1").groupBy("g", "c").agg(F.min(F.struct(*KEY, "s", "z", "p")).alias("w"), F.first("n").alias("n"), F.first("kinds").alias("kinds"))
     wanted = lone.groupBy(F.col("w.k1").alias("k1"), F.col("w.k2").alias("k2")).agg(F.collect_list(F.struct("w.s", "w.z", "w.p", "g", "n", "kinds")).alias("at"))
-    texts = rows.where(F.octet_length("t") >= length).join(wanted, KEY)  # copies of id and text: any of them serves
+    texts = rows.where(F.octet_length("t") >= length).join(wanted, KEY)  # copies of id and text: one of them serves in each task
 
     def cut(batches):
+        done = set()
         for b in batches:
             out = []
             for k1, k2, t, at in zip(*(b.column(c).to_pylist() for c in (*KEY, "t", "at"))):
+                if (k1, k2) in done:
+                    continue
+                done.add((k1, k2))
                 buf = raw(t)
                 for a in at:
                     s = a["s"]
@@ -225,7 +231,16 @@ def spans(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_i
     total = marks[0]
     for m in marks[1:]:
         total = total.unionByName(m)
-    return total.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # Copies of an id and a text have given the same spans; they are one before any list is made.
+    listed = total.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+    def merge(batches):
+        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        for b in batches:
+            out = [[{"s": s, "e": e} for s, e in merged([(a["s"], a["e"]) for a in at])] for at in b.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), pa.array(out, kind)], names=[*KEY, "spans"])
+
+    return listed.mapInArrow(merge, "k1 long, k2 long, spans array<struct<s: long, e: long>>")
 
 
 def _halve(length: int):
@@ -253,11 +268,11 @@ def _halve(length: int):
     return run
 
 
-def merged(found: list[tuple[int, int]] | None, n: int) -> list[tuple[int, int]]:
-    """Maximal runs, within n bytes."""
+def merged(found: list[tuple[int, int]] | None, n: int | None = None) -> list[tuple[int, int]]:
+    """Maximal runs, within n bytes if n is given."""
     out: list[tuple[int, int]] = []
     for s, e in sorted(found or []):
-        e = min(e, n)
+        e = e if n is None else min(e, n)
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         elif s < e:

@@ -64,6 +64,30 @@ def test_repeated_rows_and_empty_table(spark):
     assert exact_spans.remove(docs.limit(0), 400).count() == 0
 
 
+def test_rows_of_one_null_id_and_text_by_the_thousand(spark):
+    """Each key's spans are made once, so ten times the rows take no longer lists."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    t = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    other = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    docs = spark.range(4000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(t).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, other), (5, other + t[:500])], "doc_id long, text string"))
+    found = exact_spans.spans(docs, 400).collect()
+    assert sorted(len(r.spans) for r in found) == [1, 1, 1]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in exact_spans.remove(docs, 400).collect())
+    assert got == {(None, 3000, 3000, 1): 4000, (None, 1000, 1000, 1): 1, (5, 1500, 1500, 1): 1}
+
+
+@pytest.mark.parametrize("step", [1, 37, 200])
+def test_long_texts_in_blocks(spark, monkeypatch, step):
+    monkeypatch.setattr(exact_spans, "STEP", step)
+    texts = corpus(7, 120)[:30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_spans.remove(docs, 120).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 120)
+
+
 def test_cut_repeats_keeps_columns(spark):
     p = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(500))
     docs = spark.createDataFrame([(1, "x" + p + "tail one", "k"), (2, p + "é", "m"), (3, None, None), (4, p, "z")], "doc_id long, text string, n_removed string")
