@@ -10,7 +10,16 @@ from partloom.functions.text import sanitize, without_marks
 # Pairs of characters that are read for one another on engine plates.
 LOOKALIKES = [("0", "O"), ("1", "I"), ("5", "S"), ("8", "B"), ("2", "Z"), ("0", "D"), ("6", "G")]
 # Words that make a set of a part, and short words that say nothing of it.
-KIT = r"\b(KIT|JUEGO|JGO|SET|CONJUNTO)\b"
+KIT = r"\b(KITS?|JUEGOS?|JGOS?|SET|COMBO(?= (?:[0-9]+ FILTROS?|DE)\b))\b"
+#: Two codes joined by a plus in brackets: a set that does not say so.
+SUM = r"(?i)\(\s*[A-Z0-9][A-Z0-9.\-]{4,}\s*\+\s*[A-Z0-9][A-Z0-9.\-]{4,}\s*\)"
+# Parts whose size is their code, and words of descriptions that stray into code columns.
+BY_SIZE = r"(?i)\b(RETEN|RETENES|O.?RING|ORING|ANILLO|JUNTA\s+TORICA|SELLO|BUJE|BUJES|RULEMAN|RODAMIENTO|ARANDELA|ESPACIADOR|SEPARADOR)\b"
+STRAY = r"(?i)\b(DIESEL|NAFTA|SECTOR|CANAL|JUEGO|ARO|CHAPA|TIPO|MEDIDA)\b"
+# Endings of a code that name a side, which makes it another part.
+SIDES = ("LH", "RH", "IZQ", "DER", "ISQ", "IZDO", "DCHO", "D", "I")
+#: Times that an outer diameter may be the inner one.
+WIDEST = 8
 FILLERS = ("de", "del", "la", "el", "para", "con", "y", "of", "the", "for", "and", "with")
 
 
@@ -29,24 +38,41 @@ def excel_decimal(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")).rlike(r"^[0-9]+\.0+$"), F.lit(False))
 
 
-def suspicious(c: Column) -> Column:
-    """Why a code may be none: `empty`, `short`, `one character`, `year` or `measure`; null where nothing speaks against it."""
-    code, raw = sanitize(c), F.upper(F.trim(c.cast("string")))
+def suspicious(c: Column, description: Column | None = None) -> Column:
+    """Why a code may be none: `empty`, `short`, `small number`, `scientific`, `measure`, `electric`, `symbols` or `description`;
+    null where nothing speaks against it. A measure or stray word within what else is a code (four characters or more are left,
+    one of them a digit) is none; in parts that are asked for by size, a measure is the code."""
+    raw = F.trim(c.cast("string"))
+    code = sanitize(c)
+    left = lambda pattern: F.regexp_replace(F.regexp_replace(raw, pattern, ""), "[^A-Za-z0-9]", "")
+    still = lambda pattern: left(pattern).rlike("^(?=.*[0-9]).{4,}$")
+    times = r"[0-9]\s*[xX]\s*[0-9]+[.,]?[0-9]*\s*[xX]?\s*[0-9]*\s*(MM|mm)?$"
+    unit = r"(?i)(?<![A-Z0-9])([0-9]+)\s*(MM|CM|CC|ML|KG|GR|LTS?)\b"
+    marks = "[\u00d8\"\u2033]"
+    figures = F.length(F.regexp_replace(F.regexp_extract(raw, unit, 1), "^0+(?=.)", ""))
+    most = F.when(F.upper(F.regexp_extract(raw, unit, 2)).isin("LT", "LTS", "KG"), 3).otherwise(4)
+    sized = F.lit(False) if description is None else F.coalesce(description.rlike(BY_SIZE), F.lit(False))
     return (
-        F.when(F.coalesce(code, F.lit("")) == "", "empty").when(F.length(code) < 3, "short").when(code.rlike(r"^(.)\1*$"), "one character")
-        .when(code.rlike("^(19|20)[0-9]{2}$"), "year").when(raw.rlike(r"^[0-9]+([.,][0-9]+)?\s*(MM|CM|KG|GR|LT|V|W|HP)$"), "measure")
+        F.when(F.coalesce(raw, F.lit("")) == "", "empty").when(F.length(code) <= 2, "short").when(code.rlike("^[0-9]{1,3}$"), "small number")
+        .when(raw.rlike(r"^[0-9]+([.,][0-9]+)?[Ee][+\-][0-9]+$"), "scientific")
+        .when(~sized & raw.rlike(times) & ~still(times), "measure").when(~sized & raw.rlike(unit) & (figures <= most), "measure")
+        .when(~sized & raw.rlike(r"(?i)^[0-9]{1,4}([.,][0-9]+)?\s*[VW]$"), "electric")
+        .when(~sized & raw.rlike(marks) & ~still(marks + r"|[0-9]+\s*/\s*[0-9]+|[0-9]+[.,][0-9]+"), "symbols")
+        .when(raw.rlike(STRAY) & ~still(STRAY), "description")
     )
 
 
-def reads_as_text(c: Column) -> Column:
+def reads_as_text(c: Column, known: Column | None = None) -> Column:
     """Whether what was typed into a search for codes is a description: words of three letters or more; with digits only if
-    no token of five characters has one and two plain words stand beside. Commas mark a list of codes."""
+    no token of five characters has one and two plain words stand beside. Commas mark a list of codes. known: whether the whole
+    is a code that exists, which makes it no description."""
     text = F.trim(F.coalesce(c, F.lit("")))
     tokens = F.filter(F.split(text, r"\s+"), lambda x: x != "")
     plain = lambda x: without_marks(x).rlike("^[A-Za-z]{3,}$")
     digits = F.exists(tokens, lambda x: x.rlike("[0-9]") & (F.length(sanitize(x)) >= 5)) | (F.size(F.filter(tokens, plain)) < 2)
     alone = (F.size(tokens) == 1) & (F.length(sanitize(text)) < 4)
-    return (text != "") & ~text.contains(",") & ~(text.rlike("[0-9]") & digits) & ~alone & F.exists(tokens, lambda x: without_marks(x).rlike("[A-Za-z]{3,}"))
+    there = F.lit(False) if known is None else F.coalesce(known, F.lit(False))
+    return ~there & (sanitize(text) != "") & ~text.contains(",") & ~(text.rlike("[0-9]") & digits) & ~alone & F.exists(tokens, lambda x: without_marks(x).rlike("[A-Za-z]{3,}"))
 
 
 def starts_with_one_of(c: Column, names: list[str]) -> Column:
@@ -65,7 +91,9 @@ def risk(c: Column, safety: list[str], engine: str) -> Column:
 
 
 def is_kit(c: Column) -> Column:
-    return F.coalesce(F.upper(without_marks(c)).rlike(KIT), F.lit(False))
+    """Whether a description is of a set: by its word, or as it names two codes added up in brackets."""
+    plain = F.regexp_replace(F.regexp_replace(F.upper(without_marks(c)), "[-./,;:()]", " "), r"\s+", " ")
+    return F.coalesce(plain.rlike(KIT) | c.rlike(SUM), F.lit(False))
 
 
 def core_words(c: Column) -> Column:
@@ -135,12 +163,26 @@ def accepted_difference(a: Column, b: Column, fixed: float = 0.25, share: float
 
 
 def base_code(c: Column) -> Column:
-    """A code without the ending that names a size or side: -STD, 025, 0.50, L or R behind a dash."""
-    return F.regexp_replace(F.upper(F.trim(c)), r"[-/ ](STD|0?\.?(25|50|75)|025|050|075|100|[LRDI])$", "")
-
-
-def impossible_measures(inner: Column, outer: Column, height: Column) -> Column:
-    """Reasons why measures cannot be: inner not under outer, any not above zero, height over twenty times the outer one."""
+    """A code without the endings that name a size or material of one part: parted at dash, blank and dot, its last parts of up
+    to four characters go while over two parts are left; a side stays. 4505CG1 (digits, two letters, a digit) is 4505. Null if
+    no digit is left."""
+    u = F.regexp_replace(F.upper(F.trim(c)), r"[\s.]+", "-")
+    glued = F.regexp_extract(u, r"^([0-9]{3,5})[A-Z]{2}[0-9](-COMP)?$", 1)
+    parts = F.filter(F.split(u, "-"), lambda x: x != "")
+    # The last part of over four characters, or the second, is the last that stays as it is.
+    last = F.array_max(F.concat(F.array(F.lit(0)), F.transform(parts, lambda x, i: F.when(F.length(x) > 4, i + 1).otherwise(0))))
+    keep = F.least(F.size(parts), F.greatest(last, F.lit(2)))
+    sides = F.filter(parts, lambda x, i: (i >= keep) & x.isin(*SIDES))
+    base = F.array_join(F.concat(F.slice(parts, F.lit(1), keep), sides), "-")
+    return F.when(glued != "", glued).when(base.rlike("[0-9]"), base)
+
+
+def impossible_measures(inner: Column, outer: Column, *others: Column) -> Column:
+    """Reasons why measures cannot be: one is negative, the inner is not under the outer, or the outer over eight times the
+    inner. A zero stands for none."""
+    every = (inner, outer, *others)
+    both = (inner != 0) & (outer != 0)
     return F.array_compact(F.array(
-        F.when(inner >= outer, "inner over outer"), F.when((inner <= 0) | (outer <= 0) | (height <= 0), "not above zero"), F.when(height > 20 * outer, "too high"),
+        F.when(F.greatest(*[F.coalesce((m < 0).cast("int"), F.lit(0)) for m in every]) > 0, "negative"), F.when(both & (inner >= outer), "inner not under outer"),
+        F.when(both & (inner < outer) & (outer > WIDEST * inner), "outer over eight times the inner"),
     ))

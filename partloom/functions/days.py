@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hours by which local time is behind UTC.
@@ -20,19 +20,27 @@ def utc_of(local: Column) -> Column:
 
 
 def list_date(file: Column, loaded: Column) -> Column:
-    """struct(day, origin): the day (d m yy or yyyy) in a file's name, if it is not after the day of loading nor over 730 days
-    before it; otherwise the day of loading; null without one."""
-    shape = r"(?<![0-9])([0-9]{1,2})[ ._-]([0-9]{1,2})[ ._-]((?:19|20)?[0-9]{2})(?![0-9])"
-    part = lambda k: F.regexp_extract(file, shape, k).try_cast("int")
-    year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
-    day = F.try_to_date(F.format_string("%04d-%02d-%02d", year, part(2), part(1)), "yyyy-MM-dd")
-    fine = (day <= loaded) & (day >= F.date_sub(loaded, 730))
-    return F.when(loaded.isNotNull(), F.struct(F.when(fine, day).otherwise(loaded).alias("day"), F.when(fine, "list").otherwise("loaded").alias("origin")))
+    """struct(day, origin): the first day (d m yy or yyyy) in a file's name that is a date, not after the day of loading and not
+    over 730 days before it; otherwise the day of loading; null without one."""
+    shape = r"(?<![0-9])([0-9]{1,2})[ ._-]([0-9]{1,2})[ ._-]([0-9]{4}|[0-9]{2})(?![0-9])"
+
+    def day(x):
+        d, m, y = (F.regexp_extract(x, shape, k).cast("int") for k in (1, 2, 3))
+        return F.try_to_date(F.format_string("%04d-%02d-%02d", F.when(y < 100, y + 2000).otherwise(y), m, d), "yyyy-MM-dd")
+
+    found = F.transform(F.regexp_extract_all(file, F.lit(shape), F.lit(0)), day)
+    first = F.get(F.filter(found, lambda d: (d <= loaded) & (d >= F.date_sub(loaded, 730))), 0)
+    return F.when(loaded.isNotNull(), F.struct(F.coalesce(first, loaded).alias("day"), F.when(first.isNotNull(), "list").otherwise("loaded").alias("origin")))
 
 
 def inflation_since(rows: DataFrame, monthly: DataFrame, day: str) -> DataFrame:
-    """rows with inflation, compounded over the whole months after that of the day. monthly: month (yyyy-MM) and rate; there
-    are a few hundred months at most, as many as were ever published, so one task adds them up, once and not for each row. Null for a month that is not among them."""
-    upto = monthly.select("month", F.sum(F.log1p("rate")).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    left = upto.select("month", (F.exp(F.max_by("upto", "month").over(Window.partitionBy()) - F.col("upto")) - 1).alias("inflation"))
-    return rows.withColumn("month", F.date_format(day, "yyyy-MM")).join(F.broadcast(left), "month", "left").drop("month")
+    """rows with inflation, compounded over the whole months after that of the day: none after the last month published, all of
+    them before the first; null without a day or without any month. monthly: month (yyyy-MM) and rate. Months are few, as many
+    as the calendar has, so both sides of the first join and what comes of it are small."""
+    if monthly.isEmpty():
+        return rows.withColumn("inflation", F.lit(None).cast("double"))
+    at = rows.withColumn("month", F.date_format(day, "yyyy-MM"))
+    asked = at.select("month").where("month is not null").distinct()
+    later = asked.join(monthly.select(F.col("month").alias("later"), "rate"), F.col("later") > F.col("month"), "left")
+    total = later.groupBy("month").agg((F.exp(F.coalesce(F.sum(F.log1p("rate")), F.lit(0.0))) - 1).alias("inflation"))
+    return at.join(total, "month", "left").drop("month")

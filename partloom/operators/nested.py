@@ -25,9 +25,13 @@ def from_trash(trash: DataFrame, schema: StructType, table: str) -> DataFrame:
 
 
 def first_json(c: Column) -> Column:
-    """The first flat object in a text that is one; null if there is none that can be read."""
-    found = F.nullif(F.regexp_extract(c, r"\{[^{}]*\}", 0), F.lit(""))
-    return F.when(F.get_json_object(found, "$").isNotNull(), found)
+    """The object in a text that may say more: from its first brace to its last, of the first fenced block that begins with one
+    if there is such a block; null if that cannot be read."""
+    fenced = F.transform(F.split(c, "```"), lambda x: F.regexp_replace(x, "^(?i)json", ""))
+    block = F.get(F.filter(fenced, lambda x: F.ltrim(F.regexp_replace(x, r"^\s+", "")).startswith("{")), 0)
+    text = F.when(c.contains("```"), F.coalesce(block, c)).otherwise(c)
+    found = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.when(F.json_array_length(F.concat(F.lit("["), found, F.lit("]"))) == 1, found)
 
 
 def versions(answers: DataFrame) -> DataFrame:

@@ -43,12 +43,12 @@ def goes_with(names: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return names.select("id", F.explode(F.array_distinct(found)).alias("other"))
 
 
-def co_named(names: DataFrame, words: str = "words", most: int = 12) -> DataFrame:
-    """Words that names hold together, as unordered pairs, with how many names of the group do. A name holds few words of the
-    kind; one with over `most` of them is a list of everything and teaches nothing. names: family, words (distinct)."""
-    few = names.where(F.size(words) <= most).select("family", F.array_sort(words).alias("w"))
-    pairs = few.select("family", F.explode("w").alias("a"), "w").select("family", "a", F.explode("w").alias("b")).where("a < b")
-    return pairs.groupBy("family", "a", "b").agg(F.count("*").alias("names"))
+def co_named(names: DataFrame, words: str = "words") -> DataFrame:
+    """Words that names hold together, as unordered pairs, with how many names of the group do. Equal names are one, with
+    their number. names: family, words (distinct)."""
+    few = names.select("family", F.array_sort(words).alias("w")).groupBy("family", "w").agg(F.count("*").alias("n"))
+    pairs = few.select("family", "n", F.explode("w").alias("a"), "w").select("family", "n", "a", F.explode("w").alias("b")).where("a < b")
+    return pairs.groupBy("family", "a", "b").agg(F.sum("n").alias("names"))
 
 
 def removable(products: DataFrame, *used: DataFrame) -> DataFrame:

@@ -28,9 +28,17 @@ def latest(rows: DataFrame, keys: list[str], most: int, *order: Column) -> DataF
 
 def part_states(history: DataFrame, vehicles: DataFrame, today: str, warn_days: int = 30, warn_km: int = 1000) -> DataFrame:
     """Each part of each vehicle by its last change: kilometres and days left, and state. history: vehicle, part, seen, km,
-    life_km, life_days; vehicles: vehicle, km_now. The last change is that of most kilometres, then of the last day."""
-    last = latest(history, ["vehicle", "part"], 1, F.desc_nulls_last("km"), F.desc("seen"), F.desc("life_km"))
-    rows = last.join(vehicles, "vehicle")
+    life_km, life_days; vehicles: vehicle, km_now. The last change is that of most kilometres, then of the last day; one without
+    kilometres is later if its day is. A life that it does not note (null or not above zero) is that of the change before which does."""
+    row = lambda *first: F.struct(*first, F.coalesce("life_km", F.lit(-1)).alias("k"), F.coalesce("life_days", F.lit(-1)).alias("d"))
+    order = F.struct(F.col("km").isNotNull().alias("has"), "km", "seen", F.coalesce("life_km", F.lit(-1)).alias("k"), F.coalesce("life_days", F.lit(-1)).alias("d"))
+    noted = lambda c: F.max_by(F.when(F.col(c) > 0, F.col(c)), F.when(F.col(c) > 0, order)).alias(f"last_{c}")
+    g = history.groupBy("vehicle", "part").agg(F.max(F.when(F.col("km").isNotNull(), row("km", "seen"))).alias("x"), F.max(F.when(F.col("km").isNull(), row("seen"))).alias("y"), noted("life_km"), noted("life_days"))
+    later = F.col("x").isNull() | (F.col("y.seen") > F.col("x.seen"))
+    pick = lambda c: F.when(F.coalesce(later, F.lit(False)), F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
+    life = lambda c, k: F.when(pick(k) > 0, pick(k)).otherwise(F.col(f"last_{c}"))
+    at = F.when(~F.coalesce(later, F.lit(False)), F.col("x.km"))
+    rows = g.join(vehicles, "vehicle").select("vehicle", "part", at.alias("km"), pick("seen").alias("seen"), life("life_km", "k").alias("life_km"), life("life_days", "d").alias("life_days"), "km_now")
     km = F.col("km") + F.col("life_km") - F.col("km_now")
     days = F.date_diff(F.date_add("seen", F.col("life_days").cast("int")), F.lit(today).cast("date"))
     state = F.when((km < 0) | (days < 0), "overdue").when((km <= warn_km) | (days <= warn_days), "soon").otherwise("fine")

@@ -14,36 +14,43 @@ BEFORE = set(QUERIES)
 # Choice among equivalents
 
 OFFER = f"""{WITH}, now AS (SELECT id, arg_max(price, (seen, price)) AS price FROM price GROUP BY id),
-offer AS (SELECT p.part, p.id, CASE p.id % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'candidate' WHEN 2 THEN 'contradicted' WHEN 3 THEN 'probable' ELSE 'verified' END AS verdict, p.id % 3 AS stock, CASE WHEN p.id % 11 > 0 THEN price END AS price,
-  CASE WHEN p.id % 5 > 0 THEN price * (50 + p.id % 40) / 100.0 END AS cost FROM product p JOIN now USING (id)),
-ranked AS (SELECT *, CASE verdict WHEN 'verified' THEN 0 WHEN 'probable' THEN 1 WHEN 'candidate' THEN 2 WHEN 'contradicted' THEN 3 ELSE 4 END AS r FROM offer)"""
+offer AS (SELECT p.part, p.id, CASE p.id % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'candidate' WHEN 2 THEN 'contradicted' WHEN 3 THEN 'probable' WHEN 4 THEN 'probable' ELSE 'verified' END AS verdict, p.id % 3 AS stock, CASE WHEN p.id % 11 > 0 THEN price END AS price,
+  CASE WHEN p.id % 5 > 0 THEN price * (50 + p.id % 40) / 100.0 END AS cost, p.id % 17 = 0 AS searched, p.id % 19 = 0 AS returned, p.id % 23 = 0 AS refused, p.part % 4 = 0 AS safety, p.id % 29 = 0 AS kit, p.brand % 31 = 0 AS off_scale, p.id % 6 // 4 AS grade FROM product p JOIN now USING (id)),
+ranked AS (SELECT *, CASE verdict WHEN 'verified' THEN 0 WHEN 'probable' THEN 1 WHEN 'candidate' THEN 2 WHEN 'contradicted' THEN 3 ELSE 4 END AS r,
+  CASE WHEN returned THEN 'returned' WHEN refused THEN 'refused' WHEN searched THEN NULL WHEN verdict NOT IN ('verified', 'probable') THEN verdict WHEN safety AND verdict <> 'verified' THEN 'safety' END AS bar FROM offer)"""
 
 
 def offers(v):
     from partloom.operators.pricing import latest
 
     k = F.col("id")
-    verdict = F.when(k % 7 == 0, "rejected").when(k % 7 == 1, "candidate").when(k % 7 == 2, "contradicted").when(k % 7 == 3, "probable").otherwise("verified")
-    rows = v.products.select("id", "part").join(latest(v.prices).select("id", F.col("price").alias("p")), "id")
-    return rows.select("part", "id", verdict.alias("verdict"), (k % 3).alias("stock"), F.when(k % 11 > 0, F.col("p")).alias("price"), F.when(k % 5 > 0, F.col("p") * (50 + k % 40) / 100.0).alias("cost"))
+    verdict = F.when(k % 7 == 0, "rejected").when(k % 7 == 1, "candidate").when(k % 7 == 2, "contradicted").when(k % 7 <= 4, "probable").otherwise("verified")
+    rows = v.products.select("id", "part", "brand").join(latest(v.prices).select("id", F.col("price").alias("p")), "id")
+    return rows.select(
+        "part", "id", verdict.alias("verdict"), (k % 3).alias("stock"), F.when(k % 11 > 0, F.col("p")).alias("price"), F.when(k % 5 > 0, F.col("p") * (50 + k % 40) / 100.0).alias("cost"), (k % 17 == 0).alias("searched"),
+        (k % 19 == 0).alias("returned"), (k % 23 == 0).alias("refused"), (F.col("part") % 4 == 0).alias("safety"), (k % 29 == 0).alias("kit"), (F.col("brand") % 31 == 0).alias("off_scale"), F.floor(k % 6 / 4).alias("grade"),
+    )
 
 
-@query(f"{OFFER} SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY r, stock <= 0, coalesce(price, 'inf'::DOUBLE), id) AS place FROM ranked")
+@query(f"""{OFFER} SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY NOT searched, CASE WHEN searched THEN 0 ELSE r END, CASE WHEN searched THEN 0 ELSE grade END, CASE WHEN searched THEN FALSE ELSE stock <= 0 END,
+CASE WHEN searched THEN 0 ELSE coalesce(price, 'inf'::DOUBLE) END, id) AS place FROM ranked""")
 def offered_order(v):
-    """Equivalents of every number by verdict, stock and price."""
+    """Equivalents of every number: what was searched, then by verdict, grade, stock and price."""
     return choice.in_order(offers(v), "part").select("part", "id", "place")
 
 
-@query(f"""{OFFER}, a AS (SELECT part, arg_min(id, (r, price, id)) AS recommended FROM ranked WHERE r <= 1 AND stock > 0 AND price IS NOT NULL GROUP BY part), b AS (SELECT part, arg_min(id, (price, id)) AS cheapest, arg_min(verdict, (price, id)) AS v FROM ranked WHERE stock > 0 AND price IS NOT NULL GROUP BY part)
-SELECT part, recommended, cheapest, CASE WHEN recommended <> cheapest THEN v END AS why_not FROM b LEFT JOIN a USING (part)""")
+@query(f"""{OFFER}, f AS (SELECT * FROM ranked WHERE stock > 0 AND price > 0 AND NOT kit AND NOT off_scale), a AS (SELECT part, arg_min(id, (grade, price, id)) AS recommended, arg_min(price, (grade, price, id)) AS p FROM f WHERE bar IS NULL GROUP BY part),
+b AS (SELECT part, arg_min(id, (price, id)) AS cheapest, min(price) AS q, arg_min(coalesce(bar, 'grade'), (price, id)) AS bar FROM f GROUP BY part)
+SELECT part, CAST(recommended AS VARCHAR) AS recommended, cheapest, CASE WHEN recommended IS NULL OR q < p THEN bar END AS why_not FROM b LEFT JOIN a USING (part)""")
 def recommended(v):
     """The equivalent to recommend, and why it is not the cheapest."""
-    return choice.recommended(offers(v), "part")
+    return choice.recommended(offers(v), "part").withColumn("recommended", F.col("recommended").cast("string"))
 
 
-@query(f"""{OFFER}, g AS (SELECT part, id, price - cost AS gain FROM ranked WHERE stock > 0 AND price IS NOT NULL AND cost IS NOT NULL AND r NOT IN (3, 4))
+@query(f"""{OFFER}, g AS (SELECT part, id, price - cost AS gain FROM ranked WHERE stock > 0 AND price > 0 AND cost > 0 AND bar IS NULL)
 SELECT part, arg_min(id, (-gain, id)) AS id, round(max(gain), 2) AS gain, round(max(gain) - min(gain), 2) AS more FROM g GROUP BY part HAVING count(*) > 1 AND max(gain) > min(gain)""")
 def best_margin(v):
+    """Of what may be recommended, the one that leaves most."""
     return choice.best_margin(offers(v), "part")
 
 
@@ -64,13 +71,15 @@ def prices_against_size(v):
     return choice.against_size(v.table("part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), (F.col("p_size") % 12).cast("long").alias("size"), price.alias("price")))
 
 
-@query("""WITH c AS (SELECT p_partkey AS id, concat('K', p_partkey % 40) AS prefix, p_partkey * 7919 % 10007 AS number FROM part), a AS (SELECT concat('K', s_suppkey % 40) AS prefix, s_suppkey * 97 AS asked FROM supplier),
-n AS (SELECT prefix, asked, id, abs(number - asked) AS far, row_number() OVER (PARTITION BY prefix, asked ORDER BY abs(number - asked), id) AS place FROM a JOIN c USING (prefix) WHERE number <> asked) SELECT prefix, asked, place, id, far FROM n WHERE place <= 8""")
+@query("""WITH c AS (SELECT p_partkey AS id, concat('K', p_partkey % 40) AS prefix, p_partkey * 7919 % 10007 AS number FROM part), a AS (SELECT DISTINCT concat('K', s_suppkey % 40) AS prefix, s_suppkey * 97 AS asked FROM supplier UNION SELECT concat('K', p_partkey % 40), p_partkey * 7919 % 10007 FROM part WHERE p_size = 7),
+n AS (SELECT prefix, asked, id, abs(number - asked) AS far, row_number() OVER (PARTITION BY prefix, asked ORDER BY abs(number - asked), id) AS place FROM a JOIN c USING (prefix)) SELECT prefix, asked, place, id, far FROM n WHERE place <= 8""")
 def code_family(v):
     """The codes of one prefix nearest to a number."""
     k = F.col("p_partkey")
     codes = v.table("part").select(k.alias("id"), F.concat(F.lit("K"), (k % 40).cast("string")).alias("prefix"), (k * 7919 % 10007).alias("number"))
-    return choice.nearest_codes(codes, v.table("supplier").select(F.concat(F.lit("K"), (F.col("s_suppkey") % 40).cast("string")).alias("prefix"), (F.col("s_suppkey") * 97).alias("asked")))
+    asked = v.table("supplier").select(F.concat(F.lit("K"), (F.col("s_suppkey") % 40).cast("string")).alias("prefix"), (F.col("s_suppkey") * 97).alias("asked"))
+    there = v.table("part").where("p_size = 7").select(F.concat(F.lit("K"), (k % 40).cast("string")).alias("prefix"), (k * 7919 % 10007).alias("asked"))
+    return choice.nearest_codes(codes, asked.unionByName(there))
 
 
 # Reviews
@@ -323,9 +332,14 @@ def fleet(v):
     return v.table("customer").select(F.col("c_custkey").alias("vehicle"), (60000 + F.col("c_custkey") % 50 * 1000).alias("km_now"))
 
 
-STATES = f"""WITH {HISTORY}, l AS (SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY vehicle, part ORDER BY km DESC NULLS LAST, seen DESC, life_km DESC NULLS LAST, life_days DESC) = 1),
-x AS (SELECT vehicle, part, km + life_km - km_now AS km_left, (seen + CAST(life_days AS INT)) - DATE '{TODAY}' AS days_left FROM l JOIN vehicle USING (vehicle)),
-state AS (SELECT *, CASE WHEN km_left < 0 OR days_left < 0 THEN 'overdue' WHEN km_left <= 1000 OR days_left <= 30 THEN 'soon' ELSE 'fine' END AS state FROM x)"""
+STATES = f"""WITH {HISTORY}, w AS (SELECT *, coalesce(life_km, -1) AS k, coalesce(life_days, -1) AS d FROM history),
+x AS (SELECT vehicle, part, max((km, seen, k, d)) AS x FROM w WHERE km IS NOT NULL GROUP BY ALL), y AS (SELECT vehicle, part, max((seen, k, d)) AS y FROM w WHERE km IS NULL GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY vehicle, part ORDER BY km IS NOT NULL DESC, km DESC, seen DESC, k DESC, d DESC) AS n FROM w),
+lk AS (SELECT vehicle, part, arg_min(life_km, n) AS lk FROM o WHERE life_km > 0 GROUP BY ALL), ld AS (SELECT vehicle, part, arg_min(life_days, n) AS ld FROM o WHERE life_days > 0 GROUP BY ALL),
+p AS (SELECT vehicle, part, CASE WHEN x IS NULL OR y IS NOT NULL AND y[1] > x[2] THEN NULL ELSE x[1] END AS km, CASE WHEN x IS NULL OR y IS NOT NULL AND y[1] > x[2] THEN y[1] ELSE x[2] END AS seen,
+  CASE WHEN x IS NULL OR y IS NOT NULL AND y[1] > x[2] THEN y[2] ELSE x[3] END AS k, CASE WHEN x IS NULL OR y IS NOT NULL AND y[1] > x[2] THEN y[3] ELSE x[4] END AS d FROM x FULL JOIN y USING (vehicle, part)),
+s AS (SELECT vehicle, part, km + CASE WHEN k > 0 THEN k ELSE lk END - km_now AS km_left, (seen + CAST(CASE WHEN d > 0 THEN d ELSE ld END AS INT)) - DATE '{TODAY}' AS days_left FROM p JOIN vehicle USING (vehicle) LEFT JOIN lk USING (vehicle, part) LEFT JOIN ld USING (vehicle, part)),
+state AS (SELECT *, CASE WHEN km_left < 0 OR days_left < 0 THEN 'overdue' WHEN km_left <= 1000 OR days_left <= 30 THEN 'soon' ELSE 'fine' END AS state FROM s)"""
 
 
 def states(v):
@@ -404,21 +418,24 @@ def quotes(v):
     return nested.quotes(order_items(v), "quote", "line")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS p_name, p_size FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS p_name, p_size, p_retailprice FROM part")
 def back_from_trash(v):
     """Rows put into the trash as JSON and taken back."""
-    rows = v.table("part").where("p_partkey % 10 = 0").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("p_name"), "p_size")
+    rows = v.table("part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("p_name"), "p_size", "p_retailprice")
     return nested.from_trash(nested.to_trash(rows, "p_partkey", "part"), rows.schema, "part")
 
 
-NOISY = """CASE p_partkey % 3 WHEN 0 THEN concat('Sure: {"n": ', p_size, '} as asked') WHEN 1 THEN 'none here' ELSE concat('{broken ', p_size, '}') END"""
+NOISY = """CASE p_partkey % 6 WHEN 0 THEN concat('Sure: {"n": ', p_size, ', "of": {"name": "', p_name, '"}} as asked') WHEN 1 THEN 'none here' WHEN 2 THEN concat('{broken ', p_size, '}') WHEN 3 THEN concat('It is ```json {"n": ', p_size, ', "of": {"name": "', p_brand, '"}} ``` {no more}')
+WHEN 4 THEN concat('first } then {"of": {"name": "', p_type, '"}, "n": ', p_partkey, '}') ELSE concat('{"n": ', p_size, '} and {"n": 1}') END"""
 
 
-@query("SELECT p_partkey AS part, p_size AS n FROM part WHERE p_partkey % 3 = 0")
+@query(f"""WITH t AS (SELECT p_partkey AS part, {NOISY} AS t FROM part), b AS (SELECT part, CASE WHEN contains(t, '```') THEN coalesce(list_filter(list_transform(string_split(t, '```'), lambda x: regexp_replace(x, '^json', '')), lambda x: starts_with(ltrim(x), '{{'))[1], t) ELSE t END AS t FROM t),
+j AS (SELECT part, substr(t, strpos(t, '{{'), length(t) - strpos(reverse(t), '}}') + 2 - strpos(t, '{{')) AS j FROM b WHERE contains(t, '{{'))
+SELECT part, CAST(json_extract_string(j, '$.n') AS INT) AS n, json_extract_string(j, '$.of.name') AS name FROM j WHERE json_valid(j)""")
 def json_in_text(v):
-    """The number that a noisy answer holds as JSON."""
+    """The number and name that a noisy answer holds as JSON."""
     rows = v.table("part").select(F.col("p_partkey").alias("part"), nested.first_json(F.expr(NOISY)).alias("j")).where("j is not null")
-    return rows.select("part", F.get_json_object("j", "$.n").cast("int").alias("n"))
+    return rows.select("part", F.get_json_object("j", "$.n").cast("int").alias("n"), F.get_json_object("j", "$.of.name").alias("name"))
 
 
 # A graph with cycles and several ways between its nodes

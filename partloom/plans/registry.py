@@ -25,6 +25,8 @@ def query(sql: str | None = None):
     """Register f(views) under its name, with its SQL."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query of this name is registered: {f.__name__}")
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         QUERIES[f.__name__].__doc__ = f.__doc__
         if sql:

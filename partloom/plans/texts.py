@@ -15,7 +15,8 @@ NAMES_OF = """concat(CASE p_partkey % 6 WHEN 0 THEN 'KIT ' WHEN 1 THEN 'Juego de
 
 
 def parts(v, **made):
-    return v.table("part").select(F.col("p_partkey").alias("part"), *[F.expr(e).alias(n) for n, e in made.items()])
+    # As a generated row, a text is made once and not at each place that reads it.
+    return v.table("part").select(F.col("p_partkey").alias("part"), F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in made.items()]))))
 
 
 def source(**made):
@@ -46,21 +47,44 @@ def stale_codes(v):
     return rows.withColumn("stored", F.when(F.col("part") % 3 == 0, F.upper("raw")).otherwise(F.col("code"))).where("stored <> code").select("part", "raw", "stored")
 
 
-@query(f"""WITH c AS (SELECT part, raw, {CLEAN.format('raw')} AS code FROM {source(raw=CODES)}),
-s AS (SELECT part, raw, CASE WHEN code = '' THEN 'empty' WHEN length(code) < 3 THEN 'short' WHEN length(replace(code, code[1], '')) = 0 THEN 'one character' WHEN regexp_full_match(code, '(19|20)[0-9][0-9]') THEN 'year' WHEN regexp_full_match(raw, '[0-9]+ mm') THEN 'measure' END AS reason FROM c)
+#: What stands in columns of codes: codes, numbers, measures alone and within codes, and pieces of descriptions.
+CELL = """CASE p_partkey % 16 WHEN 0 THEN concat(p_size, 'x', p_size + 20, 'x7') WHEN 1 THEN concat('H', p_partkey, 'A1/2"RF') WHEN 2 THEN concat(p_partkey % 2000, ' cc') WHEN 3 THEN concat('MD-', p_partkey, 'V') WHEN 4 THEN concat(p_size, 'V')
+WHEN 5 THEN concat('278.', p_partkey, ' c/CHAPA') WHEN 6 THEN 'JUEGO DE AROS DIESEL' WHEN 7 THEN concat('1.0', p_size, 'E+', p_partkey % 14) WHEN 8 THEN concat('BE-', p_partkey) WHEN 9 THEN concat(p_partkey % 4000) WHEN 10 THEN concat('E0NN', p_partkey, 'CC')
+WHEN 11 THEN concat(p_partkey % 5000, 'LT') WHEN 12 THEN concat('1/', p_size % 9, '"') WHEN 13 THEN concat('F000 TE1 3X', p_size) WHEN 14 THEN concat('A', p_partkey % 12) ELSE concat('  ', p_brand, ' ') END"""
+KIND = "CASE p_size % 3 WHEN 0 THEN 'RETEN CIGUENAL' WHEN 1 THEN 'Buje de bronce' ELSE p_name END"
+LEFT = "regexp_replace(regexp_replace(raw, {0}, '', 'g'), '[^A-Za-z0-9]', '', 'g')"
+STILL = "(length(" + LEFT + ") >= 4 AND regexp_matches(" + LEFT + ", '[0-9]'))"
+XS, MARKED_, STRAYS = "'[0-9]\\s*[xX]\\s*[0-9]+[.,]?[0-9]*\\s*[xX]?\\s*[0-9]*\\s*(MM|mm)?$'", "'[Ø\"″]|[0-9]+\\s*/\\s*[0-9]+|[0-9]+[.,][0-9]+'", "'(?i)\\b(DIESEL|NAFTA|SECTOR|CANAL|JUEGO|ARO|CHAPA|TIPO|MEDIDA)\\b'"
+
+
+@query(f"""WITH c AS (SELECT part, trim(raw) AS raw, kind, {CLEAN.format('raw')} AS code, regexp_matches(kind, '(?i)\\b(RETEN|RETENES|BUJES?|ANILLO|RULEMAN)\\b') AS sized FROM {source(raw=CELL, kind=KIND)}),
+u AS (SELECT *, regexp_extract(concat(' ', raw), '(?i)[^A-Z0-9]([0-9]+)\\s*(MM|CM|CC|ML|KG|GR|LTS?)\\b', ['n', 'u']) AS m FROM c),
+s AS (SELECT part, raw, CASE WHEN length(code) <= 2 THEN 'short' WHEN regexp_full_match(code, '[0-9]{{1,3}}') THEN 'small number' WHEN regexp_full_match(raw, '[0-9]+([.,][0-9]+)?[Ee][+-][0-9]+') THEN 'scientific'
+  WHEN NOT sized AND regexp_matches(raw, {XS}) AND NOT {STILL.format(XS)} THEN 'measure' WHEN NOT sized AND m.n <> '' AND length(CAST(CAST(m.n AS BIGINT) AS VARCHAR)) <= CASE WHEN upper(m.u) IN ('LT', 'LTS', 'KG') THEN 3 ELSE 4 END THEN 'measure'
+  WHEN NOT sized AND regexp_full_match(raw, '(?i)[0-9]{{1,4}}([.,][0-9]+)?\\s*[VW]') THEN 'electric' WHEN NOT sized AND regexp_matches(raw, '[Ø"″]') AND NOT {STILL.format(MARKED_)} THEN 'symbols' WHEN regexp_matches(raw, {STRAYS}) AND NOT {STILL.format(STRAYS)} THEN 'description' END AS reason FROM u)
 SELECT part, raw, reason FROM s WHERE reason IS NOT NULL""")
 def junk_codes(v):
-    """Codes that may be none, with the reason."""
-    return parts(v, raw=CODES).withColumn("reason", checks.suspicious(F.col("raw"))).where("reason is not null")
+    """Codes that may be none, with the reason; a measure is the code of a part that is asked for by size."""
+    rows = parts(v, raw=CELL, kind=KIND).select("part", F.trim("raw").alias("raw"), checks.suspicious(F.col("raw"), F.col("kind")).alias("reason"))
+    return rows.where("reason is not null")
 
 
 TYPED = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN concat('W', p_partkey, '/94') WHEN 2 THEN concat('filter ', 10000 + p_partkey) WHEN 3 THEN 'abc' WHEN 4 THEN 'oil, air' ELSE concat('old red car ', p_partkey % 9) END"
 
 
-@query(f"SELECT part, typed, CASE part % 6 WHEN 0 THEN TRUE WHEN 5 THEN TRUE ELSE FALSE END AS as_text FROM {source(typed=TYPED)}")
+#: Some of what is typed is there as a code, words or not.
+KNOWN = "(SELECT DISTINCT upper(replace(p_name, ' ', '')) AS code FROM part WHERE p_size % 4 = 0)"
+
+
+@query(f"""WITH t AS (SELECT part, trim(typed) AS typed, list_filter(regexp_split_to_array(trim(typed), '\\s+'), lambda x: x <> '') AS w, regexp_replace(upper(typed), '[^A-Z0-9]', '', 'g') AS code FROM {source(typed=TYPED)}),
+f AS (SELECT *, len(list_filter(w, lambda x: regexp_full_match(x, '[A-Za-z]{{3,}}'))) AS plain, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]') AND length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) >= 5)) AS codes FROM t)
+SELECT part, typed, NOT contains(typed, ',') AND NOT (regexp_matches(typed, '[0-9]') AND (codes > 0 OR plain < 2)) AND NOT (len(w) = 1 AND length(code) < 4) AND len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]{{3,}}'))) > 0
+AND code <> '' AND code NOT IN (SELECT code FROM {KNOWN}) AS as_text FROM f""")
 def search_routing(v):
     """Whether what is typed goes to the search of texts rather than of codes."""
-    return parts(v, typed=TYPED).withColumn("as_text", checks.reads_as_text(F.col("typed")))
+    known = v.table("part").where("p_size % 4 = 0").select(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("code")).distinct().withColumn("known", F.lit(True))
+    rows = parts(v, typed=TYPED).withColumn("code", text.sanitize(F.col("typed"))).join(known, "code", "left")
+    return rows.select("part", F.trim("typed").alias("typed"), checks.reads_as_text(F.col("typed"), F.col("known")).alias("as_text"))
 
 
 @query(f"""WITH n AS (SELECT part, upper(name) AS u FROM {source(name=NAMES_OF)}), w AS (SELECT part, u, split_part(u, ' ', 1) AS f FROM n)
@@ -70,9 +94,15 @@ def part_risk(v):
     return parts(v, name=NAMES_OF).select("part", checks.risk(F.col("name"), ["RED", "GREEN"], "BOLT|GEAR").alias("risk"))
 
 
-@query(f"SELECT part, name, regexp_matches(upper(name), '\\b(KIT|JUEGO|JGO|SET|CONJUNTO)\\b') AS kit FROM {source(name=NAMES_OF)}")
+SETS = """CASE p_partkey % 9 WHEN 0 THEN concat('KIT-', p_name) WHEN 1 THEN concat(p_name, ' (LK', 10000 + p_partkey, ' + LW', 10000 + p_size, ')') WHEN 2 THEN concat('COMBO DE ', p_name) WHEN 3 THEN concat('combo ', p_size, ' filtros') WHEN 4 THEN concat('COMBO ', p_name)
+WHEN 5 THEN concat('Jgo.', p_name) WHEN 6 THEN concat('CONJUNTO ', p_name) WHEN 7 THEN concat(p_name, ' (', 3000000 + p_partkey, '/', 3400000 + p_size, ')') ELSE concat('asset ', p_name, ' juegos') END"""
+
+
+@query(f"""SELECT part, name, regexp_matches(regexp_replace(regexp_replace(upper(name), '[-./,;:()]', ' ', 'g'), '\\s+', ' ', 'g'), '\\b(KITS?|JUEGOS?|JGOS?|SET|COMBO ([0-9]+ FILTROS?|DE))\\b')
+OR regexp_matches(upper(name), '\\(\\s*[A-Z0-9][A-Z0-9.-]{{4,}}\\s*\\+\\s*[A-Z0-9][A-Z0-9.-]{{4,}}\\s*\\)') AS kit FROM {source(name=SETS)}""")
 def kits(v):
-    return parts(v, name=NAMES_OF).withColumn("kit", checks.is_kit(F.col("name")))
+    """Which descriptions are of sets."""
+    return parts(v, name=SETS).withColumn("kit", checks.is_kit(F.col("name")))
 
 
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND x NOT IN (" + ", ".join(f"'{x}'" for x in checks.FILLERS) + ")))"
@@ -87,12 +117,13 @@ def name_likeness(v):
     return rows.join(after, "part").select("part", F.round(checks.name_likeness(F.col("name"), F.col("other")), 6).alias("likeness"))
 
 
-PLURALS = "CASE p_partkey % 5 WHEN 0 THEN 'RULEMANES' WHEN 1 THEN 'PASTILLAS' WHEN 2 THEN 'CABLES' WHEN 3 THEN concat('PEDAL', p_partkey, 'ES') ELSE upper(substr(p_name, 1, 4)) END"
-
-
-@query(f"SELECT part, word, CASE part % 5 WHEN 0 THEN 'RULEMAN' WHEN 1 THEN 'PASTILLA' WHEN 2 THEN 'CABLE' ELSE '' END AS forms FROM {source(word=PLURALS)}")
+@query("""WITH w AS (SELECT DISTINCT upper(unnest(regexp_split_to_array(lower(text), '[^a-zñ]+'))) AS word FROM documents), p AS (SELECT word FROM w UNION SELECT word || 'ES' FROM w UNION SELECT word || 'S' FROM w)
+SELECT word, CASE WHEN NOT regexp_full_match(word, '[A-ZÑ]{4,}S') THEN '' WHEN length(word) >= 7 AND regexp_matches(word, '[^AEIOU]ES$') THEN left(word, length(word) - 2) WHEN regexp_matches(word, '[AEIOU]S$') THEN left(word, length(word) - 1) ELSE '' END AS forms FROM p WHERE word <> ''""")
 def singular_forms(v):
-    return parts(v, word=PLURALS).withColumn("forms", F.array_join(checks.singulars(F.col("word")), " "))
+    """How every word of the texts, and its plurals, may be written in the singular."""
+    w = v.table("documents").select(F.explode(F.split(F.lower("text"), "[^a-zñ]+")).alias("word")).distinct().withColumn("word", F.upper("word"))
+    w = w.select(F.explode(F.array("word", F.concat("word", F.lit("ES")), F.concat("word", F.lit("S")))).alias("word")).distinct().where("word <> ''")
+    return w.withColumn("forms", F.array_join(checks.singulars(F.col("word")), " "))
 
 
 @query(f"""WITH t AS (SELECT part, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({", ".join(f"'{x}'" for x in checks.FILLERS)}))) AS w FROM {source(name=NAMES_OF)})
@@ -149,19 +180,29 @@ def measure_tolerance(v):
     return rows.select("part", "room", (F.abs(a - b) <= F.col("room") + 1e-9).alias("same"))
 
 
-@query(f"""WITH c AS (SELECT part, code, CASE part % 3 WHEN 0 THEN concat('K', part % 50) WHEN 1 THEN concat('K', part % 50) ELSE concat('K', part) END AS base FROM {source(code="concat('k', CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 50 ELSE p_partkey END, CASE p_partkey % 3 WHEN 0 THEN '-STD' WHEN 1 THEN '-025' ELSE '' END)")})
-SELECT base, count(DISTINCT code) AS variants FROM c GROUP BY base HAVING count(DISTINCT code) > 1""")
+VARIANTS = """CASE p_partkey % 8 WHEN 0 THEN concat('tc-', p_size, '-', p_partkey % 70, ' ', p_partkey % 4, 'M') WHEN 1 THEN concat('JVL-', p_size, '-', p_partkey % 30) WHEN 2 THEN concat(4500 + p_size, 'CG', p_partkey % 10) WHEN 3 THEN concat('MATEO.12-', p_size, CASE WHEN p_partkey % 3 = 0 THEN '-I' WHEN p_partkey % 3 = 1 THEN '-D' ELSE '' END)
+WHEN 4 THEN concat('JI-', p_size, '-R') WHEN 5 THEN concat('LONGER', p_size, '-', p_partkey, '-STD') WHEN 6 THEN concat('A-B-', p_brand, '-C') ELSE 'JCA - X' END"""
+SIDED = "(" + ", ".join(f"'{x}'" for x in checks.SIDES) + ")"
+
+
+@query(f"""WITH u AS (SELECT part, code, regexp_replace(upper(trim(code)), '[\\s.]+', '-', 'g') AS u FROM {source(code=VARIANTS)}), p AS (SELECT *, list_filter(string_split(u, '-'), lambda x: x <> '') AS p, regexp_extract(u, '^([0-9]{{3,5}})[A-Z]{{2}}[0-9](-COMP)?$', 1) AS glued FROM u),
+k AS (SELECT *, least(len(p), greatest(2, list_max(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN length(p[i]) > 4 THEN i ELSE 0 END)))) AS keep FROM p),
+b AS (SELECT part, code, glued, array_to_string(list_concat(p[1:keep], list_filter(p[keep + 1:], lambda x: x IN {SIDED})), '-') AS base FROM k),
+c AS (SELECT part, code, CASE WHEN glued <> '' THEN glued WHEN regexp_matches(base, '[0-9]') THEN base END AS base FROM b)
+SELECT base, count(DISTINCT code) AS variants, min(part) AS first FROM c GROUP BY base""")
 def size_variants(v):
-    """Codes that are sizes of one part."""
-    rows = parts(v, code="concat('k', CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 50 ELSE p_partkey END, CASE p_partkey % 3 WHEN 0 THEN '-STD' WHEN 1 THEN '-025' ELSE '' END)")
-    return rows.groupBy(checks.base_code(F.col("code")).alias("base")).agg(F.count_distinct("code").alias("variants")).where("variants > 1")
+    """Codes that are sizes or materials of one part: the base of each, and how many codes it has."""
+    rows = parts(v, code=VARIANTS).withColumn("base", checks.base_code(F.col("code")))
+    return rows.groupBy("base").agg(F.count_distinct("code").alias("variants"), F.min("part").alias("first"))
 
 
-@query("""WITH m AS (SELECT p_partkey AS part, p_size AS outer_mm, p_size - 10 + p_partkey % 20 AS inner_mm, p_partkey % 300 AS height FROM part)
-SELECT part, array_to_string(list_filter([CASE WHEN inner_mm >= outer_mm THEN 'inner over outer' END, CASE WHEN inner_mm <= 0 OR outer_mm <= 0 OR height <= 0 THEN 'not above zero' END, CASE WHEN height > 20 * outer_mm THEN 'too high' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM m
-WHERE inner_mm >= outer_mm OR inner_mm <= 0 OR outer_mm <= 0 OR height <= 0 OR height > 20 * outer_mm""")
+@query("""WITH m AS (SELECT p_partkey AS part, p_size - 3 AS outer_mm, p_size - 10 + p_partkey % 20 AS inner_mm, p_partkey % 300 - 5 AS height FROM part),
+r AS (SELECT part, list_filter([CASE WHEN outer_mm < 0 OR inner_mm < 0 OR height < 0 THEN 'negative' END, CASE WHEN outer_mm <> 0 AND inner_mm <> 0 AND inner_mm >= outer_mm THEN 'inner not under outer' END,
+  CASE WHEN outer_mm <> 0 AND inner_mm <> 0 AND inner_mm < outer_mm AND outer_mm > 8 * inner_mm THEN 'outer over eight times the inner' END], lambda x: x IS NOT NULL) AS r FROM m)
+SELECT part, array_to_string(r, ', ') AS reasons FROM r WHERE len(r) > 0""")
 def impossible_measures(v):
-    rows = parts(v, outer_mm="p_size", inner_mm="p_size - 10 + p_partkey % 20", height="p_partkey % 300")
+    """Measures that cannot be."""
+    rows = parts(v, outer_mm="p_size - 3", inner_mm="p_size - 10 + p_partkey % 20", height="p_partkey % 300 - 5")
     return rows.select("part", checks.impossible_measures(F.col("inner_mm"), F.col("outer_mm"), F.col("height")).alias("reasons")).where(F.size("reasons") > 0).withColumn("reasons", F.array_join("reasons", ", "))
 
 
@@ -211,25 +252,31 @@ def local_days(v):
     return v.table("events").select("event_id", F.date_format(days.local_day(F.col("ts")), "yyyy-MM-dd").alias("day"))
 
 
-FILES = "CASE o_orderkey % 4 WHEN 0 THEN concat('LIST ', 1 + o_orderkey % 28, ' 07 1996.xlsx') WHEN 1 THEN 'prices.csv' WHEN 2 THEN '31-02-1996 x.csv' ELSE concat('b_', 1 + o_orderkey % 28, '.', 1 + o_orderkey % 12, '.97.csv') END"
+#: Names of files with no date, one, or several, some of which are none, or too late, or too old.
+FILES = """concat(CASE o_orderkey % 5 WHEN 0 THEN 'LIST ' WHEN 1 THEN '31-02-1996 ' WHEN 2 THEN '05.11.2031 ' WHEN 3 THEN 'b_' ELSE 'prices ' END, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(1 + o_custkey % 31, '-', 1 + o_custkey % 12, '-', 1990 + o_custkey % 10) END,
+CASE WHEN o_orderkey % 3 = 0 THEN concat(' y ', 1 + o_orderkey % 28, ' ', 1 + o_orderkey % 12, ' ', 94 + o_orderkey % 6) ELSE '' END, CASE WHEN o_orderkey % 11 = 0 THEN concat(' (', 1 + o_orderkey % 28, '.', 1 + o_custkey % 12, '.', 1994 + o_orderkey % 5, ')') ELSE '' END, '.csv')"""
 
 
 @query(f"""WITH f AS (SELECT o_orderkey AS file, CAST(o_orderdate AS DATE) AS loaded, {FILES} AS name FROM orders),
-d AS (SELECT file, loaded, CASE file % 4 WHEN 0 THEN make_date(1996, 7, CAST(1 + file % 28 AS INT)) WHEN 3 THEN make_date(2097, CAST(1 + file % 12 AS INT), CAST(1 + file % 28 AS INT)) END AS day FROM f)
-SELECT file, strftime(CASE WHEN day <= loaded AND day >= loaded - 730 THEN day ELSE loaded END, '%Y-%m-%d') AS day, CASE WHEN day <= loaded AND day >= loaded - 730 THEN 'list' ELSE 'loaded' END AS origin FROM d""")
+x AS (SELECT file, loaded, unnest(regexp_extract_all(name, '[0-9]{{1,2}}[ ._-][0-9]{{1,2}}[ ._-](?:[0-9]{{4}}|[0-9]{{2}})')) AS x, generate_subscripts(regexp_extract_all(name, '[0-9]{{1,2}}[ ._-][0-9]{{1,2}}[ ._-](?:[0-9]{{4}}|[0-9]{{2}})'), 1) AS k FROM f),
+d AS (SELECT file, loaded, k, TRY_CAST(printf('%04d-%02d-%02d', CAST(CASE WHEN length(split_part(y, ' ', 3)) = 2 THEN concat('20', split_part(y, ' ', 3)) ELSE split_part(y, ' ', 3) END AS INT), CAST(split_part(y, ' ', 2) AS INT), CAST(split_part(y, ' ', 1) AS INT)) AS DATE) AS day
+  FROM (SELECT *, regexp_replace(x, '[._-]', ' ', 'g') AS y FROM x)),
+b AS (SELECT file, arg_min(day, k) AS day FROM d WHERE day <= loaded AND day >= loaded - 730 GROUP BY file)
+SELECT file, strftime(coalesce(b.day, loaded), '%Y-%m-%d') AS day, CASE WHEN b.day IS NULL THEN 'loaded' ELSE 'list' END AS origin FROM f LEFT JOIN b USING (file)""")
 def list_dates(v):
-    """The day of a price list, from its name or else its loading."""
+    """The day of a price list, from the dates in its name or else its loading."""
     rows = v.table("orders").select(F.col("o_orderkey").alias("file"), F.expr(FILES).alias("name"), F.col("o_orderdate").cast("date").alias("loaded"))
     d = days.list_date(F.col("name"), F.col("loaded"))
     return rows.select("file", F.date_format(d["day"], "yyyy-MM-dd").alias("day"), d["origin"].alias("origin"))
 
 
-@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, 0.01 + (count(*) % 7) / 1000.0 AS rate FROM orders GROUP BY 1), d AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderstatus = 'P')
+@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, 0.01 + (count(*) % 7) / 1000.0 AS rate FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1997-06-01' AND month(o_orderdate) <> 5 GROUP BY 1), d AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderstatus = 'P')
 SELECT id, round(coalesce((SELECT exp(sum(ln(1 + rate))) FROM m WHERE m.month > d.month), 1) - 1, 6) AS inflation FROM d""")
 def inflation_since(v):
-    """Inflation compounded over the whole months after each pending order."""
+    """Inflation compounded over the whole months after each pending order; months were published from 1994 to May 1997, but for Mays."""
     orders = v.table("orders")
-    monthly = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((0.01 + (F.count("*") % 7) / 1000.0).alias("rate"))
+    published = orders.where("o_orderdate >= '1994-01-01' and o_orderdate < '1997-06-01' and month(o_orderdate) <> 5")
+    monthly = published.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((0.01 + (F.count("*") % 7) / 1000.0).alias("rate"))
     rows = orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("day"))
     return days.inflation_since(rows, monthly, "day").select("id", F.round("inflation", 6).alias("inflation"))
 
