@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from partloom.plans import decisions, registry, searches, structures, texts  # noqa: F401
+from partloom.plans import decisions, registry, searches, structures, texts, verdicts  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
