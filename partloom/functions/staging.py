@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -22,13 +23,58 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Folders of staged tables that this process has written and not removed.
+_written: dict[str, SparkSession] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return it as reread: lineage ends there, so a
-    lost executor costs no recomputation of what came before, and its shuffle files are freed."""
+    lost executor costs no recomputation of what came before, and its shuffle files are freed. The table lies there until
+    dropped(), release() or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/partloom/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    _written[path] = spark
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: those of past rounds of an iteration."""
+    for t in tables:
+        if path := getattr(t, "_staged_at", None):
+            _remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this session has staged. Results that read them must have been written before."""
+    for path in [p for p, s in _written.items() if s is spark]:
+        _remove(path)
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for path in list(_written):
+        try:
+            _remove(path)
+        except Exception:  # noqa: BLE001  (the session may be gone; the folder is then the cluster's to clear)
+            return
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """As staged(), in so many buckets by key: a join by key with the table that is returned deals out the other side only."""
+    spark = df.sparkSession
+    table = f"partloom_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/partloom/{table}").saveAsTable(table)
+    return spark.table(table)
 
 
 def importable(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.functions.staging import staged
+from partloom.functions.staging import dropped, staged
 
 
 def canonical(links: DataFrame) -> DataFrame:
@@ -114,7 +114,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = _distinct(moved.unionByName(least.select("u", F.col("m").alias("v"))))
-        links = staged(joined_in_tasks(after), "small_star")
+        before, links = links, staged(joined_in_tasks(after), "small_star")
+        dropped(before, large)
         if (now := _state(links)) == state:
             break
         state = now
