@@ -15,7 +15,8 @@ joined their members.
 
 Defined results: a null or empty text, or one without a word, has fingerprint zero, which links as
 any other. Repeated rows are equal fingerprints. Null ids take part; a component whose ids are all
-null has a null id. An empty table gives no rows.
+null has a null id. Texts of any length are read whole, in memory in proportion to the longest. There
+are no ties: the least id names a component. Other columns, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partloom.functions.staging import bucketed
 from partloom.llm.base import prepare, staged
 from partloom.operators.graph import components
 
@@ -474,13 +476,14 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_i
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    of_nodes = lambda wanted: keyed.select(F.col("tk").alias("node"), "t").join(wanted, "node").groupBy("node").agg(F.first("t").alias("t"))
+    # One text of each node, written in buckets by node: each round's join with it leaves the texts where they are.
+    of_nodes = bucketed(keyed.groupBy(F.col("tk").alias("node")).agg(F.first("t").alias("t")), "node", tasks, "node_texts")
     share, labels, found = 0, None, staged(Search(radius, similarity, 0)(runs), "candidates")
     while True:
         # Dealt by number: pairs are few bytes, and comparing them is the work.
         pairs = found.where("not more").select("a", "b").repartition(tasks, "a")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = staged(of_nodes(wanted), "texts")
+        texts = staged(of_nodes.join(wanted, "node"), "texts")
         checked = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
         labels = staged(components(checked if labels is None else checked.unionByName(labels.toDF("u", "v"))), "labels")
         left = found.where("more").select(F.col("a").alias("g"), F.col("b").alias("done"))
