@@ -5,8 +5,10 @@ Spark counts hashed n-grams by language over all training texts; the matrix of l
 batches by sparse sums over the matrix's rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if
-no training row has a language. Training skips null languages and null texts. Ties go to the
-language that sorts first. Repeated rows count as often as they occur. An empty table gives no rows.
+no training row has a language. Training skips null languages and null texts; of more than max_languages
+names the most frequent ones are learned (of equals those that sort first), as a column with so many is dirty.
+Ties go to the language that sorts first. Repeated rows count as often as they occur. Texts of any length are
+read whole, in memory in proportion to the longest. Columns to keep may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,6 +66,9 @@ HELD = 64
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15, sizes: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5, max_languages: int = 512) -> LanguageModel:
     """Count over all rows of train. What reaches the driver is bounded by max_languages * 2**bits counts."""
     prepare(train.sparkSession)
+    names = train.groupBy(F.col(f"`{lang}`").cast("string").alias("l")).count().where("l is not null").orderBy(F.desc("count"), "l").limit(max_languages + 1).collect()
+    if len(names) > max_languages:
+        train = train.where(F.col(f"`{lang}`").cast("string").isin([r.l for r in names[:max_languages]]))
     rows = train.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{text}`").alias("t"))
 
     def count(batches):
@@ -88,10 +93,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15
 
     sums = rows.mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("l", (F.col("b") / 4096).cast("int").alias("part")).agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))
-    parts = packed.limit(max_languages * (1 << bits) // 2048 + 1).collect()
+    parts = packed.collect()
     languages = sorted({r.l for r in parts})
-    if len(languages) > max_languages:
-        raise ValueError(f"over {max_languages} languages; raise max_languages if the driver can hold 2**{bits} counts of each")
     counts, docs = np.zeros((1 << bits, len(languages))), np.zeros(len(languages))
     for r in parts:
         b, n, k = np.array(r.b), np.array(r.n), languages.index(r.l)

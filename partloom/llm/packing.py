@@ -7,7 +7,8 @@ cut into powers of two, so that nothing is padded.
 
 Defined results: a null text counts as empty (its one token is the end id); repeated rows are
 packed as often as they occur, told apart by a row number; equal vectors fall back to the order of
-ids, so a group of copies is dealt to as many ranges as its size needs. An empty table gives no rows.
+ids, so a group of copies is dealt to as many ranges as its size needs. Null ids take part. Texts of any length
+are encoded whole, in memory in proportion to the longest. Columns to keep may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -98,14 +98,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
     prepare(spark)
     marks = labels.where(train & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg((F.avg(label) >= 0.5).alias("good"))
     sample = marks.orderBy(F.xxhash64("i"), "i").limit(max_labelled)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).join(F.broadcast(sample), "i").select("good", "t")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).join(F.broadcast(sample), "i").select("i", "good", "t")
 
     def run(batches):
         for b in batches:
             x = np.array([features(t) for t in b.column("t").to_pylist()], np.float32).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("good"), pa.array([r.tobytes() for r in x], pa.binary())], names=["good", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("good"), pa.array([r.tobytes() for r in x], pa.binary())], names=["i", "good", "x"])
 
-    rows = texts.mapInArrow(run, "good boolean, x binary").toArrow()
+    # One row for each id, however often it occurs among the documents; of different texts the one with the least features.
+    one = texts.mapInArrow(run, f"i {texts.schema['i'].dataType.simpleString()}, good boolean, x binary").groupBy("i").agg(F.first("good").alias("good"), F.min("x").alias("x"))
+    rows = one.select("good", "x").toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
     good = np.array(rows.column("good").to_pylist(), bool)
     by = np.lexsort((*x.T[::-1], good)) if len(good) else []  # rows come in any order
