@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.operators import citations, fitments, forest, scales
+from partloom.operators import citations, fitments, forest, places, scales
 from partloom.operators.pricing import latest, linked_prices
 from partloom.plans.decisions import CYCLIC, cyclic
 from partloom.plans.registry import WITH, query
@@ -159,3 +159,43 @@ def fitment_files(v):
     """Files that are fitment catalogues; every fifth brand counts as a maker of cars."""
     makers = v.table("part").select(F.upper(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("name")).where("name rlike '[05]$'")
     return fitments.looks_like_one(lines(v), makers)
+
+
+# Places
+
+#: A floor of 12 x 12 cells for each region: suppliers are shelves on every other cell, some cells are walls, the entrance is a corner.
+FLOOR = """cell AS (SELECT r_regionkey AS floor, x, y, NOT (x % 2 = 1 AND y % 2 = 1) AND NOT (x = 4 AND y < 9) AND NOT (y = 8 AND x > 5 + r_regionkey) AS free FROM region, range(12) t(x), range(12) u(y)),
+shelf AS (SELECT floor % 2 AS depot, floor, s_suppkey AS shelf, 1 AS module, x, y, 1 + s_suppkey % 5 AS levels FROM (SELECT s_suppkey, s_suppkey % 5 AS floor, 1 + 2 * (s_suppkey // 5 % 6) AS x, 1 + 2 * (s_suppkey // 30 % 6) AS y FROM supplier)),
+taken AS (SELECT DISTINCT l_suppkey AS shelf, 1 AS module, CAST(1 + l_quantity % 4 AS INT) AS level FROM lineitem WHERE l_partkey % 3 = 0)"""
+WALK = f"""{FLOOR}, walk(floor, x, y, steps) AS (SELECT floor, x, y, 0 FROM cell WHERE x = 0 AND y = 0 UNION SELECT c.floor, c.x, c.y, w.steps + 1 FROM walk w JOIN cell c ON c.floor = w.floor AND abs(c.x - w.x) + abs(c.y - w.y) = 1 AND c.free WHERE w.steps < 60),
+near AS (SELECT floor, x, y, min(steps) AS steps FROM walk GROUP BY ALL), reach AS (SELECT depot, s.floor, shelf, module, levels, min(steps) AS steps FROM shelf s JOIN near n ON n.floor = s.floor AND abs(n.x - s.x) + abs(n.y - s.y) = 1 GROUP BY ALL),
+place AS (SELECT depot, floor, shelf, module, level, steps + 1 + 4 * CASE level WHEN 1 THEN 3 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 2 * level - 4 END AS cost FROM (SELECT *, unnest(range(1, levels + 1)) AS level FROM reach) WHERE (shelf, module, level) NOT IN (SELECT (shelf, module, level) FROM taken))"""
+
+
+def floors(v):
+    """Cells, shelves, entrances, and places that are taken."""
+    side = v.spark.range(12)
+    cells = v.table("region").select(F.col("r_regionkey").alias("floor")).join(side.select(F.col("id").cast("int").alias("x"))).join(side.select(F.col("id").cast("int").alias("y")))
+    free = ~((F.col("x") % 2 == 1) & (F.col("y") % 2 == 1)) & ~((F.col("x") == 4) & (F.col("y") < 9)) & ~((F.col("y") == 8) & (F.col("x") > 5 + F.col("floor")))
+    k = F.col("s_suppkey")
+    shelves = v.table("supplier").select((k % 5 % 2).alias("depot"), (k % 5).alias("floor"), k.alias("shelf"), F.lit(1).alias("module"), (1 + 2 * (F.floor(k / 5) % 6)).cast("int").alias("x"), (1 + 2 * (F.floor(k / 30) % 6)).cast("int").alias("y"), (1 + k % 5).cast("int").alias("levels"))
+    taken = v.table("lineitem").where("l_partkey % 3 = 0").select(F.col("l_suppkey").alias("shelf"), F.lit(1).alias("module"), (1 + F.col("l_quantity") % 4).cast("int").alias("level")).distinct()
+    return cells.withColumn("free", free), shelves, cells.where("x = 0 and y = 0"), taken
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT depot, floor, shelf, module, level, cost FROM place")
+def free_places(v):
+    """Every free place of the shelves, with what it costs to get there."""
+    cells, shelves, starts, taken = floors(v)
+    return places.free_places(shelves, places.steps(cells, starts), taken)
+
+
+@query(f"""WITH RECURSIVE {WALK}, p AS (SELECT p_partkey AS id, coalesce(n, 0) AS sold, p_size AS asked, p_partkey % 20 AS stock FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_partkey % 4 = 0),
+b AS (SELECT id, row_number() OVER (ORDER BY sold DESC, asked DESC, stock DESC, id) AS rank FROM p WHERE stock > 0 OR sold > 0), n AS (SELECT *, row_number() OVER (ORDER BY depot, floor, cost, shelf, module, level) AS rank FROM place)
+SELECT rank, id, depot, floor, shelf, module, level, cost FROM b JOIN n USING (rank) WHERE rank <= 15""")
+def suggested_places(v):
+    """The nearest free places for the fifteen best sellers without one (every fourth part has none)."""
+    cells, shelves, starts, taken = floors(v)
+    sold = v.table("lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("sold"))
+    rows = v.table("part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("asked"), (F.col("p_partkey") % 20).alias("stock")).join(sold, "id", "left")
+    return places.suggested(rows.withColumn("sold", F.coalesce("sold", F.lit(0))), places.free_places(shelves, places.steps(cells, starts), taken))
