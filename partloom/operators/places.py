@@ -35,8 +35,9 @@ def steps(cells: DataFrame, starts: DataFrame) -> DataFrame:
         after = near.join(free, key).join(seen.select(*key), key, "left_anti").withColumn("steps", F.lit(n))
         last, front = front, staged(after, "walk")
         rounds.append(front)
-    dropped(rounds.pop())
-    out = rounds[0] if rounds else front
+    if len(rounds) > 1:
+        dropped(rounds.pop())
+    out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
     return out
