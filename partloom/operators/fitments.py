@@ -103,3 +103,30 @@ def crossed(fitments: DataFrame, least: int = 2) -> DataFrame:
     x, y = rows.toDF(*car, "a", "lo_a", "hi_a"), rows.toDF(*car, "b", "lo_b", "hi_b")
     met = x.join(y, car).where("a < b and lo_a <= hi_b and lo_b <= hi_a")
     return met.groupBy("a", "b").agg(F.count("*").alias("cars")).where(F.col("cars") >= least)
+
+
+def fits(asked: DataFrame, fitments: DataFrame) -> DataFrame:
+    """asked with fits (null: no catalogue knows the code), why (`no data`, `other car`, `other year`; null if it fits) and engines,
+    those it fits. A maker and model are asked for by a part of their names; an empty one, or no year, leaves it open. asked:
+    ask (a number of its own), code, maker, model, year; fitments: as parsed() has them."""
+    own = asked.withColumns({"_maker": F.upper(F.trim(F.coalesce("maker", F.lit("")))), "_model": F.upper(F.trim(F.coalesce("model", F.lit(""))))})
+    f = fitments.select("code", F.col("maker").alias("m"), F.col("model").alias("n"), F.col("engine").alias("e"), F.col("first").alias("lo"), F.col("last").alias("hi"))
+    met = own.join(f, "code", "left")
+    car = (F.col("_maker") != "") & F.contains("m", F.col("_maker")) & F.contains("n", F.col("_model"))
+    year = F.col("year").isNull() | ((F.coalesce("lo", "year") <= F.col("year")) & (F.coalesce("hi", "year") >= F.col("year")))
+    g = met.groupBy("ask").agg(F.count("m").alias("known"), F.count_if(car).alias("cars"), F.count_if(car & year).alias("good"), F.array_sort(F.collect_set(F.when(car & year & (F.col("e") != ""), F.col("e")))).alias("engines"))
+    why = F.when(F.col("known") == 0, "no data").when(F.col("cars") == 0, "other car").when(F.col("good") == 0, "other year")
+    return asked.join(g.select("ask", F.when(F.col("known") > 0, F.col("good") > 0).alias("fits"), why.alias("why"), "engines"), "ask")
+
+
+def for_same_cars(asked: DataFrame, fitments: DataFrame, products: DataFrame) -> DataFrame:
+    """code, id and cars: products of other makers of parts whose codes fit cars that an asked code fits, of the same kind of part,
+    and how many such cars. asked: code; fitments: as parsed() has them, with brand and kind; products: id, code. An empty kind
+    says nothing. A car's codes of one kind meet once for each, whatever the lines that say so."""
+    key = ["maker", "model", "engine", "kind"]
+    known = fitments.where("kind <> ''").select("code", "brand", *key).distinct()
+    mine = known.join(asked.select("code").distinct(), "code").select("code", F.col("brand").alias("by"), *key)
+    other = known.select(F.col("code").alias("with"), F.col("brand").alias("of"), *key)
+    pairs = mine.join(other, key).where("by <> of").select("code", "with", "maker", "model", "engine").distinct()
+    cars = pairs.groupBy("code", "with").agg(F.count_distinct("maker", "model", "engine").alias("cars"))
+    return cars.join(products.select("id", F.col("code").alias("with")), "with").select("code", "id", "cars")

@@ -199,3 +199,32 @@ def suggested_places(v):
     sold = v.table("lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("sold"))
     rows = v.table("part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("asked"), (F.col("p_partkey") % 20).alias("stock")).join(sold, "id", "left")
     return places.suggested(rows.withColumn("sold", F.coalesce("sold", F.lit(0))), places.free_places(shelves, places.steps(cells, starts), taken))
+
+
+ASKED_FITS = """ask AS (SELECT p_partkey AS ask, CASE WHEN p_partkey % 6 = 0 THEN concat('BKR', p_size, 'E') WHEN p_partkey % 31 = 0 THEN 'UNKNOWN1' ELSE concat('BK', p_size % 7, 'R', p_partkey % 5) END AS code, CASE p_size % 3 WHEN 0 THEN 'brand' WHEN 1 THEN concat(' Brand ', p_size % 4) ELSE '' END AS maker,
+CASE p_partkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN '' ELSE 'gizmo' END AS model, CASE WHEN p_partkey % 4 > 0 THEN CAST(1985 + p_size AS INT) END AS year FROM part)"""
+
+
+@query(f"""WITH {FITS}, {ASKED_FITS}, m AS (SELECT a.*, f.maker AS m, f.model AS n, f.engine AS e, f.first AS lo, f.last AS hi, trim(a.maker) <> '' AND contains(f.maker, upper(trim(a.maker))) AND contains(f.model, upper(a.model)) AS car FROM ask a LEFT JOIN fit f USING (code)),
+y AS (SELECT *, car AND (year IS NULL OR coalesce(lo, year) <= year AND coalesce(hi, year) >= year) AS good FROM m)
+SELECT ask, code, CASE WHEN count(m) > 0 THEN count(*) FILTER (good) > 0 END AS fits, CASE WHEN count(m) = 0 THEN 'no data' WHEN count(*) FILTER (car) = 0 THEN 'other car' WHEN count(*) FILTER (good) = 0 THEN 'other year' END AS why,
+  coalesce(array_to_string(list_sort(list(DISTINCT e) FILTER (good AND e <> '')), ' '), '') AS engines FROM y GROUP BY ask, code""")
+def fits_car(v):
+    """Whether catalogues say that a code fits a car of a year."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    t = lambda c: c.cast("string")
+    code = F.when(k % 6 == 0, F.concat(F.lit("BKR"), t(s), F.lit("E"))).when(k % 31 == 0, "UNKNOWN1").otherwise(F.concat(F.lit("BK"), t(s % 7), F.lit("R"), t(k % 5)))
+    maker = F.when(s % 3 == 0, "brand").when(s % 3 == 1, F.concat(F.lit(" Brand "), t(s % 4))).otherwise("")
+    asked = v.table("part").select(k.alias("ask"), code.alias("code"), maker.alias("maker"), F.when(k % 3 == 0, "red").when(k % 3 == 1, "").otherwise("gizmo").alias("model"), F.when(k % 4 > 0, (1985 + s).cast("int")).alias("year"))
+    return fitments.fits(asked, fitments.parsed(lines(v))).select("ask", "code", "fits", "why", F.array_join("engines", " ").alias("engines"))
+
+
+@query(f"""WITH {FITS}, k AS (SELECT DISTINCT code, regexp_extract(code, '^[A-Z]+') AS brand, maker, model, engine, fuel AS kind FROM fit), pr AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN concat('PMR', p_partkey % 9, 'A') ELSE concat('BK', p_size % 7, 'R', p_partkey % 5) END AS code FROM part WHERE p_partkey % 8 = 0 OR p_partkey % 6 = 0)
+SELECT a.code, pr.id, count(DISTINCT (a.maker, a.model, a.engine)) AS cars FROM k a JOIN k b ON a.maker = b.maker AND a.model = b.model AND a.engine = b.engine AND a.kind = b.kind AND a.brand <> b.brand JOIN pr ON pr.code = b.code WHERE starts_with(a.code, 'BKR') GROUP BY a.code, pr.id""")
+def for_same_cars(v):
+    """Products that catalogues of others give for the cars of a code that is out of stock (codes BKR...)."""
+    known = fitments.parsed(lines(v)).withColumn("brand", F.regexp_extract("code", "^[A-Z]+", 0)).withColumn("kind", F.col("fuel"))
+    k = F.col("p_partkey")
+    t = lambda c: c.cast("string")
+    products = v.table("part").where("p_partkey % 8 = 0 or p_partkey % 6 = 0").select(k.alias("id"), F.when(k % 6 == 0, F.concat(F.lit("PMR"), t(k % 9), F.lit("A"))).otherwise(F.concat(F.lit("BK"), t(F.col("p_size") % 7), F.lit("R"), t(k % 5))).alias("code"))
+    return fitments.for_same_cars(known.where("code like 'BKR%'").select("code"), known, products)

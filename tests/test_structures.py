@@ -111,3 +111,13 @@ def test_crossing(spark):
     df = spark.createDataFrame(rows, "maker string, model string, engine string, first int, last int, code string")
     assert [tuple(r) for r in fitments.crossed(df).collect()] == [("A1", "B1", 2)]
     assert fitments.crossed(df, 1).where(F.col("b") == "C1").count() == 1
+
+
+def test_fits_a_car_and_what_else_does(spark):
+    rows = [("A1", "FIAT", "UNO", "1.0", 1990, 1995, 1, "plug"), ("A1", "FIAT", "UNO WAY", "1.3", 1999, None, 1, "plug"), ("B1", "FIAT", "UNO", "1.0", None, None, 2, "plug"), ("C1", "FIAT", "UNO", "1.0", None, None, 3, "filter"), ("D1", "FIAT", "UNO", "1.0", None, None, 1, "plug"), ("B1", "FIAT", "UNO WAY", "1.3", None, None, 2, "plug")]
+    known = spark.createDataFrame(rows, "code string, maker string, model string, engine string, first int, last int, brand int, kind string")
+    asks = [(1, "A1", "fiat", "uno", 1993), (2, "A1", "fiat", "uno", 1997), (3, "A1", "ford", "", None), (4, "Z9", "fiat", "uno", None), (5, "A1", "Fiat ", None, None), (6, "A1", None, "uno", 1993)]
+    got = {r.ask: (r.fits, r.why, r.engines) for r in fitments.fits(spark.createDataFrame(asks, "ask int, code string, maker string, model string, year int"), known).collect()}
+    assert got == {1: (True, None, ["1.0"]), 2: (False, "other year", []), 3: (False, "other car", []), 4: (None, "no data", []), 5: (True, None, ["1.0", "1.3"]), 6: (False, "other car", [])}
+    products = spark.createDataFrame([(1, "A1"), (2, "B1"), (3, "B1"), (4, "C1"), (5, "D1")], "id long, code string")
+    assert {tuple(r) for r in fitments.for_same_cars(spark.createDataFrame([("A1",), ("A1",)], "code string"), known, products).collect()} == {("A1", 2, 2), ("A1", 3, 2)}
