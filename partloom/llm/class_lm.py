@@ -357,8 +357,8 @@ def fit(train: DataFrame, text: str = "text", settings: Settings = Settings()) -
 
     seen = staged(all_sides(train, text, Places(ids, kinds, size)), "sides")
     pairs = matrix(seen.where("w is null"), size)
-    # Added up by word and code first: a word has a bounded number of codes, whatever the number of its rows.
-    others = seen.where("w is not null and v is null").groupBy("w", "code").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
+    # Dealt by word once, and added up by code before any list: a word has a bounded number of codes, whatever the number of its rows.
+    others = seen.where("w is not null and v is null").repartition("w").groupBy("w", "code").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
     others = staged(placed(others, pairs, "binary"), "placed")
     rest = others.where("w is not null")
     follow = seen.where("v is not null").select("w", "v", "n")
