@@ -6,13 +6,15 @@ folder, so that lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.functions.staging import dropped, staged
+from partloom.functions.staging import dropped, importable, staged
 
 
 def canonical(links: DataFrame) -> DataFrame:
@@ -73,8 +75,9 @@ def _state(links: DataFrame) -> tuple:
 HELD = 500_000
 
 
-def joined_in_tasks(links: DataFrame) -> DataFrame:
-    """u, v: links that join what the links of each task join, every node to the least one there (union-find)."""
+def joined_in_tasks(links: DataFrame, roots: bool = False) -> DataFrame:
+    """u, v: links that join what the links of each task join, every node to the least one there (union-find). roots: that
+    one too, to itself."""
 
     def run(batches):
         up: dict[int, int] = {}
@@ -86,6 +89,8 @@ def joined_in_tasks(links: DataFrame) -> DataFrame:
 
         def flush():
             nodes = [x for x in up if up[x] != x]
+            if roots:
+                nodes += set(map(find, nodes))
             yield pa.RecordBatch.from_pydict({"u": pa.array(nodes, pa.int64()), "v": pa.array(list(map(find, nodes)), pa.int64())})
             up.clear()
 
@@ -123,9 +128,25 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """As components(): node and root. What each task's links join is one star; a node in one star alone is done with, and only
+    the roots of stars that share a node go through rounds. Links that lie in order of their networks need none."""
+    stars = staged(joined_in_tasks(links, True), "stars")
+    first = staged(stars.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")), "first_roots")
+    shared = first.where("v < w")
+    if shared.isEmpty():
+        dropped(stars)
+        return first.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    between = stars.join(shared.select("u", F.col("v").alias("m")), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    roots = components(between).select(F.col("node").alias("v"), "root")
+    found = staged(first.join(roots, "v", "left").select(F.col("u").alias("node"), F.coalesce("root", "v").alias("root")), "labels")
+    dropped(stars, first)
+    return found
+
+
 def networks(products: DataFrame, links: DataFrame) -> DataFrame:
     """id and net: each product's network, named by its least product; a product without links is its own."""
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = labels(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return products.join(found, products.id == found.node, "left").select("id", F.coalesce("root", "id").alias("net"))
 
 
@@ -171,9 +192,72 @@ def spanning_forest(links: DataFrame) -> list[DataFrame]:
         levels.append(after)
 
 
+#: Links of a network that one task looks at by itself; larger networks go by rounds.
+SMALL = 10_000
+
+
+def by_size(links: DataFrame, nets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """net, a, b, conf of networks of SMALL links or fewer, and a, b, conf of the larger ones. links: a, b, conf; nets: node, root."""
+    tagged = staged(links.join(nets, F.col("a") == F.col("node")).select(F.col("root").alias("net"), "a", "b", "conf"), "tagged_links")
+    large = staged(tagged.groupBy("net").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("net"), "large_networks")
+    return tagged.join(large, "net", "left_anti"), tagged.join(large, "net", "left_semi").select("a", "b", "conf")
+
+
+def in_networks(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """The rows that run makes of the rows (tuples without net, in order of their other columns) of each net. A task holds one net at a time."""
+    importable(rows.sparkSession)
+
+    def every(batches):
+        one = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        made = (x for _, g in groupby(one, lambda r: r[0]) for x in run([r[1:] for r in g]))
+        while held := list(islice(made, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return rows.repartition("net").sortWithinPartitions(*rows.columns).mapInArrow(every, schema)
+
+
+def _bridges(links: list[tuple[int, int]], least_side: int) -> list[tuple[int, int, int]]:
+    """a, b and smaller of one network's links: by the earliest node that a subtree's links lead back to."""
+    step: dict[int, list[int]] = {}
+    for a, b in set(links):
+        step.setdefault(a, []).append(b)
+        step.setdefault(b, []).append(a)
+    start = links[0][0]
+    order, low, size, up, out = {start: 0}, {start: 0}, {}, {start: None}, []
+    todo = [(start, iter(step[start]))]
+    while todo:
+        x, after = todo[-1]
+        for y in after:
+            if y not in order:
+                order[y] = low[y] = len(order)
+                up[y] = x
+                todo.append((y, iter(step[y])))
+                break
+            if y != up[x]:
+                low[x] = min(low[x], order[y])
+        else:
+            todo.pop()
+            size[x] = size.get(x, 0) + 1
+            if (p := up[x]) is not None:
+                size[p] = size.get(p, 0) + size[x]
+                low[p] = min(low[p], low[x])
+                if low[x] > order[p]:
+                    out.append((min(x, p), max(x, p), size[x]))
+    return [(a, b, s) for a, b, n in out if (s := min(n, len(order) - n)) >= least_side]
+
+
 def cut_links(links: DataFrame, least_side: int = 3) -> DataFrame:
     """Links without which a network falls apart, where both sides have least_side products or more: a, b and smaller,
-    the size of the smaller side.
+    the size of the smaller side. Networks of SMALL links or fewer are looked at where they lie, larger ones by levels."""
+    # As they lie, links of one network are often in one task: pairs are made one again within the network.
+    own = staged(links.where("a <> b").select("a", "b", "conf"), "pairs")
+    small, large = by_size(own, labels(own.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    found = in_networks(small.select("net", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), lambda rows: _bridges(rows, least_side), "a long, b long, smaller long")
+    return found if large.isEmpty() else found.unionByName(cut_by_levels(large, least_side).select("a", "b", F.col("smaller").cast("long").alias("smaller")))
+
+
+def cut_by_levels(links: DataFrame, least_side: int = 3) -> DataFrame:
+    """As cut_links(), for networks of any size.
 
     Every link outside a spanning forest gets a label, both its ends hold it, and labels are xored up the
     tree, level by level. A tree link that no other link passes by has nothing left; by chance of 64-bit labels only

@@ -100,3 +100,26 @@ def test_widest_against_thresholds(spark):
             if b in reach(12, [x[:2] for x in edges if x[2] >= c], a):
                 want[a, b] = c
     assert got == want
+
+
+def test_cut_links_take_few_jobs_and_large_networks_go_by_levels(spark, monkeypatch):
+    """A round for each level made jobs in proportion to the longest chain."""
+    rows = [(100 * n + k, 100 * n + k + 1, 50) for n in range(20) for k in range(30)] + [(5000 + k, 5000 + (k + 1) % 40, 50) for k in range(40)]
+    df = spark.createDataFrame(rows, "a long, b long, conf long").repartition(7)
+    want = {(100 * n + k, 100 * n + k + 1, min(k + 1, 30 - k)) for n in range(20) for k in range(2, 28)}
+    spark.sparkContext.setJobGroup("cut", "cut")
+    got = graph.cut_links(df, 3).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cut"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and jobs < 60
+    monkeypatch.setattr(graph, "SMALL", 5)
+    small = spark.createDataFrame([r for r in rows if r[0] < 200 or r[0] >= 5000] + [(9000, 9001, 1)], "a long, b long, conf long")
+    assert {tuple(r) for r in graph.cut_links(small, 3).collect()} == {w for w in want if w[0] < 200}
+
+
+def test_labels_equal_components(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(150)] + [(7, 7)]
+    for parts in (1, 9):
+        df = spark.createDataFrame(rows, "u long, v long").repartition(parts)
+        assert {tuple(r) for r in graph.labels(df).collect()} == {tuple(r) for r in graph.components(df).collect()}
