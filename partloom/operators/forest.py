@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.staging import staged
-from partloom.operators.graph import canonical, components
+from partloom.operators.graph import by_size, canonical, components, in_networks, labels
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -86,9 +86,84 @@ def _depths(nodes: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return rows
 
 
+def _climbed(rows: list[tuple[int, int, int | None]], whole: bool) -> list[tuple]:
+    """What widest_paths() gives for one network, by a tree of its heaviest links. rows: a, b, conf of links, and seed, target,
+    null of pairs. whole: the links of the chains instead of their weakest and number."""
+    best: dict[tuple[int, int], int] = {}
+    for a, b, c in rows:
+        if c is not None:
+            best[a, b] = max(c, best.get((a, b), c))
+    top: dict[int, int] = {}
+
+    def find(x):
+        while (y := top.get(x, x)) != x:
+            top[x] = x = top.get(y, y)
+        return x
+
+    step: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), c in sorted(best.items(), key=lambda e: (-e[1], e[0])):
+        if (x := find(a)) != (y := find(b)):
+            top[x] = y
+            step.setdefault(a, []).append((b, c))
+            step.setdefault(b, []).append((a, c))
+    up: dict[int, tuple[int | None, int, int]] = {}
+    for start in step:
+        todo = [] if start in up else [(start, None, 0, 0)]
+        while todo:
+            x, p, c, deep = todo.pop()
+            up[x] = p, c, deep
+            todo += [(y, x, k, deep + 1) for y, k in step[x] if y != p]
+    out = []
+    for s, t in {(a, b) for a, b, c in rows if c is None}:
+        x, y, rise, fall = s, t, [], []
+        if s not in up or t not in up:
+            continue
+        while x != y and x is not None and y is not None:
+            if up[x][2] >= up[y][2]:
+                rise.append((x, up[x][0], up[x][1]))
+                x = up[x][0]
+            else:
+                fall.append((up[y][0], y, up[y][1]))
+                y = up[y][0]
+        if x != y or x is None:
+            continue
+        chain = rise + fall[::-1]
+        out += [(s, t, k, *e) for k, e in enumerate(chain, 1)] if whole else [(s, t, min([100, *(c for _, _, c in chain)]), len(chain))]
+    return out
+
+
+#: Links times pairs of a network up to which its pairs are climbed one by one.
+STEPS = 50_000_000
+
+
 def widest_paths(links: DataFrame, pairs: DataFrame, avoid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """For pairs (seed, target) that chains join: seed, target, conf (of the weakest link of a widest chain; 100 for a product
-    itself) and hops (links of that chain); and its links in order: seed, target, step, a, b, conf."""
+    itself) and hops (links of that chain); and its links in order: seed, target, step, a, b, conf. Networks of few links are
+    looked at where they lie, the others by rounds."""
+    own = links.where("a <> b").select(*[F.col(c).cast("long").alias(c) for c in ("a", "b", "conf")])
+    if avoid is not None:
+        own = own.join(avoid.select("a", "b").unionByName(avoid.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    # As they lie, links of one network are often in one task: pairs are made one again within the network.
+    own = staged(own, "links")
+    nets = labels(own.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    wanted = pairs.select(F.col("seed").cast("long").alias("seed"), F.col("target").cast("long").alias("target")).distinct()
+    inside = wanted.where("seed <> target").join(nets.toDF("seed", "net"), "seed").join(nets.toDF("target", "net_t"), "target").where("net = net_t").select("net", "seed", "target")
+    inside = staged(inside, "pairs")
+    small, large = by_size(own, nets, inside.groupBy("net").agg(F.count("*").alias("pairs")), STEPS)
+    none = F.lit(None).cast("long")
+    rows = small.select("net", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "conf").unionByName(inside.select("net", F.col("seed").alias("a"), F.col("target").alias("b"), none.alias("conf")))
+    best = in_networks(rows, lambda r: _climbed(r, False), "seed long, target long, conf long, hops long")
+    chain = in_networks(rows, lambda r: _climbed(r, True), "seed long, target long, step long, a long, b long, conf long")
+    if not large.isEmpty():
+        far, far_links = widest_by_rounds(large, inside.select("seed", "target"))
+        best = best.unionByName(far.select("seed", "target", F.col("conf").cast("long").alias("conf"), F.col("hops").cast("long").alias("hops")))
+        chain = chain.unionByName(far_links.select(*[F.col(c).cast("long").alias(c) for c in chain.columns]))
+    own_ends = wanted.where("seed = target").select("seed", "target", F.lit(100).cast("long").alias("conf"), F.lit(0).cast("long").alias("hops"))
+    return best.unionByName(own_ends), chain
+
+
+def widest_by_rounds(links: DataFrame, pairs: DataFrame, avoid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """As widest_paths(), for networks of any size: by steps of the rooted forest."""
     parents = rooted(heaviest(links, avoid))
     tables = _steps(parents)
     wanted = staged(pairs.select("seed", "target").distinct(), "pairs")

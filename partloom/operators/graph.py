@@ -196,10 +196,14 @@ def spanning_forest(links: DataFrame) -> list[DataFrame]:
 SMALL = 10_000
 
 
-def by_size(links: DataFrame, nets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """net, a, b, conf of networks of SMALL links or fewer, and a, b, conf of the larger ones. links: a, b, conf; nets: node, root."""
+def by_size(links: DataFrame, nets: DataFrame, asked: DataFrame | None = None, steps: int = 0) -> tuple[DataFrame, DataFrame]:
+    """net, a, b, conf of networks of SMALL links or fewer, and a, b, conf of the larger ones. links: a, b, conf; nets: node,
+    root. asked: net, pairs; a network whose links times pairs are more than steps is a larger one too."""
     tagged = staged(links.join(nets, F.col("a") == F.col("node")).select(F.col("root").alias("net"), "a", "b", "conf"), "tagged_links")
-    large = staged(tagged.groupBy("net").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("net"), "large_networks")
+    sizes, big = tagged.groupBy("net").agg(F.count("*").alias("n")), F.col("n") > SMALL
+    if asked is not None:
+        sizes, big = sizes.join(asked, "net", "left"), big | (F.col("n") * F.coalesce("pairs", F.lit(0)) > steps)
+    large = staged(sizes.where(big).select("net"), "large_networks")
     return tagged.join(large, "net", "left_anti"), tagged.join(large, "net", "left_semi").select("a", "b", "conf")
 
 

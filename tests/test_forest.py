@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from partloom.operators import forest
+from partloom.operators import forest, graph
 
 
 def graph_of(seed, n, m, ties=5):
@@ -87,3 +87,23 @@ def test_no_links(spark):
     df = spark.createDataFrame([(1, 1, 50)], "a long, b long, conf long")
     best, steps = forest.widest_paths(df, spark.createDataFrame([(1, 2)], "seed long, target long"))
     assert best.count() == steps.count() == 0
+
+
+@pytest.mark.parametrize("small", [10_000, 3])
+def test_networks_where_they_lie_and_by_rounds(spark, monkeypatch, small):
+    """Rounds made hundreds of jobs whatever the size of the networks; both ways give the same paths."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    links = [(a + 100 * n, b + 100 * n, c) for n in range(3) for a, b, c in graph_of(n, 9, 14)] + [(900, 901, 40), (901, 900, 60)]
+    df = spark.createDataFrame(links, "a long, b long, conf long").repartition(3)
+    pairs = {(a + 100 * n, b + 100 * n) for n in range(3) for a in (0, 3) for b in range(1, 9)} | {(0, 105), (900, 901), (555, 555)}
+    spark.sparkContext.setJobGroup(f"widest{small}", "widest")
+    best, steps = forest.widest_paths(df, spark.createDataFrame(sorted(pairs), "seed long, target long"))
+    got = {(r.seed, r.target): r.conf for r in best.collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"widest{small}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {p: c for p in pairs if (c := 100 if p[0] == p[1] else widest(links, *p)) is not None}
+    chains = {}
+    for r in steps.orderBy("step").collect():
+        chains.setdefault((r.seed, r.target), []).append(r)
+    assert all(c[0].a == s and c[-1].b == t and min(x.conf for x in c) == got[s, t] for (s, t), c in chains.items()) and set(chains) == {p for p in got if p[0] != p[1]}
+    assert small == 3 or jobs < 60
