@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.functions.staging import staged
+
 
 def replacement_bridges(replacements: DataFrame, products: DataFrame, links: DataFrame, rejected: DataFrame) -> DataFrame:
     """Pairs of a product of a replaced code and one of its replacement that are neither linked nor rejected. replacements:
@@ -61,10 +63,15 @@ def removable(products: DataFrame, *used: DataFrame) -> DataFrame:
 def words_to_ids(index: DataFrame, asked: DataFrame, least: float = 2 / 3) -> DataFrame:
     """Rows that hold at least the share `least` of each search's words, with how many. index: word, ids (array); asked: search,
     word. Words of one search count once each."""
-    words = asked.distinct()
-    n = words.groupBy("search").agg(F.count("*").alias("words"))
-    hits = words.join(index, "word").select("search", F.explode("ids").alias("id")).groupBy("search", "id").agg(F.count("*").alias("hits"))
-    return hits.join(n, "search").where(F.col("hits") >= F.ceil(F.col("words") * least - 1e-9)).select("search", "id", "hits")
+    # Searches for the same words are answered once: a search takes what its set of words has found.
+    sets = asked.distinct().groupBy("search").agg(F.array_sort(F.collect_set("word")).alias("words"), F.count("*").alias("n"))
+    sets = staged(sets, "word_sets")
+    words = sets.groupBy("words", "n").agg(F.min("search").alias("first"))
+    named = words.select("first", "n", F.explode("words").alias("word"))
+    hits = named.join(index, "word").select("first", "n", F.explode("ids").alias("id")).groupBy("first", "n", "id").agg(F.count("*").alias("hits"))
+    enough = hits.where(F.col("hits") >= F.ceil(F.col("n") * least - 1e-9)).select("first", "id", "hits")
+    alike = sets.join(words, ["words", "n"]).select("search", "first")
+    return enough.join(alike, "first").select("search", "id", "hits")
 
 
 #: Ids that one row of an index covers, so that a word in every text makes many rows of bounded size.
