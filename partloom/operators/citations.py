@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.checks import is_kit
+from partloom.functions.staging import staged
 from partloom.functions.text import without_marks
 
 #: Pieces of a code that a text may hold apart, characters of a code that is looked for, and of one looked for in kits.
@@ -57,11 +58,15 @@ def kit_parts(products: DataFrame) -> DataFrame:
     """kit and part: sets and the products whose code (LEAST_IN_KIT characters or more) their description names; of products with
     one description the one that can be sold, and of sets with one description too: priced, then in stock, then the least id. A
     product with the set's own description is the set. products: id, code, text, price, stock."""
-    kits = products.where(is_kit(F.col("text")))
+    sold = lambda i: (F.col("price").isNull(), F.coalesce("stock", F.lit(0)) <= 0, F.col(i))
+    first = lambda rows, by, i: rows.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(*sold(i)))).where("_p = 1").drop("_p")
+    # Sets of one description name the same codes, so the best of them stands for all; products of one code and description
+    # likewise. Sets that name the same codes hold the same products, and each takes the list at the end.
+    kits = first(products.where(is_kit(F.col("text"))).select("id", "text", F.trim("text").alias("kit_text"), "price", "stock"), ["kit_text"], "id")
     parts = products.where(F.length("code") >= LEAST_IN_KIT).select(F.col("id").alias("part"), "code", F.trim("text").alias("of"), "price", "stock")
-    rows = cited(kits.select("id", "text"), parts.select("code")).join(parts, "code").join(kits.select("id", F.trim("text").alias("kit_text"), F.col("price").alias("kit_price"), F.col("stock").alias("kit_stock")), "id")
-    rows = rows.where("id <> part and not (of <=> kit_text)").select(F.col("id").alias("kit"), "part", "of", "price", "stock", "kit_text", "kit_price", "kit_stock")
-    best = lambda by, price, stock, i: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(price).isNull(), (F.coalesce(stock, F.lit(0)) <= 0), i))
-    rows = rows.withColumn("p", best(("kit", "of"), "price", "stock", "part")).where("p = 1")
-    return rows.withColumn("k", best(("part", "kit_text"), "kit_price", "kit_stock", "kit")).where("k = 1").select("kit", "part")
-
+    parts = first(parts, ["code", "of"], "part")
+    named = cited(kits.select("id", "text"), parts.select("code")).distinct().groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    named = staged(named.join(kits.select("id", "kit_text"), "id"), "named_codes")
+    lists = named.select("codes").distinct().select("codes", F.explode("codes").alias("code")).join(parts, "code")
+    lists = first(lists, ["codes", "of"], "part").select("codes", "part", "of")
+    return lists.join(named, "codes").where("not (of <=> kit_text)").select(F.col("id").alias("kit"), "part")
