@@ -52,3 +52,12 @@ def test_fitment_pairs_against_all_pairs(spark):
     k = F.col("id")
     many = spark.range(20_000).select(k.alias("part"), F.concat(F.lit("B"), k % 2).alias("brand"), F.lit("K").alias("kind"), F.lit("C").alias("car"), F.lit(None).cast("int").alias("engine"))
     assert quick(lambda: evidence.fitment_pairs(many, 1).count()) == 10_000 * 10_000
+
+
+def test_sales_of_one_supplier_do_not_meet(spark):
+    """All of a customer's sales of a part met each other, whoever had supplied them."""
+    k = F.col("id")
+    one = spark.range(60_000).select(F.lit(1).alias("customer"), F.lit(1).alias("part"), F.lit(7).cast("long").alias("id"), k.alias("seen"), F.lit(False).alias("returned"))
+    two = spark.createDataFrame([(2, 1, 5, 1, True), (2, 1, 6, 2, False), (2, 1, 5, 3, True), (2, 1, 6, 3, True), (3, 1, 6, 1, False)], "customer int, part int, id long, seen long, returned boolean")
+    got = quick(lambda: {tuple(r) for r in evidence.bought_after(one.unionByName(two)).collect()})
+    assert got == {(5, 6, 2, True), (6, 5, 1, True)}
