@@ -2,15 +2,25 @@
 
 Words are put in order of frequency, rarest first. Two names that share a word of at most `most` rows have as their first
 common word one of at most so many rows, and if their words are alike enough it stands among the first of both. So names
-meet at such words only, each pair at its first common one.
+meet at such words only. What meets there is short: sizes, places, and a bitmap of all words that shows for most pairs that too
+many of their words differ. The words themselves are compared for the pairs that are left, each once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.functions.staging import staged
+from partloom.functions.staging import importable, staged
+
+#: Bytes of a bitmap of words, and first words of a name that tell whether two have met before.
+BITMAP, LEAD = 64, 8
+#: Pairs that are looked at together.
+TOGETHER = 500_000
 
 
 def frequencies(items: DataFrame) -> DataFrame:
@@ -26,24 +36,97 @@ def hubs(items: DataFrame, most: int = 250) -> DataFrame:
 def pairs(items: DataFrame, alike: float = 0.5, most: int = 250, since: int | None = None) -> DataFrame:
     """a, b and common, the number of words of both: items of different brands that share a word of at most `most` items and at
     least the share `alike` of all their words. items: id, brand, words (each once). since: pairs with an id beyond it alone."""
-    ordered = staged(items.select("id", "brand", F.explode("words").alias("word")).join(frequencies(items), "word"), "words")
-    # A word's place in the order is its count and itself; a name's words in that order.
-    sorted_ = F.array_sort(F.collect_list(F.struct("n", "word")))
-    sets = ordered.groupBy("id", "brand").agg(sorted_.alias("w")).select("id", "brand", F.transform("w", lambda x: x["word"]).alias("w"), F.transform("w", lambda x: x["n"]).alias("n"))
-    size = F.size("w")
-    first = size - F.ceil(size * alike - 1e-9).cast("int") + 1
-    keys = sets.select("id", "brand", "w", F.posexplode(F.slice(F.arrays_zip("w", "n"), F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "x"))
-    keys = staged(keys.where((F.col("x.n") >= 2) & (F.col("x.n") <= most)).select("id", "brand", "w", F.col("x.w").alias("word"), "at"), "rare_words")
-    x, y = keys.toDF("a", "brand_a", "wa", "word", "at_a"), keys.toDF("b", "brand_b", "wb", "word", "at_b")
-    met = x.join(y, "word").where("a < b and not (brand_a <=> brand_b)")
+    importable(items.sparkSession)
+    # Words by number; a word's place in the order is its count and its number.
+    known = staged(frequencies(items).withColumn("word_id", F.monotonically_increasing_id()), "words")
+    ordered = items.select("id", "brand", F.explode("words").alias("word")).join(known, "word").groupBy("id", "brand").agg(F.array_sort(F.collect_list(F.struct("n", "word_id"))).alias("w"))
+    sets = staged(ordered.select(F.col("id").cast("long").alias("id"), F.col("brand").cast("string").alias("brand"), F.transform("w", lambda x: x["word_id"]).alias("w"), F.transform("w", lambda x: x["n"]).alias("n")), "word_sets")
+    # All rows of a word lie together, and those of few words: what a task holds is bounded by `most`.
+    keys = sets.mapInArrow(lambda batches: _keys(batches, alike, most), "word long, id long, brand string, size int, at int, bitmap binary, lead binary")
+    met = keys.repartition("word").sortWithinPartitions("word").mapInArrow(lambda batches: _met(batches, alike), "a long, b long")
     if since is not None:
         met = met.where((F.col("a") > since) | (F.col("b") > since))
-    na, nb = F.size("wa"), F.size("wb")
-    met = met.where((F.least(na, nb) >= F.greatest(na, nb) * alike - 1e-9))
-    # Of what both have before this word, nothing is common: it is their first one.
-    fresh = (F.col("at_a") == 0) | (F.col("at_b") == 0) | ~F.arrays_overlap(F.slice("wa", F.lit(1), F.greatest("at_a", F.lit(1))), F.slice("wb", F.lit(1), F.greatest("at_b", F.lit(1))))
-    common = F.size(F.array_intersect("wa", "wb"))
-    return met.where(fresh).select("a", "b", common.alias("common"), (na + nb).alias("both")).where(F.col("common") >= alike * (F.col("both") - F.col("common")) - 1e-9).select("a", "b", "common")
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"))
+    both, common = F.size("wa") + F.size("wb"), F.size(F.array_intersect("wa", "wb"))
+    compared = staged(met.distinct(), "met").join(of("b"), "b").join(of("a"), "a").select("a", "b", common.alias("common"), both.alias("both"))
+    return compared.where(F.col("common") >= alike * (F.col("both") - F.col("common")) - 1e-9).select("a", "b", "common")
+
+
+def _keys(batches: Iterator[pa.RecordBatch], alike: float, most: int) -> Iterator[pa.RecordBatch]:
+    """A row for each rare word among the first of a name: the name's size, the word's place, a bitmap of all its words, and
+    its first words before this one."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], [], [], []]
+        for id_, brand, w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            w, n = w.values.to_numpy(), n.values.to_numpy()
+            size = len(w)
+            first = size - int(np.ceil(size * alike - 1e-9)) + 1
+            places = np.flatnonzero((n[:first] >= 2) & (n[:first] <= most))
+            if not len(places):
+                continue
+            bits = np.zeros(BITMAP * 8, np.uint8)
+            bits[(w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (BITMAP * 8 - 1).bit_length())] = 1
+            bitmap = np.packbits(bits).tobytes()
+            for at in places.tolist():
+                lead = w[: min(at, LEAD)].tobytes()
+                for c, x in zip(out, (int(w[at]), id_, brand, size, at, bitmap, lead)):
+                    c.append(x)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["word", "id", "brand", "size", "at", "bitmap", "lead"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
+    """a, b: pairs of names of one word that may be alike, but those that have met at one of their first words. Rows lie in
+    order of their words."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(0)[-1].as_py()
+        cut = int(np.searchsorted(batch.column(0).to_numpy(), last))
+        if cut or (held and held[0].column(0)[0].as_py() != last):
+            yield from _pairs_of(pa.Table.from_batches([*held, batch.slice(0, cut)]), alike)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from _pairs_of(pa.Table.from_batches(held), alike)
+
+
+def _pairs_of(rows: pa.Table, alike: float) -> Iterator[pa.RecordBatch]:
+    rows = rows.combine_chunks()
+    word, id_, size, at = (rows.column(c).to_numpy() for c in ("word", "id", "size", "at"))
+    # A null brand is unlike every other, and like another null.
+    brand = rows.column("brand").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    bitmap = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP // 8)
+    leads = rows.column("lead").to_pylist()
+    # Where there is no word, -1, which is like nothing.
+    lead = np.full((len(leads), LEAD), -1, np.int64)
+    for k, x in enumerate(leads):
+        if x:
+            lead[k, : len(x) // 8] = np.frombuffer(x, np.int64)
+    # Each row meets those after it of its word.
+    after = np.searchsorted(word, word, side="right") - np.arange(len(word)) - 1
+    total, start = np.cumsum(after), 0
+    while start < len(word):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + TOGETHER, side="right")))
+        n = after[start:stop]
+        x = np.repeat(np.arange(start, stop), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        start = stop
+        ok = (brand[x] != brand[y]) & (id_[x] != id_[y])
+        x, y = x[ok], y[ok]
+        least = (alike * (size[x] + size[y]) - 1e-9) / (1 + alike)
+        ok = (np.minimum(size[x], size[y]) >= np.maximum(size[x], size[y]) * alike - 1e-9) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= least - 1e-9)
+        x, y, least = x[ok], y[ok], least[ok]
+        # A bit that one has alone is a word that one has alone.
+        ok = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(1, dtype=np.int64) <= size[x] + size[y] - 2 * least + 1e-6
+        x, y = x[ok], y[ok]
+        before = np.zeros(len(x), bool)
+        for i in range(LEAD):
+            mine = lead[x, i]
+            before |= (mine[:, None] == lead[y]).any(1) & (mine >= 0)
+        x, y = x[~before], y[~before]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[x], id_[y])), pa.array(np.maximum(id_[x], id_[y]))], names=["a", "b"])
 
 
 def best(pairs: DataFrame, top: int = 3) -> DataFrame:
