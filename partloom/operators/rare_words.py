@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from partloom.functions.staging import importable, staged
 
-#: Bytes of a bitmap of words, and first words of a name that tell whether two have met before.
-BITMAP, LEAD = 64, 8
+#: Bits for a word in a bitmap of words, least and most bytes of one, and first words of a name that tell whether two have met before.
+BITS, LEAST, MOST, LEAD = 2, 32, 1024, 8
 #: Pairs that are looked at together.
 TOGETHER = 500_000
 
@@ -64,8 +64,8 @@ def _keys(batches: Iterator[pa.RecordBatch], alike: float, most: int) -> Iterato
             places = np.flatnonzero((n[:first] >= 2) & (n[:first] <= most))
             if not len(places):
                 continue
-            bits = np.zeros(BITMAP * 8, np.uint8)
-            bits[(w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (BITMAP * 8 - 1).bit_length())] = 1
+            bits = np.zeros(8 * min(MOST, max(LEAST, 1 << (size * BITS // 8).bit_length())), np.uint8)
+            bits[((w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(len(bits))] = 1
             bitmap = np.packbits(bits).tobytes()
             for at in places.tolist():
                 lead = w[: min(at, LEAD)].tobytes()
@@ -97,7 +97,18 @@ def _pairs_of(rows: pa.Table, alike: float) -> Iterator[pa.RecordBatch]:
     word, id_, size, at = (rows.column(c).to_numpy() for c in ("word", "id", "size", "at"))
     # A null brand is unlike every other, and like another null.
     brand = rows.column("brand").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    bitmap = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP // 8)
+    bitmap = rows.column("bitmap").to_pylist()
+    wide = np.array([len(x) for x in bitmap], np.int64)
+    # By width: the bitmaps of it, and wider ones with their halves laid over each other, and where each row's is.
+    widths = np.unique(wide).tolist()
+    own = {w: np.frombuffer(b"".join(bitmap[k] for k in np.flatnonzero(wide == w)), np.uint64).reshape(-1, 1, w // 8) for w in widths}
+    folded = {}
+    for width in widths:
+        place, parts = np.zeros(len(wide), np.int64), []
+        for w in widths[widths.index(width) :]:
+            place[wide == w] = sum(map(len, parts)) + np.arange(len(own[w]))
+            parts.append(np.bitwise_or.reduce(own[w].reshape(-1, w // width, width // 8), axis=1))
+        folded[width] = np.concatenate(parts), place
     leads = rows.column("lead").to_pylist()
     # Where there is no word, -1, which is like nothing.
     lead = np.full((len(leads), LEAD), -1, np.int64)
@@ -119,7 +130,10 @@ def _pairs_of(rows: pa.Table, alike: float) -> Iterator[pa.RecordBatch]:
         ok = (np.minimum(size[x], size[y]) >= np.maximum(size[x], size[y]) * alike - 1e-9) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= least - 1e-9)
         x, y, least = x[ok], y[ok], least[ok]
         # A bit that one has alone is a word that one has alone.
-        ok = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(1, dtype=np.int64) <= size[x] + size[y] - 2 * least + 1e-6
+        narrow, ok = np.minimum(wide[x], wide[y]), np.zeros(len(x), bool)
+        for width, (bits, place) in folded.items():
+            k = np.flatnonzero(narrow == width)
+            ok[k] = np.bitwise_count(bits[place[x[k]]] ^ bits[place[y[k]]]).sum(1, dtype=np.int64) <= size[x[k]] + size[y[k]] - 2 * least[k] + 1e-6
         x, y = x[ok], y[ok]
         before = np.zeros(len(x), bool)
         for i in range(LEAD):
