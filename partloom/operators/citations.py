@@ -44,14 +44,15 @@ def cited(texts: DataFrame, codes: DataFrame, pieces: int = PIECES) -> DataFrame
 def written_pairs(products: DataFrame, linked: DataFrame, pending: DataFrame) -> DataFrame:
     """a, b: pairs of products of different brands of which one's description declares the other's code, and that are neither
     linked nor pending, nor a set and a part. products: id, brand, code, text; linked, pending: a, b."""
-    found = cited(products.select("id", declared(F.col("text")).alias("text")).where("text is not null"), products.select("code"))
-    own = products.select("id", F.col("brand").alias("by"), F.col("text").alias("by_text"))
-    other = products.select(F.col("id").alias("other"), "brand", "code", F.col("text").alias("other_text"))
-    rows = found.join(other, "code").join(own, "id").where((F.col("id") != F.col("other")) & (F.col("by") != F.col("brand")) & (is_kit(F.col("by_text")) == is_kit(F.col("other_text"))))
+    # Texts are read once, a task for each share of them; what meets are narrow rows.
+    read = products.select("id", "brand", "code", is_kit(F.col("text")).alias("kit"), F.coalesce(spans(declared(F.col("text"))), F.array().cast("array<string>")).alias("named"))
+    read = staged(read, "declared_codes")
+    found = read.select("id", F.col("brand").alias("by"), F.col("kit").alias("by_kit"), F.explode("named").alias("code"))
+    other = read.where((F.length("code") >= LEAST) & F.col("code").rlike("[0-9]")).select(F.col("id").alias("other"), "brand", "code", "kit")
+    rows = found.join(other, "code").where("id <> other and by <> brand and by_kit = kit")
     out = rows.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    for known in (linked, pending):
-        out = out.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return out
+    known = linked.select("a", "b").unionByName(pending.select("a", "b"))
+    return out.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def kit_parts(products: DataFrame) -> DataFrame:
