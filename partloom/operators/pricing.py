@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.functions.staging import by_rows, staged
 from partloom.functions.text import upper_median
 
 
@@ -64,20 +65,21 @@ def placeholders(priced: DataFrame, least_times: int = 20, least_classes: int =
 def two_prices(prices: DataFrame, hours: int = 1) -> DataFrame:
     """Products that have two prices over 5 % apart within hours of their last row."""
     last = F.max("seen").over(Window.partitionBy("id"))
-    near = prices.withColumn("last", last).where(F.col("seen") >= F.col("last") - F.make_dt_interval(hours=F.lit(hours)))
+    near = by_rows(prices.select("id", "price", "seen"), "id").withColumn("last", last).where(F.col("seen") >= F.col("last") - F.make_dt_interval(hours=F.lit(hours)))
     g = near.groupBy("id").agg(F.count_distinct("price").alias("prices"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
     return g.where((F.col("prices") >= 2) & (F.col("highest") > 1.05 * F.col("lowest"))).select("id", "prices", "lowest", "highest")
 
 
 def linked_prices(links: DataFrame, priced: DataFrame, brands: DataFrame) -> DataFrame:
     """links with both products' brands and prices."""
-    of = priced.select("id", "price").join(brands.select("id", "brand"), "id")
+    of = staged(priced.select("id", "price").join(brands.select("id", "brand"), "id"), "priced")
     return links.join(of.toDF("a", "price_a", "brand_a"), "a").join(of.toDF("b", "price_b", "brand_b"), "b")
 
 
 def brand_scale(pairs: DataFrame, least: int = 5) -> DataFrame:
     """Per brand: the median of its price over its equivalents' prices."""
-    both = pairs.select(F.col("brand_a").alias("brand"), (F.col("price_a") / F.col("price_b")).alias("ratio")).unionByName(pairs.select(F.col("brand_b").alias("brand"), (F.col("price_b") / F.col("price_a")).alias("ratio")))
+    way = lambda x, y: F.struct(F.col(f"brand_{x}").alias("brand"), (F.col(f"price_{x}") / F.col(f"price_{y}")).alias("ratio"))
+    both = pairs.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
     return both.groupBy("brand").agg(F.count("*").alias("pairs"), F.round(F.percentile("ratio", 0.5), 6).alias("scale")).where(F.col("pairs") >= least)
 
 
