@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.functions.staging import by_rows, staged
 from partloom.operators.pricing import jump
 
 
@@ -67,10 +68,12 @@ def no_longer_declared(before: DataFrame, now: DataFrame, listed: DataFrame) ->
 def replacement_ends(replacements: DataFrame, most: int = 10) -> DataFrame:
     """Where each replaced code's chain ends: code, last, steps. Each step takes the newest row; a chain stops at a code
     seen before or after `most` steps. replacements: old, new, seen."""
-    newest = replacements.groupBy("old").agg(F.max_by("new", F.struct("seen", "new")).alias("new"))
+    newest = by_rows(replacements.select("old", "new", "seen"), "old").groupBy("old").agg(F.max_by("new", F.struct("seen", "new")).alias("new"))
+    newest = staged(newest, "newest")
+    # A chain goes on only at a code that is new somewhere and old elsewhere; where these are few, each step is a broadcast.
+    nxt = staged(newest.join(newest.select(F.col("new").alias("old")).distinct(), "old", "left_semi"), "steps").toDF("o", "n")
     state = newest.select(F.col("old").alias("code"), F.col("new").alias("last"), F.lit(1).alias("steps"), F.array("old", "new").alias("path"))
     for _ in range(most - 1):
-        nxt = newest.toDF("o", "n")
         go = F.col("n").isNotNull() & ~F.array_contains("path", F.coalesce("n", F.lit("")))
         state = state.join(nxt, state.last == nxt.o, "left").select(
             "code", F.when(go, F.col("n")).otherwise(F.col("last")).alias("last"), (F.col("steps") + go.cast("int")).alias("steps"), F.when(go, F.concat("path", F.array("n"))).otherwise(F.col("path")).alias("path"),
