@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partloom.functions import checks, days, extract, text
+from partloom.functions.staging import dealt
 from partloom.plans.registry import QUERIES, query
 
 BEFORE = set(QUERIES)
@@ -16,7 +17,7 @@ NAMES_OF = """concat(CASE p_partkey % 6 WHEN 0 THEN 'KIT ' WHEN 1 THEN 'Juego de
 
 def parts(v, **made):
     # As a generated row, a text is made once and not at each place that reads it.
-    return v.table("part").select(F.col("p_partkey").alias("part"), F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in made.items()]))))
+    return dealt(v.table("part"), "p_partkey").select(F.col("p_partkey").alias("part"), F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in made.items()]))))
 
 
 def source(**made):
