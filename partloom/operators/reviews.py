@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.functions.staging import by_rows, staged
 
 def by_origin(links: DataFrame, solid: int = 70) -> DataFrame:
     """Per origin: links, share of solid ones, verified ones. links: origin, conf, verified."""
@@ -49,7 +50,8 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 def fans(pairs: DataFrame) -> DataFrame:
     """Products with several candidates in one other list, whose codes are not all sizes of one part. pairs: a, list, base."""
-    return pairs.groupBy("a", "list").agg(F.count_distinct("base").alias("options"), F.count("*").alias("candidates")).where("options > 1")
+    rows = by_rows(staged(pairs.select("a", "list", "base"), "fans"), "a")
+    return rows.groupBy("a", "list").agg(F.count_distinct("base").alias("options"), F.count("*").alias("candidates")).where("options > 1")
 
 
 def fan_options(pairs: DataFrame) -> DataFrame:
