@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.functions.staging import by_rows, staged
+from partloom.functions.staging import by_rows
 from partloom.functions.text import upper_median
 
 
@@ -70,9 +70,9 @@ def two_prices(prices: DataFrame, hours: int = 1) -> DataFrame:
     return g.where((F.col("prices") >= 2) & (F.col("highest") > 1.05 * F.col("lowest"))).select("id", "prices", "lowest", "highest")
 
 
-def linked_prices(links: DataFrame, priced: DataFrame, brands: DataFrame) -> DataFrame:
-    """links with both products' brands and prices."""
-    of = staged(priced.select("id", "price").join(brands.select("id", "brand"), "id"), "priced")
+def linked_prices(links: DataFrame, priced: DataFrame, brands: DataFrame | None = None) -> DataFrame:
+    """links with both products' brands and prices. brands: id, brand; none where priced has the brand."""
+    of = priced.select("id", "price", "brand") if brands is None else priced.select("id", "price").join(brands.select("id", "brand"), "id")
     return links.join(of.toDF("a", "price_a", "brand_a"), "a").join(of.toDF("b", "price_b", "brand_b"), "b")
 
 

@@ -95,3 +95,10 @@ def test_nearest_by_tiles(spark):
     np.fill_diagonal(c, -2)
     got = search.nearest(v, v, 1)
     assert {(r.probe, r.near) for r in got.collect()} == set(enumerate(c.argmax(1)))
+
+
+def test_brands_of_prices_need_no_join(spark):
+    links, priced = spark.createDataFrame([(1, 2, 50)], "a long, b long, conf long"), spark.createDataFrame([(1, 5.0, 7), (2, 6.0, 8)], "id long, price double, brand long")
+    out = pricing.linked_prices(links, priced)
+    assert [r.asDict() for r in out.collect()] == [{"a": 1, "b": 2, "conf": 50, "price_a": 5.0, "brand_a": 7, "price_b": 6.0, "brand_b": 8}]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
