@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from partloom.functions import staging
-from partloom.operators import citations, graph, imports, pricing, queues, rescoring, reviews, search, signatures
+from partloom.operators import citations, code_search, graph, imports, pricing, queues, rescoring, reviews, search, signatures
 from partloom.plans import structures, texts
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,3 +102,14 @@ def test_brands_of_prices_need_no_join(spark):
     out = pricing.linked_prices(links, priced)
     assert [r.asDict() for r in out.collect()] == [{"a": 1, "b": 2, "conf": 50, "price_a": 5.0, "brand_a": 7, "price_b": 6.0, "brand_b": 8}]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_equal_codes_are_one_state(spark):
+    n = 30
+    products = spark.createDataFrame([(i, "SHARED77", None, False) for i in range(n)] + [(100 + i, f"OWN{i:05}", None, False) for i in range(n)], "id long, code string, barcode string, oem boolean")
+    links = spark.createDataFrame([(i, 100 + i, 80, False) for i in range(n)], "a long, b long, conf int, ends boolean")
+    searches = spark.createDataFrame([("OWN00000",), ("OWN00001",)], "search string")
+    out, read = wrote("same_code", lambda: code_search.search(products, links, searches))
+    assert sum(t.count() for t in read) <= 2 * 2 and out.count() == 2 * 2 * n
+    got = {(r.search, r.id): (r.hops, r.worst, r.by_code) for r in out.collect()}
+    assert got["OWN00000", 5] == (1, 80, False) and got["OWN00000", 0] == (1, 80, False) and got["OWN00000", 105] == (2, 80, False)
