@@ -113,3 +113,16 @@ def test_equal_codes_are_one_state(spark):
     assert sum(t.count() for t in read) <= 2 * 2 and out.count() == 2 * 2 * n
     got = {(r.search, r.id): (r.hops, r.worst, r.by_code) for r in out.collect()}
     assert got["OWN00000", 5] == (1, 80, False) and got["OWN00000", 0] == (1, 80, False) and got["OWN00000", 105] == (2, 80, False)
+
+
+def test_ways_of_a_code_are_tried_in_one_join(spark):
+    products = spark.createDataFrame([("ABC1", None), ("0ABC1", None), ("00ABC1", "X99LUCAS"), ("NGKABC1SKF", None), ("KGN777", None), ("777", None)], "code string, barcode string")
+    typed = ["ABC1", "00ABC1", "000ABC1", "X99NGK", "NGKX99", "NGK777", "NGK777KGN", "KGN777NGK", "00", "NGKABC1", "X9"]
+    brands = spark.createDataFrame([("NGK",), ("KGN",), ("GK",)], "name string")
+    out, read = wrote("names", lambda: code_search.resolved(products, spark.createDataFrame([(t,) for t in typed], "typed string"), brands, ("LUCAS", "SKF")))
+    got = {r.typed: (r.code, r.how) for r in out.collect()}
+    assert got == {
+        "ABC1": ("ABC1", "exact"), "00ABC1": ("00ABC1", "exact"), "000ABC1": ("ABC1", "zero"), "X99NGK": ("X99LUCAS", "brand"), "NGKX99": ("X99LUCAS", "brand"), "NGK777": ("777", "brand"),
+        "KGN777NGK": ("KGN777", "brand"), "NGKABC1": ("NGKABC1SKF", "glued"),
+    }
+    assert read[0].count() == 3  # one table of few rows, not each typed code's cuts, goes out
