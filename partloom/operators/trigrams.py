@@ -7,15 +7,22 @@ counts once its last table is written, so a lost job leaves no half of one. Post
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from partloom.functions.staging import importable
 from partloom.functions.text import without_marks
 
 #: Ids of one row of postings, and changed ids from which an index is made anew.
 BLOCK, MANY = 10_000, 2000
 #: Rows of equal merit that a search gives.
 TOP = 200
+#: Bytes of text whose trigrams a task sorts at a time, and the letters of trigrams in order.
+HELD, LETTERS = 4_000_000, "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 def folded(text: Column) -> Column:
@@ -27,15 +34,48 @@ def trigrams(f: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(f, F.lit("(?=([a-z0-9]{3}))"), F.lit(1)))
 
 
+def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """trigram, block and ids of rows (id, folded text): the trigrams() of each text, sorted by number in one go for all texts of
+    HELD bytes. Bytes that are no letter or digit end a run, so letters of several bytes do."""
+    base = len(LETTERS)
+    rank = np.full(256, -1, np.int32)
+    rank[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(base)
+    names = pa.array([x + y + z for x in LETTERS for y in LETTERS for z in LETTERS])
+    for batch in batches:
+        ids, texts_ = batch.column(0).to_numpy(), batch.column(1)
+        data = np.frombuffer(texts_.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(texts_.buffers()[1], np.int32)[texts_.offset : texts_.offset + len(texts_) + 1] if len(texts_) else np.zeros(1, np.int32)
+        begin = 0
+        while begin < len(ids):
+            end = max(begin + 1, int(np.searchsorted(ends, int(ends[begin]) + HELD, "right")) - 1)
+            order = np.argsort(ids[begin:end], kind="stable")
+            place = np.empty(end - begin, np.int64)
+            place[order] = np.arange(end - begin)
+            own, letter = ids[begin:end][order], rank[data[ends[begin] : ends[end]]]
+            text = np.repeat(np.arange(end - begin, dtype=np.int32), np.diff(ends[begin : end + 1]))
+            at = np.flatnonzero((letter[:-2] >= 0) & (letter[1:-1] >= 0) & (letter[2:] >= 0) & (text[:-2] == text[2:]))
+            begin = end
+            if not len(at):
+                continue
+            number = (letter[at] * base + letter[at + 1]) * base + letter[at + 2]
+            number, which = np.divmod(np.unique(number * np.int64(len(own)) + place[text[at]]), len(own))
+            held = own[which]
+            block = held // BLOCK
+            first = np.concatenate([[0], 1 + np.flatnonzero((np.diff(number) != 0) | (np.diff(block) != 0))])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(held)), pa.int32()), pa.array(held, pa.int64()))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(number[first])), pa.array(block[first], pa.int64()), lists], names=["trigram", "block", "ids"])
+
+
 def _add(path: str, part: int, rows: DataFrame, replaced: DataFrame | None) -> None:
     at = lambda kind: f"{path}/{kind}/part={part}"
     texts = rows.select("id", folded(F.col("text")).alias("f"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
     texts.write.parquet(at("texts"))
     spark = rows.sparkSession
+    importable(spark)
     own = spark.read.parquet(at("texts"))
-    spread = own.select("id", F.explode(trigrams(F.col("f"))).alias("trigram")).groupBy("trigram", F.floor(F.col("id") / BLOCK).alias("block"))
-    postings = spread.agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    postings.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.parquet(at("postings"))
+    # A task's lists are few rows; one shuffle puts them together in the order in which they are written.
+    lists = own.select("id", "f").mapInArrow(listed, "trigram string, block long, ids array<long>").groupBy("trigram", "block").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    lists.sortWithinPartitions("trigram", "block").write.parquet(at("postings"))
     # The table that makes the part count comes last.
     gone = replaced if replaced is not None else own.select("id").limit(0)
     gone.select(F.col("id").cast("long")).distinct().write.parquet(at("replaced"))
@@ -108,11 +148,13 @@ def search(spark: SparkSession, path: str, searches: DataFrame, top: int = TOP)
     held = both.select("search", "least", "part", F.explode(common).alias("id")).groupBy("search", "least", "part", "id").agg(F.count("*").alias("hits")).where("hits >= least")
     held = held.join(gone, "id", "left").where("from_part is null or part >= from_part").select("search", "id")
     live = texts(spark, path)
-    rows = held.join(live, "id").join(own.select("search", "words", "enough"), "search")
+    # A word stands alone if it does between blanks once all but letters and digits are blanks: made once for a text.
+    blanks = F.concat(F.lit(" "), F.regexp_replace("f", "[^a-z0-9]+", " "), F.lit(" ")).alias("g")
+    rows = held.join(live, "id").join(own.select("search", "words", "enough"), "search").select("search", "id", "f", "size", "words", "enough", blanks)
     short = own.where("least < 1")
     if not short.isEmpty():
-        rows = rows.unionByName(live.join(F.broadcast(short.select("search", "words", "enough"))))
-    alone = lambda w: F.regexp_like("f", F.concat(F.lit("(?<![a-z0-9])"), w, F.lit("(?![a-z0-9])")))
+        rows = rows.unionByName(live.select("id", "f", "size", blanks).join(F.broadcast(short.select("search", "words", "enough"))).select(*rows.columns))
+    alone = lambda w: F.contains("g", F.concat(F.lit(" "), w, F.lit(" ")))
     stands = F.size(F.filter("words", alone))
     found = F.size(F.filter("words", lambda w: F.when(F.length(w) <= 2, alone(w)).otherwise(F.contains("f", w))))
     rows = rows.select("search", "id", found.alias("found"), stands.alias("whole"), "size", "enough").where("found >= enough")

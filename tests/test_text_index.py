@@ -84,3 +84,22 @@ def test_pairs_by_rare_words(spark, alike, most, since):
     assert {(r.word, r.n) for r in rare_words.hubs(df, most).collect()} == {(w, k) for w, k in n.items() if k > most}
     top = rare_words.best(rare_words.pairs(df, alike, most), 2).groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     assert top <= 2
+
+
+def test_lists_of_a_block_of_texts(spark):
+    """Trigrams of odd texts, put in lists by a task, are those of each text alone; no text is read twice for it."""
+    held = ["", "ab", "abc", "abcabc abc", "año abcñdef", "x\u4e2dabc\U0001f600def", "123-456 7", "zz\nzzz", "z" * 50]
+    rows = spark.createDataFrame([(i * 7919 % 31 - 9 + (i % 3) * 20_000, held[i % len(held)]) for i in range(31)], "id long, f string").coalesce(1)
+    lists = rows.mapInArrow(trigrams.listed, "trigram string, block long, ids array<long>").collect()
+    assert all(r.ids == sorted(set(r.ids)) and {i // trigrams.BLOCK for i in r.ids} == {r.block} for r in lists)
+    want = rows.select("id", F.explode(trigrams.trigrams(F.col("f"))).alias("trigram")).collect()
+    assert sorted((r.trigram, i) for r in lists for i in r.ids) == sorted((r.trigram, r.id) for r in want)
+    small, trigrams.HELD = trigrams.HELD, 5
+    try:
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"id": pa.array([r.id for r in rows.collect()], pa.int64()), "f": [r.f for r in rows.collect()]}).slice(2)
+        cut = [(t, i) for b in trigrams.listed([batch]) for t, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) for i in ids]
+        assert sorted(cut) == sorted((r.trigram, r.id) for r in want if r.id in set(batch.column(0).to_pylist()))
+    finally:
+        trigrams.HELD = small
