@@ -87,7 +87,7 @@ def test_pairs_by_rare_words(spark, alike, most, since):
 
 
 def test_lists_of_a_block_of_texts(spark):
-    """Trigrams of odd texts, put in lists by a task, are those of each text alone; no text is read twice for it."""
+    """Trigrams of odd texts, put in lists by a task, are those of each text alone."""
     held = ["", "ab", "abc", "abcabc abc", "año abcñdef", "x\u4e2dabc\U0001f600def", "123-456 7", "zz\nzzz", "z" * 50]
     rows = spark.createDataFrame([(i * 7919 % 31 - 9 + (i % 3) * 20_000, held[i % len(held)]) for i in range(31)], "id long, f string").coalesce(1)
     lists = rows.mapInArrow(trigrams.listed, "trigram string, block long, ids array<long>").collect()
