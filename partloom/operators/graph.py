@@ -166,10 +166,28 @@ def hubs(members: DataFrame, least_degree: int) -> DataFrame:
 
 
 def two_hops(links: DataFrame) -> DataFrame:
-    """id and other: products within two links."""
-    step = both_ways(links).select("a", "b")
-    second = step.toDF("id", "mid").join(step.toDF("mid", "other"), "mid").select("id", "other")
-    return step.toDF("id", "other").unionByName(second).where("id <> other").distinct()
+    """Pairs of products within two links, each once: a and brand_a, b and brand_b, a < b. links: a, b, brand_a, brand_b.
+
+    Neighbours of a product meet in one order of the two alone, and brands come with the links: pairs are far more than links,
+    so they are dealt out once, to be made one."""
+    own = links.where("a is not null and b is not null").select("a", "b", "brand_a", "brand_b")
+    one, other = ("a", "brand_a"), ("b", "brand_b")
+    near = own.select(F.inline(F.array(F.struct(F.col("a").alias("mid"), F.col("b").alias("id"), F.col("brand_b").alias("brand")), F.struct(F.col("b").alias("mid"), F.col("a").alias("id"), F.col("brand_a").alias("brand")))))
+    through = near.toDF("mid", "a", "brand_a").join(near.toDF("mid", "b", "brand_b"), "mid").where("a < b").select(*one, *other)
+    turned = F.struct(F.col("b").alias("a"), F.col("brand_b").alias("brand_a"), F.col("a").alias("b"), F.col("brand_a").alias("brand_b"))
+    direct = own.where("a <> b").select(F.when(F.col("a") < F.col("b"), F.struct(*one, *other)).otherwise(turned).alias("x")).select("x.*")
+    return direct.unionByName(through).distinct()
+
+
+def reached_brands(links: DataFrame) -> DataFrame:
+    """Per brand: reached, the brands that its products come to within two links, and pairs, those of its products with others.
+    links: a, b, brand_a, brand_b. Pairs of two brands are counted together, whichever comes first."""
+    turn = F.coalesce(F.col("brand_a") > F.col("brand_b"), F.col("brand_a").isNull())
+    p, q = F.when(turn, F.col("brand_b")).otherwise(F.col("brand_a")), F.when(turn, F.col("brand_a")).otherwise(F.col("brand_b"))
+    n = two_hops(links).groupBy(p.alias("p"), q.alias("q")).agg(F.count("*").alias("n"))
+    to = lambda x, y, m: F.struct(F.col(x).alias("brand"), F.col(y).alias("other"), (m * F.col("n")).alias("n"))
+    rows = n.select(F.inline(F.when(F.col("p").eqNullSafe(F.col("q")), F.array(to("p", "q", 2))).otherwise(F.array(to("p", "q", 1), to("q", "p", 1)))))
+    return rows.groupBy("brand").agg(F.count("other").alias("reached"), F.sum("n").alias("pairs"))
 
 
 def widest(links: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from partloom.operators import fitments
+from partloom.operators import fitments, graph
+from partloom.sources.views import Views
 
 
 def test_every_ask_meets_every_fitment_of_its_code(spark):
@@ -24,3 +25,31 @@ def test_every_ask_meets_every_fitment_of_its_code(spark):
         why = "no data" if not said else "other car" if not cars else "other year" if not good else None
         want[ask] = (bool(good) if said else None, why, tuple(sorted({k[2] for k in good} - {""})))
     assert got == want and len(got) == len(asks)
+
+
+def test_two_hops_against_all_pairs(spark):
+    """Every pair within two links once, brands of several products and links written twice or to themselves among them."""
+    rng = random.Random(7)
+    brand = {k: rng.choice([1, 2, 3, None]) for k in range(30)}
+    links = [(a, b, brand[a], brand[b]) for a, b in [(rng.randrange(30), rng.randrange(30)) for _ in range(25)] for _ in range(rng.choice([1, 2]))] + [(None, 5, None, brand[5]), (4, None, brand[4], None)]
+    df = spark.createDataFrame(links, "a long, b long, brand_a long, brand_b long")
+    step = {(a, b) for x, y, *_ in links if x is not None and y is not None for a, b in ((x, y), (y, x))}
+    want = {(a, b) for a, b in step | {(a, d) for a, b in step for c, d in step if b == c} if a != b}
+    got = [tuple(r) for r in graph.two_hops(df).select("a", "b").collect()]
+    assert len(got) == len(set(got)) and {x for a, b in got for x in ((a, b), (b, a))} == want
+    said = {r.brand: (r.reached, r.pairs) for r in graph.reached_brands(df).collect()}
+    of = {}
+    for a, b in want:
+        of.setdefault(brand[a], []).append(brand[b])
+    assert said == {k: (len(set(v) - {None}), len(v)) for k, v in of.items()}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_brands_come_with_links(spark):
+    """Pairs within two links were dealt out again for the brand of each product, and products twice for their links."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    assert exchanges(v.links) <= 1
+    assert exchanges(graph.reached_brands(v.branded_links)) <= 8
