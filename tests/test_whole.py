@@ -5,7 +5,8 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from partloom.operators import fitments, graph
+from partloom.functions import staging
+from partloom.operators import fitments, graph, rescoring
 from partloom.sources.views import Views
 
 
@@ -53,3 +54,26 @@ def test_brands_come_with_links(spark):
     v = Views(spark, "/root/testdata/sf0.001")
     assert exchanges(v.links) <= 1
     assert exchanges(graph.reached_brands(v.branded_links)) <= 8
+
+
+def test_pairs_are_dealt_out_once_for_each_of_their_two(spark):
+    """Pairs went with texts and sizes through joins by product, by bridge and by brands. Prices that are nothing, equal
+    descriptions, and pairs written twice or the other way round among the rows."""
+    make = spark.createDataFrame
+    products = make([(k, k % 3, k % 4 == 0, f"C{k}", ["RETEN EJE 30x50x7 largo", None, "KIT BOMBA"][k % 3]) for k in range(12)], "id long, brand long, oem boolean, code string, text string")
+    links = [(a, b) for a in range(12) for b in range(12) if a < b and (a + b) % 3 < 2]
+    prices = make([(k, float(k)) for k in range(9)], "id long, price double")
+    none = {"declared": make([], "a long, b long, list string"), "fitments": make([], "id long, car string"), "bought": make([], "a long, b long, times long, returned boolean"), "decisions": make([], "brand_a long, brand_b long, approved boolean")}
+    before = set(staging._written)
+    got = rescoring.gathered(make([*links, *[(b, a) for a, b in links[::2]]], "a long, b long"), products, make(links, "a long, b long"), [("BOMBA", "pumps"), ("RETEN", "gaskets")], prices=prices, scales=make([], "brand long, scale double"), **none)
+    rows = {(r.a, r.b): r for r in got.collect()}
+    degree = {k: sum(k in x for x in links) for k in range(12)}
+    for a, b in links:
+        r, node = rows.pop((a, b)), a if a % 4 == 0 else b if b % 4 == 0 else None
+        off = max(a, b) / min(a, b) if 0 < min(a, b) and max(a, b) < 9 else None
+        assert (r.code, r.hanging) == ((None, 0) if node is None else (f"C{node}", degree[node]))
+        assert (r.price_deviation is None) == (off is None) and (off is None or abs(r.price_deviation - off) < 1e-9)
+        assert (r.same_text, r.kit) == (a % 3 == b % 3 == 0, (a % 3 == 2) != (b % 3 == 2))
+    assert not rows
+    wrote = {p.rsplit("-", 1)[1] for p in staging._written if p not in before}
+    assert wrote == {"described", "approve_rates"}  # no pairs are written with what their texts say
