@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.functions.staging import importable, staged
+from partloom.functions.staging import ROWS, importable, staged
 
-#: Bits for a word in a bitmap of words, least and most bytes of one, and first words of a name that tell whether two have met before.
-BITS, LEAST, MOST, LEAD = 2, 32, 1024, 8
+#: Bits for a word in a bitmap of words, least and most bytes of one, and first rare words of a name, that others have too, which
+#: tell whether two have met before.
+BITS, LEAST, MOST, LEAD = 2, 32, 1024, 3
 #: Pairs that are looked at together.
 TOGETHER = 500_000
 
@@ -37,42 +38,65 @@ def pairs(items: DataFrame, alike: float = 0.5, most: int = 250, since: int | No
     """a, b and common, the number of words of both: items of different brands that share a word of at most `most` items and at
     least the share `alike` of all their words. items: id, brand, words (each once). since: pairs with an id beyond it alone."""
     importable(items.sparkSession)
-    # Words by number; a word's place in the order is its count and its number.
-    known = staged(frequencies(items).withColumn("word_id", F.monotonically_increasing_id()), "words")
-    ordered = items.select("id", "brand", F.explode("words").alias("word")).join(known, "word").groupBy("id", "brand").agg(F.array_sort(F.collect_list(F.struct("n", "word_id"))).alias("w"))
-    sets = staged(ordered.select(F.col("id").cast("long").alias("id"), F.col("brand").cast("string").alias("brand"), F.transform("w", lambda x: x["word_id"]).alias("w"), F.transform("w", lambda x: x["n"]).alias("n")), "word_sets")
-    # All rows of a word lie together, and those of few words: what a task holds is bounded by `most`.
-    keys = sets.mapInArrow(lambda batches: _keys(batches, alike, most), "word long, id long, brand string, size int, at int, bitmap binary, lead binary")
-    met = keys.repartition("word").sortWithinPartitions("word").mapInArrow(lambda batches: _met(batches, alike), "a long, b long")
+    words = staged(frequencies(items).withColumn("at", F.monotonically_increasing_id()), "words")
+    known, base = _numbered(words)
+    # A word is one number: its count times `base`, and a number below that of its own. So numbers are in the order of words.
+    ordered = items.select("id", "brand", F.explode("words").alias("word")).join(known, "word").groupBy("id", "brand").agg(F.array_sort(F.collect_list("number")).alias("w"))
+    sets = staged(ordered.select(F.col("id").cast("long").alias("id"), F.col("brand").cast("string").alias("brand"), "w"), "word_sets")
+    # Words are dealt to tasks, and a name goes to each task that has some of its words once, with its bitmap. There all rows of
+    # a word lie together: what is held of them is bounded by `most`.
+    rows = words.where(F.col("n").between(2, most)).agg(F.sum("n")).first()[0] or 0
+    tasks = max(4 * items.sparkSession.sparkContext.defaultParallelism, rows // (4 * ROWS))
+    keys = sets.mapInArrow(lambda batches: _keys(batches, alike, most, base, tasks), "task int, id long, brand string, size int, bitmap binary, lead binary, words array<long>, ats array<int>")
+    keys = keys.repartitionById(tasks, F.col("task")).select(F.inline(F.arrays_zip("words", "ats")).alias("word", "at"), "id", "brand", "size", "bitmap", "lead")
+    met = keys.select("word", "id", "brand", "size", "at", "bitmap", "lead").sortWithinPartitions("word").mapInArrow(lambda batches: _met(batches, alike), "a long, b long")
     if since is not None:
         met = met.where((F.col("a") > since) | (F.col("b") > since))
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"))
+    own = F.transform("w", lambda x: (x % base).cast("int")) if base < 1 << 31 else F.transform("w", lambda x: x % base)
+    of = lambda x: sets.select(F.col("id").alias(x), own.alias(f"w{x}"))
     both, common = F.size("wa") + F.size("wb"), F.size(F.array_intersect("wa", "wb"))
     compared = staged(met.distinct(), "met").join(of("b"), "b").join(of("a"), "a").select("a", "b", common.alias("common"), both.alias("both"))
     return compared.where(F.col("common") >= alike * (F.col("both") - F.col("common")) - 1e-9).select("a", "b", "common")
 
 
-def _keys(batches: Iterator[pa.RecordBatch], alike: float, most: int) -> Iterator[pa.RecordBatch]:
-    """A row for each rare word among the first of a name: the name's size, the word's place, a bitmap of all its words, and
-    its first words before this one."""
+def _numbered(words: DataFrame) -> tuple[DataFrame, int]:
+    """word and number, its count n times the base that is returned, and a number below it. words: word, n, at (numbers with
+    the partition's in the upper bits); a number for each partition reaches the driver."""
+    own, of = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("at", 33)
+    sizes = {r.p: r.size for r in words.groupBy(of.alias("p")).agg((F.max(own) + 1).alias("size")).collect()}
+    starts, base = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(base)
+        base += sizes.get(p, 0)
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts or [0]]), of.cast("int") + 1)
+    return words.select("word", (F.col("n") * F.lit(max(1, base)).cast("long") + start + own).alias("number")), max(1, base)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], alike: float, most: int, base: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """The rare words among the first of a name, with their places, in a row for each task to which some are dealt; the name's
+    size, a bitmap of all its words, and the first of these words."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
-        for id_, brand, w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            w, n = w.values.to_numpy(), n.values.to_numpy()
+        out: list[list] = [[], [], [], [], [], [], [], []]
+        for id_, brand, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            numbers = w.values.to_numpy()
+            n, w = numbers // base, numbers % base
             size = len(w)
             first = size - int(np.ceil(size * alike - 1e-9)) + 1
             places = np.flatnonzero((n[:first] >= 2) & (n[:first] <= most))
             if not len(places):
                 continue
+            mixed = (w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
             bits = np.zeros(8 * min(MOST, max(LEAST, 1 << (size * BITS // 8).bit_length())), np.uint8)
-            bits[((w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(len(bits))] = 1
-            bitmap = np.packbits(bits).tobytes()
-            for at in places.tolist():
-                lead = w[: min(at, LEAD)].tobytes()
-                for c, x in zip(out, (int(w[at]), id_, brand, size, at, bitmap, lead)):
+            bits[mixed % np.uint64(len(bits))] = 1
+            bitmap, lead = np.packbits(bits).tobytes(), w[places[:LEAD]].tobytes()
+            to = (w[places] % tasks).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order])) + 1
+            for part in np.split(order, cuts):
+                for c, x in zip(out, (int(to[part[0]]), id_, brand, size, bitmap, lead, w[places[part]], places[part].astype(np.int32))):
                     c.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["word", "id", "brand", "size", "at", "bitmap", "lead"])
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["task", "id", "brand", "size", "bitmap", "lead", "words", "ats"])
 
 
 def _met(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
@@ -115,6 +139,7 @@ def _pairs_of(rows: pa.Table, alike: float) -> Iterator[pa.RecordBatch]:
     for k, x in enumerate(leads):
         if x:
             lead[k, : len(x) // 8] = np.frombuffer(x, np.int64)
+    lead[np.maximum.accumulate(lead == word[:, None], axis=1)] = -1  # only those before this word
     # Each row meets those after it of its word.
     after = np.searchsorted(word, word, side="right") - np.arange(len(word)) - 1
     total, start = np.cumsum(after), 0

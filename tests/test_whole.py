@@ -3,10 +3,13 @@
 import random
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from partloom.functions import staging
-from partloom.operators import fitments, graph, rescoring
+from partloom.operators import fitments, graph, rare_words, rescoring
 from partloom.sources.views import Views
 
 
@@ -77,3 +80,18 @@ def test_pairs_are_dealt_out_once_for_each_of_their_two(spark):
     assert not rows
     wrote = {p.rsplit("-", 1)[1] for p in staging._written if p not in before}
     assert wrote == {"described", "approve_rates"}  # no pairs are written with what their texts say
+
+
+def test_a_name_goes_to_a_task_once():
+    """A name's bitmap went with each of its rare words; now once to each task that has some of them, and no word is left out."""
+    base, tasks = 10_000, 8
+    names = [np.sort(np.array([3 * base + x for x in range(k, k + 300, 3)] + [1 * base + 9000 + k, 300 * base + 1])) for k in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x"] * 5), pa.array([n.tolist() for n in names], pa.list_(pa.int64()))], names=["id", "brand", "w"])
+    rows = [r for b in rare_words._keys(iter([batch]), 0.5, 250, base, tasks) for r in b.to_pylist()]
+    assert len(rows) <= 5 * tasks and len({(r["id"], r["task"]) for r in rows}) == len(rows)
+    for k, n in enumerate(names):
+        first = len(n) - -(-len(n) // 2) + 1
+        want = {(int(x) % base, at) for at, x in enumerate(n[:first]) if 2 <= x // base <= 250}
+        own = [r for r in rows if r["id"] == k]
+        assert {(w, at) for r in own for w, at in zip(r["words"], r["ats"])} == want and sum(len(r["words"]) for r in own) == len(want)
+        assert {w % tasks for r in own for w in r["words"] if r["task"] != w % tasks} == set()
