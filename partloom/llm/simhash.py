@@ -332,15 +332,27 @@ class Search:
         self.radius, self.similarity, self.share = radius, similarity, share
 
     def near(self, f, size, bits, a, b) -> np.ndarray:
-        x, y = size[a], size[b]
+        """Whether the texts of pairs a, b are to be compared; a may be one for all of b."""
+        found = np.zeros(len(f[b]), bool)
+        found[self.hits(f, size, bits, None, a, b)] = True
+        return found
+
+    def hits(self, f, size, bits, label, a, b) -> np.ndarray:
+        """The places of the pairs that are to be compared. Few are within the radius: only these are looked at further."""
+        hit = np.flatnonzero(np.bitwise_count(f[a] ^ f[b]) <= self.radius)
+        one = isinstance(a, slice)
+        of = lambda v: v[a] if one else v[a[hit]]
+        to = (lambda v: v[b][hit]) if isinstance(b, slice) else (lambda v: v[b[hit]])
+        x, y = of(size), to(size)
         need = (self.similarity / (1 + self.similarity) - 1e-9) * (x + y)
-        found = (np.bitwise_count(f[a] ^ f[b]) <= self.radius) & (np.minimum(x, y) >= need)
-        if bits is not None and len(hit := np.flatnonzero(found)):
-            p, q = bits[a] if len(bits[a]) == 1 else bits[a][hit], bits[b][hit]
-            x, y = x if len(x) == 1 else x[hit], y[hit]
+        kept = np.minimum(x, y) >= need
+        kept = np.flatnonzero(kept if label is None else kept & (of(label) != to(label)))
+        hit = hit[kept]
+        if bits is not None and len(hit):
+            p, q, x, y = of(bits), to(bits), x if one else x[kept], y[kept]
             common = np.minimum(x - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), y - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
-            found[hit] = common >= need[hit]
-        return found
+            hit = hit[common >= need[kept]]
+        return hit
 
     def run(self, f, node, size, bits, label) -> tuple[np.ndarray, np.ndarray, int | None]:
         """Pairs of one run, and the last node paired with all others if some are left."""
@@ -357,7 +369,8 @@ class Search:
         for k, x in enumerate(pivots):
             rest = slice(x + 1 if in_order else 0, None)
             open_[x] = False
-            hit = np.flatnonzero(open_[rest] & (label[rest] != label[x]) & self.near(f, size, bits, slice(x, x + 1), rest)) + rest.start
+            hit = self.hits(f, size, bits, label, slice(x, x + 1), rest) + rest.start
+            hit = hit[open_[hit]]
             u.append(np.minimum(node[hit], node[x]))
             v.append(np.maximum(node[hit], node[x]))
             made += len(hit)
@@ -375,7 +388,7 @@ class Search:
         for step in range(1, int(sizes[(sizes <= 128)].max(initial=1))):
             at = at[at + step < len(key)]
             at = at[number[at] == number[at + step]]
-            hit = at[self.near(f, size, bits, at, at + step) & (label[at] != label[at + step])]
+            hit = at[self.hits(f, size, bits, label, at, at + step)]
             i.append(hit)
             j.append(hit + step)
         i, j = np.concatenate(i), np.concatenate(j)

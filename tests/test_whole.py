@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from partloom.functions import staging
+from partloom.llm import simhash
 from partloom.operators import fitments, graph, rare_words, rescoring
 from partloom.sources.views import Views
 
@@ -95,3 +96,23 @@ def test_a_name_goes_to_a_task_once():
         own = [r for r in rows if r["id"] == k]
         assert {(w, at) for r in own for w, at in zip(r["words"], r["ats"])} == want and sum(len(r["words"]) for r in own) == len(want)
         assert {w % tasks for r in own for w in r["words"] if r["task"] != w % tasks} == set()
+
+
+def test_pairs_within_the_radius_alone_are_looked_at():
+    """Sizes, labels and bitmaps were read for every pair of a run; now for those within the radius, and the same pairs are left."""
+    rng = np.random.default_rng(3)
+    n = 200
+    f = rng.integers(0, 1 << 62, 5).astype(np.uint64)[rng.integers(0, 5, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    size, label, bits = rng.integers(60, 120, n), rng.integers(0, 40, n), rng.integers(0, 1 << 62, (2, 8)).astype(np.uint64)[rng.integers(0, 2, n)]
+    search, left = simhash.Search(3, 0.8, 1), 0
+    for x in range(n):
+        want = []
+        for y in range(n):
+            common = min(int(size[x]) - sum((int(p) & ~int(q)).bit_count() for p, q in zip(bits[x], bits[y])), int(size[y]) - sum((int(q) & ~int(p)).bit_count() for p, q in zip(bits[x], bits[y])))
+            if (int(f[x]) ^ int(f[y])).bit_count() <= 3 and common >= 0.8 / 1.8 * (int(size[x]) + int(size[y])) - 1e-6 and label[x] != label[y]:
+                want.append(y)
+        got = search.hits(f, size, bits, label, slice(x, x + 1), slice(0, None)).tolist()
+        at = np.arange(n)
+        assert got == want == search.hits(f, size, bits, label, np.full(n, x), at).tolist()
+        left += len(want)
+    assert n < left < n * n / 4
